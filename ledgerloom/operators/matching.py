@@ -41,9 +41,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
-from ledgerloom.operators.ordered import desc, last_known, min_before, row_number, scan
+from ledgerloom.operators.ordered import desc, last_known, min_before, previous, row_number, scan
 from ledgerloom.registries import DRIFT_TOLERANCE_DAYS, MATCH_POLICIES, MatchPolicy
-from ledgerloom.session import checkpointed
+from ledgerloom.session import materialized
 
 ID = "silver_transaction_id"
 HELPERS = (
@@ -133,20 +133,20 @@ def find_overlapping_ingestions(transactions: DataFrame) -> DataFrame:
 def drift_edges(marked: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS) -> DataFrame:
     """Tier 3: (absorbed, survivor) ids of date-shifted duplicates."""
     place = ["source_type", "account_id", "_loose"]
-    counts = (
-        marked.filter("_eligible")
-        .groupBy("source_type", "_fingerprint", "ingestion_id", "account_id", "_loose", "_ts",
-                 "statement_period_from", "statement_period_to")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("_survivor").isNotNull().cast("long")).alias("gone"),
-            F.max_by(ID, "_rank").alias("last_id"),
-        )
+    period = ["statement_period_from", "statement_period_to"]
+    rows = marked.filter("_eligible").select(
+        *place, "_fingerprint", "_ts", "ingestion_id", *period, "_rank", ID, F.col("_survivor").isNotNull().alias("gone")
     )
+    # Only survivors with another survivor close by can take part: few, as a rule.
+    order = ["_ts", "_fingerprint", "ingestion_id", "_rank"]
+    alive = rows.filter("NOT gone")
+    looked = scan(alive, place, order, {"_before": previous("_ts")}, sized_by=rows)
+    looked = scan(looked, place, [desc(o) for o in order], {"_after": previous("_ts")}, sized_by=rows)
+    beside = (F.col("_before") >= F.col("_ts") - _days(tolerance)) | (F.col("_after") <= F.col("_ts") + _days(tolerance))
     width = tolerance + 1
     slot = F.floor(F.datediff(F.col("_ts").cast("date"), F.lit("1970-01-01").cast("date")) / width)
-    alive = counts.filter("gone < n").select(
-        *place, "_fingerprint", "_ts", "ingestion_id", "statement_period_from", "statement_period_to", slot.alias("slot")
+    alive = materialized(
+        looked.filter(beside).select(*place, "_fingerprint", "_ts", "ingestion_id", *period, slot.alias("slot")).distinct()
     )
     near = alive.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
     a, b = alive.alias("a"), near.alias("b")
@@ -179,10 +179,15 @@ def drift_edges(marked: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS) -> Dat
     sides = pairs.withColumn("side", F.explode(F.array(F.lit("low"), F.lit("high")))).withColumn(
         "ingestion_id", F.when(F.col("side") == "low", F.col("low")).otherwise(F.col("high"))
     )
-    held = sides.join(counts, [*place, "ingestion_id"]).filter(
-        F.col("_ts").between(
-            F.col("lo").cast("timestamp_ntz") - _days(tolerance), F.col("hi").cast("timestamp_ntz") + _days(tolerance)
+    held = (
+        rows.join(sides, [*place, "ingestion_id"])
+        .filter(
+            F.col("_ts").between(
+                F.col("lo").cast("timestamp_ntz") - _days(tolerance), F.col("hi").cast("timestamp_ntz") + _days(tolerance)
+            )
         )
+        .groupBy(*place, "low", "high", "high_to", "side", "_fingerprint", "_ts")
+        .agg(F.count("*").alias("n"), F.sum(F.col("gone").cast("long")).alias("gone"), F.max_by(ID, "_rank").alias("last_id"))
     )
     pair = [*place, "low", "high", "high_to"]
 
@@ -249,12 +254,11 @@ def resolve_chains(edges: DataFrame) -> DataFrame:
     """Point every absorbed id at its last survivor (a -> b -> c gives a -> c).
 
     Each round doubles the reach, so a chain of n takes log2(n) rounds."""
-    edges = checkpointed(edges)
     while True:
         onward = edges.select(F.col("absorbed").alias("survivor"), F.col("survivor").alias("_next"))
         if edges.join(onward, "survivor", "left_semi").isEmpty():
             return edges
-        edges = checkpointed(
+        edges = materialized(
             edges.join(onward, "survivor", "left").select(
                 "absorbed", F.coalesce("_next", "survivor").alias("survivor")
             )
@@ -276,10 +280,10 @@ def survivors(marked: DataFrame, edges: DataFrame, policies: Sequence[MatchPolic
 def match_transactions(
     transactions: DataFrame, policies: Sequence[MatchPolicy] = MATCH_POLICIES, tolerance: int = DRIFT_TOLERANCE_DAYS
 ) -> Matched:
-    """All tiers. Both results start from the same marked rows: persist or write
-    one of them before using both."""
-    marked = mark_overlaps(number_occurrences(with_match_keys(transactions)), tolerance)
-    edges = drift_edges(marked, tolerance)
+    """All tiers. The rows after tier 2, and the few tier-3 edges, are written
+    once; both results read them from there."""
+    marked = materialized(mark_overlaps(number_occurrences(with_match_keys(transactions)), tolerance))
+    edges = materialized(drift_edges(marked, tolerance))
     return Matched(survivors(marked, edges, policies), provenance(marked, edges, policies))
 
 

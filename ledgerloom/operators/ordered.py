@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import checkpointed, estimated_bytes
+from ledgerloom.session import estimated_bytes, materialized
 
 MIN_BYTES = "spark.ledgerloom.split.minBytes"  # smaller inputs are never split
 MIN_ROWS = "spark.ledgerloom.split.minRows"  # a key below this is never split
@@ -167,7 +167,7 @@ def _split(df: DataFrame, keys: list[str], orders: list[Order], looks: dict[str,
         pieces, *[F.col(k).asc_nulls_first() for k in keys], *[o.column for o in orders]
     )
     # Piece numbers must be the same wherever they are read: written down once.
-    numbered = checkpointed(ranged.withColumn(_PIECE, F.spark_partition_id()))
+    numbered = materialized(ranged.withColumn(_PIECE, F.spark_partition_id()))
     local = _local(numbered, [*keys, _PIECE], orders, {**looks, _LOCAL: row_number()})
 
     totals = local.groupBy(*keys, _PIECE).agg(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +35,29 @@ def local_session(cpus: str | int = "*", app: str = "ledgerloom") -> SparkSessio
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the shared folder the session names.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in `spark.checkpoint.dir`. A folder of
+    our own is made only where that is unset, as on one machine in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="spark-ledgerloom-"))
+        atexit.register(shutil.rmtree, _OWN_FOLDER[0], ignore_errors=True)
+    return _OWN_FOLDER[0]
 
-    `spark.checkpoint.dir` wins; a folder of our own is made only where neither
-    that setting nor the context has one, as on one machine in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+
+_OWN_FOLDER: list[str] = []
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Compute `df` once, as a table in the scratch folder.
+
+    Later readers pick their columns from it, Catalyst knows its size, and a lost
+    executor costs no recomputation. Used where a result is read several times."""
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

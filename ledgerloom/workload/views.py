@@ -175,3 +175,110 @@ def registry(spark: SparkSession, folder: str) -> DataFrame:
         "'Export account' AS display_name, 'current' AS account_type"
     )
     return entries.unionByName(fallback)
+
+
+def matched_input(spark: SparkSession, folder: str) -> DataFrame:
+    """F2 and the exports of F3 together, so that every tier has work."""
+    exports = cross_transactions(spark, folder).filter(F.col("ingestion_id").endswith("-X"))
+    return transactions(spark, folder).unionByName(exports)
+
+
+def anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """opening and closing balance per (user, week), some of them wrong."""
+    rows = ledger(spark, folder)
+    wrong = F.when((F.col("user_id") + F.col("wk")) % 11 == 0, 1).otherwise(0)
+    return rows.groupBy("user_id", "wk").agg(
+        F.max_by("balance_minor", F.struct("as_of_date", "event_id")).alias("derived_minor"),
+        F.sum("amount_minor").alias("moved"),
+    ).select(
+        "user_id", "wk",
+        (F.col("derived_minor") - F.col("moved")).alias("opening_minor"),
+        (F.col("derived_minor") + wrong).alias("closing_minor"),
+        "derived_minor",
+    )
+
+
+def bronze(spark: SparkSession, folder: str) -> DataFrame:
+    """The weekly statements as raw rows, with payload, identifiers and checks."""
+    rows = _as_transactions(weekly(spark, folder))
+    checked = rows.join(anchors(spark, folder), ["user_id", "wk"])
+    export = F.col("source_type") == "bank-export"
+    return checked.select(
+        "source_type",
+        F.concat(F.col("ingestion_id"), F.lit(".txt")).alias("filename"),
+        "ingestion_id",
+        F.when(~export, identifier(F.col("user_id"))).alias("account_identifier"),
+        F.lit("transaction").alias("record_type"),
+        F.create_map(
+            F.lit("date"), F.date_format("transaction_date", "d MMM"),
+            F.lit("description"), F.col("description"),
+            F.lit("amount_minor"), F.col("amount_minor").cast("string"),
+        ).alias("raw_data"),
+        "line_number", "bronze_record_id", "bronze_source_key", "upload_timestamp",
+        "statement_period_from", "statement_period_to",
+        F.when(~export, "closing_balance").alias("reconciliation_check"),
+        F.col("opening_minor").alias("reconciliation_expected_opening_minor"),
+        F.col("closing_minor").alias("reconciliation_expected_closing_minor"),
+        F.col("derived_minor").alias("reconciliation_derived_closing_minor"),
+        (F.col("closing_minor") == F.col("derived_minor")).alias("reconciliation_matches"),
+        "transaction_date", "amount_minor",
+    )
+
+
+SOURCES = ("card-statement", "bank-statement", "bank-export")
+
+
+def order_spending(spark: SparkSession, folder: str) -> DataFrame:
+    """seven years of card spending."""
+    out = F.col("o_orderstatus").isin("F", "P")
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("acc_"), "o_custkey").alias("account_id"),
+        F.col("o_orderdate").cast("date").alias("transaction_date"),
+        F.when(out, -cents("o_totalprice")).otherwise(cents("o_totalprice")).alias("amount_minor"),
+    )
+
+
+def order_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """A statement per customer and quarter, from its first order to its last."""
+    day = F.col("o_orderdate").cast("date")
+    return (
+        table(spark, folder, "orders")
+        .select("o_custkey", day.alias("d"), F.trunc(day, "quarter").alias("q"))
+        .groupBy("o_custkey", "q")
+        .agg(F.min("d").alias("period_from"), F.max("d").alias("period_to"))
+        .select(
+            F.concat(F.lit("acc_"), "o_custkey").alias("account_id"),
+            F.lit("card-statement").alias("source_type"),
+            F.concat_ws("-", F.col("o_custkey").cast("string"), F.col("q").cast("string")).alias("ingestion_id"),
+            "period_from", "period_to",
+        )
+    )
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """F8: one manifest row per weekly statement."""
+    rows = weekly(spark, folder).select("user_id", "wk", "ingestion_id", "source_type").groupBy(
+        "user_id", "wk", "ingestion_id", "source_type"
+    ).agg(F.count("*").alias("record_count"))
+    checked = rows.join(anchors(spark, folder), ["user_id", "wk"])
+    verdict = F.col("closing_minor") == F.col("derived_minor")
+    allow = F.col("user_id") % 5 == 0
+    return checked.select(
+        "ingestion_id",
+        F.concat(F.col("ingestion_id"), F.lit(".txt")).alias("original_filename"),
+        F.when((F.col("user_id") + F.col("wk")) % 17 == 0, "parse_failed").otherwise("complete").alias("status"),
+        "source_type", "record_count",
+        verdict.alias("reconciliation_matches"),
+        F.array(
+            F.struct(
+                F.lit("closing_balance").alias("check_name"),
+                F.col("closing_minor").alias("expected_closing_minor"),
+                F.col("derived_minor").alias("derived_closing_minor"),
+                verdict.alias("matches"),
+                F.lit(None).cast("string").alias("account_identifier"),
+            )
+        ).alias("reconciliations"),
+        F.when(allow, F.struct(F.lit("allow").alias("decision"), F.lit("manual override").alias("reason"),
+                               F.lit("2024-02-01").alias("at"))).alias("promotion_override"),
+    )
