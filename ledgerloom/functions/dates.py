@@ -22,7 +22,7 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _try_format(text: Column, fmt: str) -> Column:
+def try_format(text: Column, fmt: str) -> Column:
     return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
@@ -35,14 +35,14 @@ def _iso(text: Column) -> Column:
 def parse_date(text: Column | str, fmt: str | None = None) -> Column:
     """The given format first, then the common ones; null when none fits."""
     trimmed = F.regexp_replace(F.trim(_column(text)), r"\s+", " ")
-    tries = [_iso(trimmed)] + [_try_format(trimmed, f) for f in (DAY_MONTH_YEAR, DAY_FULL_MONTH_YEAR)]
+    tries = [_iso(trimmed)] + [try_format(trimmed, f) for f in (DAY_MONTH_YEAR, DAY_FULL_MONTH_YEAR)]
     if fmt == DAY_MONTH_SHORT_YEAR:
-        parsed = _try_format(trimmed, fmt)
+        parsed = try_format(trimmed, fmt)
         # Two-digit years 69..99 belong to the last century.
         first = F.when(F.year(parsed) >= 2069, parsed - F.expr("INTERVAL '100' YEAR")).otherwise(parsed)
         tries = [first, *tries]
     elif fmt is not None:
-        tries = [_try_format(trimmed, fmt), *tries]
+        tries = [try_format(trimmed, fmt), *tries]
     return F.coalesce(*tries)
 
 
@@ -52,7 +52,7 @@ def infer_year(day_month: Column | str, reference: Column | str) -> Column:
     text, ref = F.trim(_column(day_month)), _column(reference).cast("timestamp_ntz")
     years = [F.year(ref), F.year(ref) - 1]
     candidates = F.array_compact(
-        F.array(*[_try_format(F.concat_ws(" ", text, y.cast("string")), DAY_MONTH_YEAR) for y in years])
+        F.array(*[try_format(F.concat_ws(" ", text, y.cast("string")), DAY_MONTH_YEAR) for y in years])
     )
     limit = ref + F.expr(f"INTERVAL '{UPLOAD_TOLERANCE_DAYS}' DAY")
     return F.coalesce(F.array_max(F.filter(candidates, lambda c: c <= limit)), F.array_min(candidates))
@@ -72,7 +72,7 @@ def year_in_period(day_month: Column | str, start: Column | str, end: Column | s
 
     def dated(year: Column) -> Column:
         full = F.concat_ws(" ", text, year.cast("string"))
-        day = _try_format(full, DAY_MONTH_YEAR).cast("date")
+        day = try_format(full, DAY_MONTH_YEAR).cast("date")
         inside = (day >= F.date_sub(lo, PERIOD_TOLERANCE_DAYS)) & (day <= F.date_add(hi, PERIOD_TOLERANCE_DAYS))
         return F.when(inside, full)
 

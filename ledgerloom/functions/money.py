@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 # Decimal places per ISO 4217 currency.
 MINOR_UNITS = {"GBP": 2, "USD": 2, "EUR": 2, "JPY": 0}
 
-# A whole amount, and an amount inside other text.
-WHOLE_AMOUNT = r"^[-+]?[\d,]+\.\d+$"
-AMOUNT_WITHIN = r"[-+]?[\d,]+\.\d{2}"
+# The whole text as an amount, else the first amount inside it.
+AMOUNT = r"^[-+]?[\d,]+\.\d+$|[-+]?[\d,]+\.\d{2}"
 
 
 def _column(value: Column | str) -> Column:
@@ -35,10 +34,7 @@ def try_parse_money(text: Column | str, currency: Column | str = "GBP") -> Colum
     mark is dropped, and digits beyond the currency's places are cut off."""
     plain = F.regexp_replace(F.upper(_column(text)), "CR|£|,", "")
     plain = F.regexp_replace(plain, r"^\s+|\s+$", "")
-    number = F.coalesce(
-        F.nullif(F.regexp_extract(plain, WHOLE_AMOUNT, 0), F.lit("")),
-        F.nullif(F.regexp_extract(plain, AMOUNT_WITHIN, 0), F.lit("")),
-    )
+    number = F.regexp_extract(plain, AMOUNT, 0)
     return (number.try_cast("decimal(28,8)") * _scale(currency)).try_cast("long")
 
 
