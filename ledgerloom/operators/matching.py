@@ -41,11 +41,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
-from ledgerloom.operators.ordered import desc, last_known, min_before, previous, row_number, scan
+from ledgerloom.operators.ordered import desc, hot_keys, last_known, min_before, part, previous, row_number, scan
 from ledgerloom.registries import DRIFT_TOLERANCE_DAYS, MATCH_POLICIES, MatchPolicy
 from ledgerloom.session import materialized
 
 ID = "silver_transaction_id"
+# Copies of a row share at least these, and finding hot copies by them needs
+# neither the description nor a hash.
+COPY_KEYS = ("source_type", "account_id", "transaction_date", "amount_minor")
 HELPERS = (
     "_ts", "_fingerprint", "_loose", "_sort_key", "_occurrence", "_eligible", "_rank", "_reach", "_survivor",
 )
@@ -68,18 +71,21 @@ def with_match_keys(transactions: DataFrame) -> DataFrame:
     )
 
 
-def number_occurrences(keyed: DataFrame) -> DataFrame:
+def number_occurrences(keyed: DataFrame, split: bool | None = None) -> DataFrame:
     """Tier 1: occurrence number and canonical id."""
     numbered = scan(
         keyed,
         ["source_type", "_fingerprint"],
         ["_sort_key", "line_number", "ingestion_id", "bronze_record_id"],
         {"_occurrence": row_number()},
+        split=split,
     )
     return numbered.withColumn(ID, K.canonical_id("source_type", "_fingerprint", "_occurrence"))
 
 
-def mark_overlaps(numbered: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS) -> DataFrame:
+def mark_overlaps(
+    numbered: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS, split: bool | None = None
+) -> DataFrame:
     """Tier 2: `_survivor` is the id of the row that stands for this one, null
     where the row stands for itself."""
     start = F.col("statement_period_from").cast("timestamp_ntz")
@@ -93,18 +99,33 @@ def mark_overlaps(numbered: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS) ->
         ["source_type", "_fingerprint", "_eligible", "ingestion_id"],
         ["line_number", "bronze_record_id"],
         {"_rank": row_number()},
+        split=split,
     )
     group = ["source_type", "_fingerprint", "_eligible", "_rank"]
     order = [desc("statement_period_to"), desc("ingestion_id"), "bronze_record_id"]
-    reached = scan(ranked, group, order, {"_reach": min_before("statement_period_from")}, sized_by=numbered)
+    reached = scan(ranked, group, order, {"_reach": min_before("statement_period_from")}, split=split)
     stands = ~F.col("_eligible") | F.col("_reach").isNull() | (F.col("_reach") > F.col("statement_period_to"))
     headed = scan(
         reached.withColumn("_head", F.when(stands, F.col(ID))), group, order, {"_heads": last_known("_head")},
-        sized_by=numbered,
+        split=split,
     )
     return headed.withColumn("_survivor", F.when(~stands, F.col("_heads"))).drop("_head", "_heads")
 
 
+def mark_duplicates(transactions: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS) -> DataFrame:
+    """Tiers 1 and 2. Four windows, one shuffle: all of them partition by at
+    least (source, fingerprint). Hot copies are looked for once, and go through
+    the same steps apart from the rest."""
+    hot = hot_keys(transactions, COPY_KEYS)
+    keyed = with_match_keys(transactions)
+    if not hot:
+        return mark_overlaps(number_occurrences(keyed, False), tolerance, False)
+    cold, warm = part(keyed, COPY_KEYS, hot)
+    return mark_overlaps(number_occurrences(cold, False), tolerance, False).unionByName(
+        mark_overlaps(number_occurrences(warm, True), tolerance, True)
+    )
+
+
 def find_overlapping_ingestions(transactions: DataFrame) -> DataFrame:
     """Pairs of ingestions of one (account, source) whose periods overlap, with
     the shared window. A report; the tiers above never list pairs."""
@@ -282,7 +303,7 @@ def match_transactions(
 ) -> Matched:
     """All tiers. The rows after tier 2, and the few tier-3 edges, are written
     once; both results read them from there."""
-    marked = materialized(mark_overlaps(number_occurrences(with_match_keys(transactions)), tolerance))
+    marked = materialized(mark_duplicates(transactions, tolerance))
     edges = materialized(drift_edges(marked, tolerance))
     return Matched(survivors(marked, edges, policies), provenance(marked, edges, policies))
 

@@ -183,6 +183,7 @@ def normalize_ledger(bronze: DataFrame, sources=LEDGER_SOURCES, readings: dict[s
 def suffix_repeats(rows: DataFrame) -> DataFrame:
     """Rows of one file that would share a source key are different rows: the
     second becomes key_dup1, the third key_dup2."""
-    numbered = scan(rows, ["ingestion_id", "bronze_source_key"], ["line_number"], {"_nth": row_number()})
+    # The rows of a file came out of one row of text, so they fit in one task.
+    numbered = scan(rows, ["ingestion_id", "bronze_source_key"], ["line_number"], {"_nth": row_number()}, split=False)
     suffix = F.when(F.col("_nth") > 1, F.concat(F.lit("_dup"), (F.col("_nth") - 1).cast("string"))).otherwise("")
     return numbered.withColumn("bronze_source_key", F.concat("bronze_source_key", suffix)).drop("_nth")

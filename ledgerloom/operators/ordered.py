@@ -84,24 +84,27 @@ def scan(
     order: Sequence[str | Order],
     looks: dict[str, Look],
     sized_by: DataFrame | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
-    """Add one column per look. `sized_by` is a frame with no fewer rows whose
-    size Catalyst estimates better, such as the input before its joins."""
+    """Add one column per look.
+
+    `sized_by` is a frame that is cheaper to read than `df`, has its keys, and no
+    fewer rows of any key: hot keys are looked for there. `split` states instead
+    what to do with all rows: False where keys are known to be small, True where
+    the caller has set the hot ones apart (see `hot_keys` and `part`)."""
     orders = [o if isinstance(o, Order) else Order(o) for o in order]
-    hot = _hot_keys(df, keys, sized_by if sized_by is not None else df)
-    if not hot:
-        return _local(df, list(keys), orders, looks)
-    # At most MAX_HOT_KEYS longs, so sending them to every task is safe.
-    hot_frame = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in hot], f"{_HASH} long"))
-    hashed = df.withColumn(_HASH, F.xxhash64(*keys))
-    cold = hashed.join(hot_frame, _HASH, "left_anti").drop(_HASH)
-    warm = hashed.join(hot_frame, _HASH, "left_semi").drop(_HASH)
-    return _local(cold, list(keys), orders, looks).unionByName(_split(warm, list(keys), orders, looks))
+    if split is None:
+        hot = hot_keys(df if sized_by is None else sized_by, keys)
+        if hot:
+            cold, warm = part(materialized(df), keys, hot)
+            return _local(cold, list(keys), orders, looks).unionByName(_split(warm, list(keys), orders, looks))
+    return _split(df, list(keys), orders, looks) if split else _local(df, list(keys), orders, looks)
 
 
-def _hot_keys(df: DataFrame, keys: Sequence[str], sized_by: DataFrame) -> list[int]:
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of the keys too large for one task; none while `df` is small."""
     conf = df.sparkSession.conf
-    if estimated_bytes(sized_by) < int(conf.get(MIN_BYTES, str(DEFAULT_MIN_BYTES))):
+    if estimated_bytes(df) < int(conf.get(MIN_BYTES, str(DEFAULT_MIN_BYTES))):
         return []
     least = int(conf.get(MIN_ROWS, str(DEFAULT_MIN_ROWS)))
     found = (
@@ -113,6 +116,14 @@ def _hot_keys(df: DataFrame, keys: Sequence[str], sized_by: DataFrame) -> list[i
     return [row["item"] for row in found.collect()]
 
 
+def part(df: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the other keys, and rows of the hot keys."""
+    # At most MAX_HOT_KEYS longs, so sending them to every task is safe.
+    hashes = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in hot], f"{_HASH} long"))
+    hashed = df.withColumn(_HASH, F.xxhash64(*keys))
+    return hashed.join(hashes, _HASH, "left_anti").drop(_HASH), hashed.join(hashes, _HASH, "left_semi").drop(_HASH)
+
+
 def _local(df: DataFrame, keys: list[str], orders: list[Order], looks: dict[str, Look]) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*[o.column for o in orders])
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)

@@ -84,10 +84,10 @@ def _amounts_from_balances(rows: DataFrame) -> DataFrame:
     The first balance of a file is where it starts from, not a transaction."""
     filled = scan(
         rows.withColumn("_date", F.try_element_at("raw_data", F.lit("date"))),
-        ["ingestion_id"], ["_position"], {"_filled": last_known("_date")},
+        ["ingestion_id"], ["_position"], {"_filled": last_known("_date")}, split=False,
     )
     priced = filled.withColumn("_balance", _minor("balance_minor")).filter("_balance IS NOT NULL")
-    stepped = scan(priced, ["ingestion_id"], ["_position"], {"_earlier": previous("_balance")}, sized_by=rows)
+    stepped = scan(priced, ["ingestion_id"], ["_position"], {"_earlier": previous("_balance")}, split=False)
     marked = stepped.withColumn("_final_balance", F.max_by("_balance", "_position").over(_by_file()))
     printed = F.coalesce("_filled", F.lit(""))
     dated = F.when(printed.rlike(r"\d{4}"), printed).otherwise(
@@ -106,7 +106,7 @@ def _liability_balances(rows: DataFrame) -> DataFrame:
     is_txn = F.col("record_type") == "transaction"
     rolled = scan(
         rows.withColumn("_moved_by", F.when(is_txn, _minor("amount_minor"))),
-        ["ingestion_id"], ["_position"], {"_moved": running_sum("_moved_by")},
+        ["ingestion_id"], ["_position"], {"_moved": running_sum("_moved_by")}, split=False,
     )
     last = F.max(F.when(is_txn, F.col("_position"))).over(_by_file())
     extra = F.when(is_txn & (F.col("_position") == last), F.coalesce("_extra", F.lit(0))).otherwise(0)
@@ -167,7 +167,7 @@ def parse_layout(documents: DataFrame, layout: Layout) -> DataFrame:
 
     if layout.running == "delta":
         rows = _amounts_from_balances(rows)
-        rows = scan(rows, ["ingestion_id"], ["_position"], {"_line": row_number()}, sized_by=rows).withColumns(
+        rows = scan(rows, ["ingestion_id"], ["_position"], {"_line": row_number()}, split=False).withColumns(
             {"_derived": F.col("_final_balance"), "_line": F.col("_line").cast("int")}
         )
     else:

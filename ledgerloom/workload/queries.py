@@ -219,7 +219,7 @@ def overlap_pairs(spark, folder):
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    return X.mark_overlaps(X.number_occurrences(X.with_match_keys(rows)))
+    return X.mark_duplicates(rows)
 
 
 @query
