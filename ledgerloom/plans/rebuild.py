@@ -96,6 +96,7 @@ def rebuild(
         "account_ledger": ledger,
         "plan_it_instalments": N.normalize_instalments(eligible),
         "reconciliation_log": log.withColumns({"build_id": F.lit(build_id), "computed_at": now}),
+        "build_inputs": eligible.select("ingestion_id").distinct(),
         "excluded_ingestions": excluded,
     }
     lake.publish(tables, build_facts(eligible, excluded), build_id)
@@ -104,7 +105,7 @@ def rebuild(
 
 def build_facts(eligible: DataFrame, excluded: DataFrame) -> DataFrame:
     """One row on what a build was made from: how many ingestions, which parser
-    per source, how many were kept out. The ids themselves are in the tables."""
+    per source, how many were kept out. The ids are tables of the build."""
     parsers = eligible.groupBy("source_type").agg(F.min("parser_version").alias("version"))
     versions = parsers.filter("version IS NOT NULL").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_type", "version")))).alias("parser_versions")

@@ -65,6 +65,7 @@ SILVER: dict[str, str] = {
         "expected_opening_minor bigint, expected_closing_minor bigint, derived_closing_minor bigint, matches boolean, "
         "gap_related boolean, build_id string, computed_at timestamp_ntz"
     ),
+    "build_inputs": ("ingestion_id string"),
     "excluded_ingestions": ("ingestion_id string, source_type string, reason string"),
 }
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions.keys import view_name
-from ledgerloom.operators.eligibility import COMPLETE
+from ledgerloom.operators.eligibility import COMPLETE, any_mismatch, overridden
 from ledgerloom.session import materialized
 
 
@@ -93,8 +93,7 @@ class Lake:
 
     def builds(self) -> DataFrame:
         """Committed builds, newest first."""
-        rows = _read_or_empty(self.spark, self._at("builds"), schemas.BUILDS)
-        return rows.orderBy(F.desc("built_at"), F.desc("build_id"))
+        return newest_first(_read_or_empty(self.spark, self._at("builds"), schemas.BUILDS))
 
     def current_build_id(self) -> str | None:
         newest = self.builds().select("build_id").head()
@@ -176,6 +175,25 @@ class Lake:
         return self.spark.sql(sql, args=args or None)
 
 
+def newest_first(builds: DataFrame) -> DataFrame:
+    """The build list, the current build marked. Comparing with the newest id is
+    an aggregate, so no task sees all builds."""
+    newest = builds.agg(F.max_by("build_id", F.struct("built_at", "build_id"))).scalar()
+    return builds.withColumn("is_current", F.col("build_id") == newest).orderBy(F.desc("built_at"), F.desc("build_id"))
+
+
+def ingestion_list(manifest: DataFrame) -> DataFrame:
+    """The ingestion catalogue with one mark each: ok, nothing to check, mismatch,
+    or a mismatch somebody allowed."""
+    mark = (
+        F.when(any_mismatch() & overridden(), "overridden")
+        .when(any_mismatch(), "mismatch")
+        .when(F.col("reconciliation_matches"), "ok")
+        .otherwise("unchecked")
+    )
+    return manifest.select("ingestion_id", "source_type", "status", "record_count", mark.alias("mark"))
+
+
 def new_build_id() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d-%H%M%S-%f")[:-3]
 

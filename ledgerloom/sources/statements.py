@@ -16,7 +16,8 @@ from ledgerloom import schemas
 from ledgerloom.functions import keys as K
 from ledgerloom.functions.dates import year_in_period
 from ledgerloom.operators.normalize import suffix_repeats
-from ledgerloom.operators.ordered import last_known, previous, row_number, running_sum, scan
+from ledgerloom.operators.ordered import row_number, scan
+from ledgerloom.operators.running import fill_down, roll_on, step_from_previous
 from ledgerloom.sources.layouts import (
     AMBIGUITY, BROUGHT_FORWARD, CONFIDENCE, LAYOUTS, MIN_TEXT, PLAN_FEE, Layout, wrapper_check_name, wrapper_totals,
 )
@@ -82,21 +83,19 @@ def _by_file() -> Window:
 def _amounts_from_balances(rows: DataFrame) -> DataFrame:
     """Fill dates down, and take each amount as the step from the balance before.
     The first balance of a file is where it starts from, not a transaction."""
-    filled = scan(
-        rows.withColumn("_date", F.try_element_at("raw_data", F.lit("date"))),
-        ["ingestion_id"], ["_position"], {"_filled": last_known("_date")}, split=False,
-    )
+    dated_rows = rows.withColumn("_date", F.try_element_at("raw_data", F.lit("date")))
+    filled = fill_down(dated_rows, ["ingestion_id"], ["_position"], "_date", "_filled", split=False)
     priced = filled.withColumn("_balance", _minor("balance_minor")).filter("_balance IS NOT NULL")
-    stepped = scan(priced, ["ingestion_id"], ["_position"], {"_earlier": previous("_balance")}, split=False)
+    stepped = step_from_previous(priced, ["ingestion_id"], ["_position"], "_balance", "_step", split=False)
     marked = stepped.withColumn("_final_balance", F.max_by("_balance", "_position").over(_by_file()))
     printed = F.coalesce("_filled", F.lit(""))
     dated = F.when(printed.rlike(r"\d{4}"), printed).otherwise(
         F.coalesce(year_in_period(printed, "statement_period_from", "statement_period_to"), printed)
     )
     return (
-        marked.filter(F.col("_earlier").isNotNull() & (F.col("raw_data")["description"] != BROUGHT_FORWARD))
-        .withColumn("raw_data", _put(date=dated, amount_minor=F.col("_balance") - F.col("_earlier")))
-        .drop("_date", "_filled", "_balance", "_earlier")
+        marked.filter(F.col("_step").isNotNull() & (F.col("raw_data")["description"] != BROUGHT_FORWARD))
+        .withColumn("raw_data", _put(date=dated, amount_minor=F.col("_step")))
+        .drop("_date", "_filled", "_balance", "_step")
     )
 
 
@@ -104,16 +103,16 @@ def _liability_balances(rows: DataFrame) -> DataFrame:
     """Roll the opening balance on against the amounts. What instalments add
     beyond their own fee rows goes on the last transaction."""
     is_txn = F.col("record_type") == "transaction"
-    rolled = scan(
+    rolled = roll_on(
         rows.withColumn("_moved_by", F.when(is_txn, _minor("amount_minor"))),
-        ["ingestion_id"], ["_position"], {"_moved": running_sum("_moved_by")}, split=False,
+        ["ingestion_id"], ["_position"], "_moved_by", F.col("_opening"), "_rolled", sign=-1, split=False,
     )
     last = F.max(F.when(is_txn, F.col("_position"))).over(_by_file())
     extra = F.when(is_txn & (F.col("_position") == last), F.coalesce("_extra", F.lit(0))).otherwise(0)
-    balance = F.col("_opening") - F.col("_moved") + extra
     return rolled.withColumn(
-        "raw_data", F.when(is_txn & F.col("_rolls"), _put(balance_minor=balance)).otherwise(F.col("raw_data"))
-    ).drop("_moved_by", "_moved")
+        "raw_data",
+        F.when(is_txn & F.col("_rolls"), _put(balance_minor=F.col("_rolled") + extra)).otherwise(F.col("raw_data")),
+    ).drop("_moved_by", "_rolled")
 
 
 def _derived_closing(layout: Layout) -> Column:

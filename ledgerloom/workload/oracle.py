@@ -448,3 +448,139 @@ SELECT 'derived_' || sha256(ingestion_id || ':transaction:' || event_id) AS bron
 FROM wkly t JOIN d_anchor a ON a.account_id = t.account_id
 JOIN (SELECT account_id, max(reach) AS reach FROM d_walk GROUP BY account_id) r ON r.account_id = t.account_id
 WHERE source_type = 'bank-export' AND transaction_date > anchor_date AND transaction_date <= reach""")
+
+# --- raw rows -------------------------------------------------------------------
+
+_SOURCE = """CASE event_id % 11 WHEN 0 THEN 'monzo' WHEN 1 THEN 'monzo' WHEN 2 THEN 'kroo' WHEN 3 THEN 'natwest-transactions'
+  WHEN 4 THEN 'natwest-statement' WHEN 5 THEN 'firstdirect' WHEN 6 THEN 'amex' WHEN 7 THEN 'vanguard-pdf' WHEN 8 THEN 'monzo-pdf'
+  WHEN 9 THEN 'chase' ELSE 'monzo-flex' END"""
+ORACLE["normalize_transactions"] = sql(f"""
+SELECT 'r' || event_id AS bronze_record_id, {_SOURCE} AS source_type,
+  transaction_date || CASE event_id % 11 WHEN 0 THEN ' 08:15:30' WHEN 1 THEN ' 10:00:00' ELSE ' 00:00:00' END AS transaction_date,
+  description, CASE WHEN event_id % 13 = 0 THEN 0 ELSE amount_minor END AS amount_minor,
+  CASE WHEN event_id % 11 = 0 THEN 'EUR' ELSE 'GBP' END AS currency,
+  CASE event_id % 11 WHEN 0 THEN 'food' WHEN 1 THEN 'c' END AS category,
+  CASE event_id % 11 WHEN 0 THEN 'tx' || event_id WHEN 1 THEN 's' || event_id END AS bank_transaction_id FROM f1""")
+ORACLE["normalize_ledger"] = sql(f"""
+SELECT 'r' || event_id AS bronze_record_id, {_SOURCE} AS source_type, event_id AS balance_minor, transaction_date AS as_of_date,
+  CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS reconciled, 'printed' AS balance_source
+FROM f1 WHERE event_id % 11 NOT IN (0, 1, 3, 7)""")
+ORACLE["normalize_holdings"] = f"""
+SELECT l_orderkey || '-' || l_linenumber AS bronze_record_id, 'acc_' || l_suppkey AS account_id, 'Fund ' || l_partkey AS fund_name,
+  CASE WHEN l_returnflag = 'A' THEN '-' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS quantity,
+  CAST(0 AS BIGINT) AS unit_price_minor, {_cents('l_extendedprice')} AS total_value_minor,
+  CASE WHEN l_returnflag <> 'R' THEN CAST(l_shipdate AS DATE) ELSE DATE '2024-02-01' END AS as_of_date
+FROM lineitem WHERE l_linenumber % 2 = 1"""
+ORACLE["normalize_instalments"] = f"""
+SELECT l_orderkey || '-' || l_linenumber AS bronze_record_id, 'acc_' || l_suppkey AS account_id, 'Plan ' || l_partkey AS description,
+  CAST(l_shipdate AS DATE) AS start_date, CAST(l_shipdate AS DATE) AS as_of_date, '1 OF 3' AS instalment_progress,
+  {_cents('l_extendedprice')} AS plan_total_minor, CAST(0 AS BIGINT) AS plan_lifetime_fee_minor, CAST(77 AS BIGINT) AS remaining_balance_minor,
+  CAST(CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1234 END AS BIGINT) AS due_this_month_plan_minor,
+  CAST(0 AS BIGINT) AS due_this_month_fee_minor, CAST(0 AS BIGINT) AS due_this_month_total_minor
+FROM lineitem WHERE l_linenumber % 2 = 0"""
+ORACLE["instalment_adjustments"] = """
+SELECT 'f' || l_suppkey AS ingestion_id, CAST(1234 * count(*) AS BIGINT) AS adjustment_minor
+FROM lineitem WHERE l_linenumber % 2 = 0 AND l_returnflag <> 'A' GROUP BY l_suppkey"""
+ORACLE["running_liability_balance"] = sql("""
+SELECT event_id, CAST(10000 - sum(amount_minor) OVER (PARTITION BY account_id ORDER BY transaction_date, event_id) AS BIGINT) AS balance_minor FROM f1""")
+ORACLE["amount_from_balance_delta"] = sql("""
+SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY account_id ORDER BY transaction_date, event_id) > 1 THEN amount_minor END AS amount_minor FROM f1""")
+ORACLE["forward_fill_dates"] = sql("""
+SELECT event_id, (SELECT arg_max(x.transaction_date, x.event_id) FROM f1 x
+  WHERE x.account_id = f1.account_id AND x.event_id <= f1.event_id AND x.event_id % 3 = 0) AS filled FROM f1""")
+
+# --- statements: what each text was printed from ---------------------------------
+
+PARTS["ev"] = """
+SELECT *, user_id || '-' || (event_id // 500) AS ingestion_id, abs(amount_minor) AS size, transaction_date AS d,
+  row_number() OVER w AS seq, CAST(sum(abs(amount_minor)) OVER w AS BIGINT) AS run
+FROM f1 WINDOW w AS (PARTITION BY user_id, event_id // 500 ORDER BY event_id)"""
+PARTS["st"] = """
+SELECT ingestion_id, CAST(sum(size) AS BIGINT) AS total, CAST(sum(amount_minor) AS BIGINT) AS net, count(*) AS n,
+  min(run) AS first_run, any_value(CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END) AS wrong FROM ev GROUP BY ingestion_id"""
+
+
+def _masked(raw: str) -> str:
+    return f"substr(sha256(upper({raw})), 1, 12)"
+
+
+def _printed(
+    date: str, description: str = "description", amount: str = "amount_minor", balance: str = "run", identifier: str = "NULL",
+    check: str = "NULL", opening: str = "NULL", closing: str = "NULL", derived: str = "NULL",
+    start: str = "DATE '2024-01-01'", end: str = "DATE '2024-01-31'",
+) -> str:
+    return f"""
+SELECT ingestion_id, CAST(seq AS INTEGER) AS line_number, 'transaction' AS record_type, {identifier} AS account_identifier,
+  {date} AS date, {description} AS description, CAST({amount} AS BIGINT) AS amount_minor, CAST({balance} AS BIGINT) AS balance_minor,
+  {start} AS statement_period_from, {end} AS statement_period_to, {check} AS reconciliation_check,
+  CAST({opening} AS BIGINT) AS opening_minor, CAST({closing} AS BIGINT) AS closing_minor, CAST({derived} AS BIGINT) AS derived_minor,
+  CAST({closing} AS BIGINT) = CAST({derived} AS BIGINT) AS matches
+FROM ev JOIN st USING (ingestion_id)"""
+
+
+_DAY_MONTH = "strftime(d, '%-d %b')"
+ORACLE["parse_kroo"] = sql(_printed(
+    "strftime(d, '%d %B %Y')", "CASE WHEN amount_minor < 0 THEN 'Payment to ' ELSE 'From ' END || description",
+    # An amount of nothing is printed without a sign.
+    identifier=_masked("'11-22-33_' || user_id"), check="'kroo_closing_balance'", opening="1000", closing="total + wrong", derived="total"))
+ORACLE["parse_natwest_transactions"] = sql(_printed(
+    f"{_DAY_MONTH} || ' 2024'", balance="NULL", identifier=_masked("'*****' || user_id || '_11-22-33'")))
+ORACLE["parse_natwest_statement"] = sql(_printed(
+    f"upper({_DAY_MONTH}) || ' 2024'", amount="size", identifier=_masked("lpad(CAST(user_id AS VARCHAR), 8, '0') || '_11-22-33'"),
+    check="'natwest_statement_new_balance'", opening="0", closing="total + wrong", derived="total"))
+_ROLLED = "sum(amount_minor) OVER (PARTITION BY ingestion_id ORDER BY seq)"
+ORACLE["parse_firstdirect"] = sql(_printed(
+    "strftime(d, '%d %b %y')", balance=f"-{_ROLLED}", identifier=_masked("'400011112222' || lpad(CAST(user_id AS VARCHAR), 4, '0')"),
+    check="'first_direct_new_balance'", opening="0", closing="abs(net)", derived="-net",
+    start="DATE '2024-01-05'", end="DATE '2024-02-05'"))
+ORACLE["parse_amex"] = sql(_printed(
+    f"{_DAY_MONTH} || ' 2024'", balance=f"10000 - {_ROLLED}", identifier=_masked("'xxxx-xxxxxx-' || lpad(CAST(user_id AS VARCHAR), 5, '0')"),
+    check="'amex_closing_balance'", opening="10000", closing="abs(net)", derived="10000 - net"))
+_VG = dict(identifier=_masked("'VG' || user_id || '_ISA'"), check="'vanguard_account_summary_isa'", closing="total + wrong", derived="total", balance="NULL")
+ORACLE["parse_vanguard_pdf"] = sql(
+    _printed("NULL", amount="NULL", **_VG).replace("'transaction' AS record_type", "'holding' AS record_type")
+    + " UNION ALL " + _printed("strftime(d, '%d/%m/%Y')", **_VG).replace("CAST(seq AS INTEGER)", "CAST(n + seq AS INTEGER)"))
+ORACLE["parse_monzo_pdf"] = sql(_printed(
+    "strftime(d, '%d/%m/%Y')", identifier=_masked("'11-22-33_' || user_id"),
+    check="'monzo_pdf_personal_account_balance'", closing="total", derived="first_run"))
+ORACLE["parse_chase"] = sql(_printed(
+    "strftime(d, '%d %b %Y')", identifier=_masked("user_id || '_44-55-66'"),
+    check="'chase_closing_balance'", opening="0", closing="abs(net)", derived="net"))
+ORACLE["parse_monzo_flex"] = sql(_printed(
+    "strftime(d, '%d/%m/%Y')", check="'monzo_flex_balance_at_end'", opening="500", closing="total", derived="first_run"))
+
+ORACLE["statement_detection"] = sql("""
+SELECT layout, 'matched' AS detection, count(*) AS texts FROM st, (VALUES ('chase'), ('amex'), ('monzo-flex')) v(layout) GROUP BY layout""")
+ORACLE["layout_detection"] = """
+WITH texts AS (SELECT 'p' || page_id AS id, html AS text FROM pages UNION ALL SELECT 'd' || doc_id, text FROM documents),
+found AS (
+  SELECT id, unnest([
+    {'layout': 'page', 'c': CASE WHEN contains(text, '<html') AND contains(text, '</html>') THEN 99 ELSE 0 END},
+    {'layout': 'french', 'c': CASE WHEN contains(text, ' les ') AND contains(text, ' que ') THEN 95 ELSE 0 END},
+    {'layout': 'german', 'c': CASE WHEN contains(text, ' der ') AND contains(text, ' und ') THEN 95 ELSE 0 END},
+    {'layout': 'english', 'c': CASE WHEN contains(text, ' the ') OR contains(text, ' and ') THEN 93 ELSE 0 END},
+    {'layout': 'spanish', 'c': CASE WHEN contains(text, ' los ') OR contains(text, ' una ') THEN 85 ELSE 0 END}]) AS r
+  FROM texts WHERE length(text) >= 50),
+ranked AS (
+  SELECT id, r.layout AS layout, r.c AS c, row_number() OVER (PARTITION BY id ORDER BY r.c DESC, r.layout) AS rn FROM found WHERE r.c > 0),
+tops AS (SELECT id, max(CASE WHEN rn = 1 THEN layout END) AS layout, max(CASE WHEN rn = 1 THEN c END) AS c1,
+  max(CASE WHEN rn = 2 THEN c END) AS c2 FROM ranked GROUP BY id)
+SELECT texts.id, CASE WHEN c1 - c2 < 5 THEN NULL ELSE layout END AS layout,
+  CASE WHEN c1 IS NULL THEN 'unrecognised' WHEN c1 - c2 < 5 THEN 'ambiguous' ELSE 'matched' END AS detection
+FROM texts LEFT JOIN tops ON texts.id = tops.id"""
+ORACLE["text_segmentation"] = """
+WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+lines AS (SELECT doc_id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM cut),
+marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-E]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block
+  FROM lines WHERE line <> '')
+SELECT doc_id, CAST(block - 1 AS BIGINT) AS block_no, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY pos)) AS digest
+FROM marked WHERE block > 0 GROUP BY doc_id, block"""
+
+ORACLE["ingestion_list"] = sql("""
+SELECT ingestion_id, source_type, status, record_count,
+  CASE WHEN NOT matches AND allowed THEN 'overridden' WHEN NOT matches THEN 'mismatch' ELSE 'ok' END AS mark FROM f8""")
+ORACLE["build_listing"] = """
+SELECT strftime(m, '%Y%m') AS build_id, CAST(m AS DATE) AS built_at, count(*) AS transactions, m = max(m) OVER () AS is_current
+FROM (SELECT date_trunc('month', o_orderdate) AS m FROM orders) GROUP BY m"""
+ORACLE["manifest_summary"] = sql("""
+SELECT ingestion_id, 'complete' AS status, 'kroo' AS source_type, n AS record_count, wrong = 0 AS reconciliation_matches FROM st""")

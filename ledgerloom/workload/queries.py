@@ -17,10 +17,16 @@ from ledgerloom.operators import coverage as C
 from ledgerloom.operators import derived as V
 from ledgerloom.operators import eligibility as E
 from ledgerloom.operators import matching as X
+from ledgerloom.operators import normalize as N
 from ledgerloom.operators import reconcile as R
+from ledgerloom.operators import running as U
 from ledgerloom.operators import spending as S
-from ledgerloom.operators.ordered import row_number, scan
 from ledgerloom.registries import DerivedAnchor, MatchPolicy
+from ledgerloom.sources import lake as L
+from ledgerloom.sources import segments as G
+from ledgerloom.sources import statements as P
+from ledgerloom.sources.layouts import LAYOUTS
+from ledgerloom.workload import statements as T
 from ledgerloom.workload import views as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +35,7 @@ QUERIES: dict[str, Query] = {}
 POLICIES = (MatchPolicy(preferred="bank-statement", other="bank-export"),)
 CARD_SIGNS = {"card-statement": 1, "bank-statement": 1}
 AS_OF = dt.date(2024, 1, 20)
+BY_NAME = {layout.source_type: layout for layout in LAYOUTS}
 MONTHS = [dt.date(y, m, 1) for y in range(1995, 2002) for m in range(1, 13)]
 
 
@@ -204,13 +211,11 @@ def occurrence_numbers(spark, folder):
 @query
 def dup_suffix(spark, folder):
     """Repeats of a key within one file get a suffix, the first keeps its key."""
-    from ledgerloom.operators.normalize import suffix_repeats
-
     rows = W.events(spark, folder).select(
         "event_id", F.col("account_id").alias("ingestion_id"), F.col("event_id").alias("line_number"),
         F.col("description").alias("bronze_source_key"),
     )
-    return suffix_repeats(rows).select("event_id", "bronze_source_key")
+    return N.suffix_repeats(rows).select("event_id", "bronze_source_key")
 
 
 @query
@@ -449,3 +454,170 @@ def derived_ledger(spark, folder):
     )
     made = V.derived_ledger(rows, ledger, periods, DerivedAnchor("bank-export", "bank-export", 1))
     return made.select("bronze_record_id", "account_id", "balance_minor", "as_of_date", "balance_source", "reconciled")
+
+
+# --- raw rows to common tables --------------------------------------------------
+
+
+@query
+def normalize_transactions(spark, folder):
+    made = N.normalize_transactions(T.printed_rows(spark, folder))
+    return made.select(
+        "bronze_record_id", "source_type", F.col("transaction_date").cast("string").alias("transaction_date"), "description",
+        "amount_minor", "currency", "category", "bank_transaction_id",
+    )
+
+
+@query
+def normalize_ledger(spark, folder):
+    made = N.normalize_ledger(T.printed_rows(spark, folder))
+    return made.select("bronze_record_id", "source_type", "balance_minor", "as_of_date", "reconciled", "balance_source")
+
+
+@query
+def normalize_holdings(spark, folder):
+    made = N.normalize_holdings(T.snapshot_rows(spark, folder))
+    return made.select("bronze_record_id", "account_id", "fund_name", "quantity", "unit_price_minor", "total_value_minor", "as_of_date")
+
+
+@query
+def normalize_instalments(spark, folder):
+    made = N.normalize_instalments(T.snapshot_rows(spark, folder))
+    return made.select(
+        "bronze_record_id", "account_id", "description", "start_date", "as_of_date", "instalment_progress",
+        *[f"{f}_minor" for f in N.PLAN_FIELDS],
+    )
+
+
+@query
+def instalment_adjustments(spark, folder):
+    return R.instalment_adjustments(T.snapshot_rows(spark, folder))
+
+
+# --- running figures ------------------------------------------------------------
+
+
+@query
+def running_liability_balance(spark, folder):
+    rows = U.roll_on(
+        W.events(spark, folder), ["account_id"], ["transaction_date", "event_id"], "amount_minor", F.lit(10_000), "balance_minor", sign=-1
+    )
+    return rows.select("event_id", "balance_minor")
+
+
+@query
+def amount_from_balance_delta(spark, folder):
+    rows = U.step_from_previous(
+        W.ledger(spark, folder).drop("amount_minor"), ["account_id"], ["as_of_date", "event_id"], "balance_minor", "amount_minor"
+    )
+    return rows.select("event_id", "amount_minor")
+
+
+@query
+def forward_fill_dates(spark, folder):
+    """Dates printed on every third row only."""
+    rows = W.events(spark, folder).withColumn(
+        "printed", F.when(F.col("event_id") % 3 == 0, F.col("transaction_date"))
+    )
+    return U.fill_down(rows, ["account_id"], ["event_id"], "printed", "filled").select("event_id", "filled")
+
+
+# --- statements -----------------------------------------------------------------
+
+
+def _parsed(layout):
+    def run(spark, folder):
+        made = P.parse_layout(T.statement_texts(spark, folder, layout), BY_NAME[layout])
+        raw = F.col("raw_data")
+        return made.select(
+            "ingestion_id", "line_number", "record_type", "account_identifier",
+            raw["date"].alias("date"), F.coalesce(raw["description"], raw["fund_name"]).alias("description"),
+            raw["amount_minor"].cast("long").alias("amount_minor"), raw["balance_minor"].cast("long").alias("balance_minor"),
+            "statement_period_from", "statement_period_to", "reconciliation_check",
+            F.col("reconciliation_expected_opening_minor").alias("opening_minor"),
+            F.col("reconciliation_expected_closing_minor").alias("closing_minor"),
+            F.col("reconciliation_derived_closing_minor").alias("derived_minor"),
+            F.col("reconciliation_matches").alias("matches"),
+        )
+
+    return run
+
+
+for _layout in BY_NAME:
+    QUERIES[f"parse_{_layout.replace('-', '_')}"] = _parsed(_layout)
+
+
+@query
+def layout_detection(spark, folder):
+    """Marker rules over every page and document, with ties between them."""
+    texts = W.table(spark, folder, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text")).unionByName(
+        W.table(spark, folder, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    )
+    return _by_markers(texts)
+
+
+def _by_markers(texts: DataFrame) -> DataFrame:
+    text = F.col("text")
+    rules = (
+        ("page", 0.99, text.contains("<html") & text.contains("</html>")),
+        ("french", 0.95, text.contains(" les ") & text.contains(" que ")),
+        ("german", 0.95, text.contains(" der ") & text.contains(" und ")),
+        ("english", 0.93, text.contains(" the ") | text.contains(" and ")),
+        ("spanish", 0.85, text.contains(" los ") | text.contains(" una ")),
+    )
+    candidates = F.array(
+        *[
+            F.struct(F.when((F.length(text) >= 50) & test, confidence).otherwise(0.0).alias("confidence"), F.lit(name).alias("layout"))
+            for name, confidence, test in rules
+        ]
+    )
+    layout, status = P.best_layout(candidates)
+    return texts.select("id", layout.alias("layout"), status.alias("detection"))
+
+
+@query
+def statement_detection(spark, folder):
+    """The statement layouts themselves, over texts of three of them."""
+    texts = T.statement_texts(spark, folder, "chase").unionByName(T.statement_texts(spark, folder, "amex")).unionByName(
+        T.statement_texts(spark, folder, "monzo-flex")
+    )
+    found = P.detect_layouts(texts)
+    return found.groupBy("layout", "detection").agg(F.count("*").alias("texts"))
+
+
+@query
+def text_segmentation(spark, folder):
+    """Every document cut into blocks, each from a line that starts with A to E."""
+    cut = G.blocks(G.lines_of(F.col("text")), G.begins_with("^[A-E]"))
+    return (
+        W.table(spark, folder, "documents")
+        .select("doc_id", F.posexplode(cut).alias("block_no", "lines"))
+        .select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.size("lines").cast("long").alias("n_lines"),
+                F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
+    )
+
+
+# --- catalogue ------------------------------------------------------------------
+
+
+@query
+def ingestion_list(spark, folder):
+    return L.ingestion_list(W.manifest(spark, folder))
+
+
+@query
+def build_listing(spark, folder):
+    """One build per order month, newest first."""
+    month = F.trunc("o_orderdate", "month")
+    builds = W.table(spark, folder, "orders").groupBy(
+        F.date_format(month, "yyyyMM").alias("build_id"), month.alias("built_at")
+    ).agg(F.count("*").alias("transactions"))
+    return L.newest_first(builds)
+
+
+@query
+def manifest_summary(spark, folder):
+    """Manifest rows as ingesting would write them, out of parsed statements."""
+    texts = T.statement_texts(spark, folder, "kroo").withColumns({"layout": F.lit("kroo"), "detection": F.lit("matched")})
+    made = L.manifest_of(texts, P.parse_layout(texts, BY_NAME["kroo"]))
+    return made.select("ingestion_id", "status", "source_type", "record_count", "reconciliation_matches")
