@@ -68,8 +68,8 @@ def _has(*needles: str) -> Callable[[Column], Column]:
 
 
 def _span(start: Column, end: Column) -> Column:
-    ok = start.isNotNull() & end.isNotNull()
-    return F.when(ok, F.struct(start.cast("date").alias("from"), end.cast("date").alias("to")))
+    dates = F.struct(start.cast("date").alias("from"), end.cast("date").alias("to"))
+    return G.let(dates, lambda p: F.when(p["from"].isNotNull() & p["to"].isNotNull(), p))
 
 
 def _period(pattern: str, fmt: str) -> Callable[[Column], Column]:
@@ -315,10 +315,21 @@ def _amex_period(text: Column) -> Column:
     """The year is printed on the closing date only."""
     pattern = r"From\s+(\d{1,2}\s+[A-Za-z]+)\s+to\s+(\d{1,2}\s+[A-Za-z]+)\s+(\d{4})"
     first, last, year = (_one_space(G.extract(text, pattern, i)) for i in (1, 2, 3))
-    end = D.try_format(F.concat_ws(" ", last, year), D.DAY_FULL_MONTH_YEAR)
-    placed = D.try_format(F.concat(first, F.lit(" 2000")), D.DAY_FULL_MONTH_YEAR)
-    from_year = F.year(end) - (F.month(placed) > F.month(end)).cast("int")
-    return _span(F.try_make_timestamp_ntz(from_year, F.month(placed), F.dayofmonth(placed), F.lit(0), F.lit(0), F.lit(0)), end)
+    printed = F.struct(
+        # A leap year, so that a 29 February can be read before its year is known.
+        D.try_format(F.concat(first, F.lit(" 2000")), D.DAY_FULL_MONTH_YEAR).alias("placed"),
+        D.try_format(F.concat_ws(" ", last, year), D.DAY_FULL_MONTH_YEAR).alias("end"),
+    )
+
+    def with_year(p: Column) -> Column:
+        placed, end = p["placed"], p["end"]
+        from_year = F.year(end) - (F.month(placed) > F.month(end)).cast("int")
+        zero = F.lit(0)
+        return _span(
+            F.try_make_timestamp_ntz(from_year, F.month(placed), F.dayofmonth(placed), zero, zero, zero), end
+        )
+
+    return G.let(printed, with_year)
 
 
 def _amex(text: Column, period: Column) -> Column:

@@ -161,8 +161,10 @@ def parse_layout(documents: DataFrame, layout: Layout) -> DataFrame:
         F.col("_period.from").alias("statement_period_from"), F.col("_period.to").alias("statement_period_to"),
         "_identifier", "_opening", "_closing", "_extra", "_rolls", "_totals",
         F.col("_derived") if layout.derived is not None else F.lit(None).cast("long").alias("_derived"),
-        F.posexplode("_records").alias("_position", "_record"),
-    ).select("*", "_record.record_type", "_record.raw_data", "_record.wrapper").drop("_record")
+        # A plain explode makes the optimizer test the array's size in a filter of
+        # its own, for which all records would be parsed a second time.
+        F.posexplode_outer("_records").alias("_position", "_record"),
+    ).filter("_position IS NOT NULL").select("*", "_record.record_type", "_record.raw_data", "_record.wrapper").drop("_record")
 
     if layout.running == "delta":
         rows = _amounts_from_balances(rows)

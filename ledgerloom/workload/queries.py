@@ -591,7 +591,8 @@ def text_segmentation(spark, folder):
     cut = G.blocks(G.lines_of(F.col("text")), G.begins_with("^[A-E]"))
     return (
         W.table(spark, folder, "documents")
-        .select("doc_id", F.posexplode(cut).alias("block_no", "lines"))
+        .select("doc_id", F.posexplode_outer(cut).alias("block_no", "lines"))
+        .filter("block_no IS NOT NULL")
         .select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.size("lines").cast("long").alias("n_lines"),
                 F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
     )
