@@ -79,10 +79,20 @@ def coverage_calendar(periods: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def coverage_pivot(calendar: DataFrame, months: Sequence[dt.date] | None = None) -> DataFrame:
-    """Accounts down, months across. Naming the months saves a pass over the data."""
-    labelled = calendar.withColumn("label", F.date_format("month", "MMM yyyy"))
-    labels = None if months is None else [m.strftime("%b %Y") for m in months]
-    return labelled.groupBy("account_id", "display_name").pivot("label", labels).agg(F.first("status"))
+    """Accounts down, months across. Naming the months saves a pass over the data.
+
+    An account has one cell per month of the range, so its cells are gathered as
+    a map and spread out; a pivot of as many columns as months keeps a buffer of
+    all of them for every row it sees."""
+    if months is None:
+        months = sorted(row["month"] for row in calendar.select("month").distinct().collect())
+    cells = calendar.groupBy("account_id", "display_name").agg(
+        F.map_from_entries(F.collect_set(F.struct("month", "status"))).alias("cells")
+    )
+    return cells.select(
+        "account_id", "display_name",
+        *[F.try_element_at("cells", F.lit(m)).alias(m.strftime("%b %Y")) for m in months],
+    )
 
 
 def contiguous_end(periods: DataFrame, anchors: DataFrame, tolerance: int = GAP_TOLERANCE_DAYS) -> DataFrame:

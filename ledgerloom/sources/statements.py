@@ -18,6 +18,7 @@ from ledgerloom.functions.dates import year_in_period
 from ledgerloom.operators.normalize import suffix_repeats
 from ledgerloom.operators.ordered import row_number, scan
 from ledgerloom.operators.running import fill_down, roll_on, step_from_previous
+from ledgerloom.sources.segments import let
 from ledgerloom.sources.layouts import (
     AMBIGUITY, BROUGHT_FORWARD, CONFIDENCE, LAYOUTS, MIN_TEXT, PLAN_FEE, Layout, wrapper_check_name, wrapper_totals,
 )
@@ -25,23 +26,25 @@ from ledgerloom.sources.layouts import (
 MATCHED, UNRECOGNISED, AMBIGUOUS = "matched", "unrecognised", "ambiguous"
 
 
-def best_layout(candidates: Column, least: float = 0.0, closest: float = AMBIGUITY) -> tuple[Column, Column]:
-    """(layout, status) out of an array of struct(confidence, layout).
+def best_layout(candidates: Column, least: float = 0.0, closest: float = AMBIGUITY) -> Column:
+    """struct(layout, status) out of an array of struct(confidence, layout).
 
     The highest confidence wins; two tops closer than `closest` are ambiguous."""
+
+    def by_confidence(a: Column, b: Column) -> Column:
+        return (
+            F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1)
+            .when(a["layout"] < b["layout"], -1).when(a["layout"] > b["layout"], 1).otherwise(0)
+        )
+
+    def decide(ranked: Column) -> Column:
+        first, second = F.get(ranked, 0), F.get(ranked, 1)
+        tied = second.isNotNull() & (F.abs(first["confidence"] - second["confidence"]) < closest)
+        status = F.when(first.isNull(), UNRECOGNISED).when(tied, AMBIGUOUS).otherwise(MATCHED)
+        return F.struct(F.when(first.isNotNull() & ~F.coalesce(tied, F.lit(False)), first["layout"]).alias("layout"), status.alias("status"))
+
     found = F.filter(candidates, lambda c: c["confidence"] > least)
-    ranked = F.array_sort(
-        found,
-        lambda a, b: F.when(a["confidence"] > b["confidence"], -1)
-        .when(a["confidence"] < b["confidence"], 1)
-        .when(a["layout"] < b["layout"], -1)
-        .when(a["layout"] > b["layout"], 1)
-        .otherwise(0),
-    )
-    first, second = F.get(ranked, 0), F.get(ranked, 1)
-    tied = second.isNotNull() & (F.abs(first["confidence"] - second["confidence"]) < closest)
-    status = F.when(first.isNull(), UNRECOGNISED).when(tied, AMBIGUOUS).otherwise(MATCHED)
-    return F.when(status == MATCHED, first["layout"]), status
+    return let(F.array_sort(found, by_confidence), decide)
 
 
 def detect_layouts(documents: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
@@ -57,8 +60,9 @@ def detect_layouts(documents: DataFrame, layouts: Sequence[Layout] = LAYOUTS) ->
             for layout in layouts
         ]
     )
-    layout, status = best_layout(candidates)
-    return documents.withColumns({"layout": layout, "detection": status})
+    return documents.withColumn("_best", best_layout(candidates)).select(
+        *documents.columns, F.col("_best.layout").alias("layout"), F.col("_best.status").alias("detection")
+    )
 
 
 def _minor(name: str) -> Column:

@@ -571,8 +571,8 @@ def _by_markers(texts: DataFrame) -> DataFrame:
             for name, confidence, test in rules
         ]
     )
-    layout, status = P.best_layout(candidates)
-    return texts.select("id", layout.alias("layout"), status.alias("detection"))
+    best = texts.withColumn("best", P.best_layout(candidates))
+    return best.select("id", F.col("best.layout").alias("layout"), F.col("best.status").alias("detection"))
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import materialized
 from ledgerloom.workload import views as W
 
 BLOCK = 500
@@ -107,13 +108,14 @@ def statement_texts(spark: SparkSession, folder: str, layout: str) -> DataFrame:
         "monzo-flex": _lines("Flex statement\n01/01/2024 - 31/01/2024\n£5.00\nBalance at start\n£", pounds(total),
                              "\nBalance at end\nBalance\n", rows, "This is legally prescribed\n"),
     }[layout]
-    return texts.select(
+    # Stored, as statements are: the layouts then read text from a table.
+    return materialized(texts.select(
         "ingestion_id",
         F.concat("ingestion_id", F.lit(".txt")).alias("filename"),
         F.concat(F.lit("in/"), "ingestion_id").alias("raw_artifact_path"),
         text.alias("text"),
         F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("upload_timestamp"),
-    )
+    ))
 
 
 def printed_rows(spark: SparkSession, folder: str) -> DataFrame:
