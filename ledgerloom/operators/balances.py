@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import format_minor
 from ledgerloom.registries import NEWEST_FIRST_SOURCES
+from ledgerloom.session import materialized
 
 
 class MixedCurrencyError(Exception):
@@ -111,6 +112,13 @@ def with_contribution(balances: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
+def _worth(balances: DataFrame, snapshot: DataFrame, accounts: DataFrame) -> DataFrame:
+    parts = with_contribution(balances, accounts).select(F.col("contribution_to_net_worth").alias("v")).unionByName(
+        snapshot.select(F.col("total_value_minor").alias("v"))
+    )
+    return parts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("net_worth_minor"))
+
+
 def net_worth(
     ledger: DataFrame, holdings: DataFrame, accounts: DataFrame, as_of: dt.date | Column | None = None,
     check_currency: bool = False,
@@ -120,19 +128,19 @@ def net_worth(
     snapshot = latest_holdings(holdings, as_of)
     if check_currency:
         require_one_currency(balances, snapshot)
-    parts = with_contribution(balances, accounts).select(F.col("contribution_to_net_worth").alias("v")).unionByName(
-        snapshot.select(F.col("total_value_minor").alias("v"))
-    )
-    return parts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("net_worth_minor"))
+    return _worth(balances, snapshot, accounts)
 
 
 def net_worth_change(ledger: DataFrame, holdings: DataFrame, accounts: DataFrame) -> DataFrame:
     """Net worth now and its change since a month before the newest balance.
 
-    The comparison date is a scalar subquery: no value passes the driver."""
-    newest = current_balances(ledger).agg(F.max("as_of_date").alias("d"))
+    Balances of now, one row per account, are kept: they give both the figure and
+    the date to compare with, so the ledger is read twice and not three times.
+    That date is a scalar subquery and does not pass the driver."""
+    balances = materialized(current_balances(ledger))
+    newest = balances.agg(F.max("as_of_date").alias("d"))
     month_before = newest.select(F.add_months("d", -1)).scalar()
-    now = net_worth(ledger, holdings, accounts)
+    now = _worth(balances, latest_holdings(holdings), accounts)
     then = net_worth(ledger, holdings, accounts, month_before)
     change = F.when(newest.scalar().isNotNull(), F.col("net_worth_minor") - then.scalar())
     return now.select("net_worth_minor", change.alias("delta_minor"))

@@ -366,7 +366,7 @@ SELECT account_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
 ORACLE["current_balances"] = sql("SELECT * FROM bal")
 ORACLE["balances_as_of"] = sql("SELECT * FROM bal20")
 ORACLE["wholly_disproven_accounts"] = sql("""
-SELECT account_id FROM f4 WHERE as_of_date <= DATE '2024-01-07' GROUP BY account_id HAVING count(*) = count(*) FILTER (WHERE reconciled = false)""")
+SELECT account_id FROM f4 GROUP BY account_id HAVING count(*) = count(*) FILTER (WHERE reconciled = false OR user_id % 9 = 0)""")
 ORACLE["latest_holdings"] = sql("SELECT account_id, fund_name, as_of_date, total_value_minor FROM hold")
 ORACLE["net_worth"] = sql("SELECT CAST(coalesce(sum(contribution_to_net_worth), 0) AS BIGINT) AS net_worth_minor FROM brk")
 PARTS["o_bal"] = """

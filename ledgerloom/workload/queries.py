@@ -25,6 +25,7 @@ from ledgerloom.registries import DerivedAnchor, MatchPolicy
 from ledgerloom.sources import lake as L
 from ledgerloom.sources import segments as G
 from ledgerloom.sources import statements as P
+from ledgerloom.session import materialized
 from ledgerloom.sources.layouts import LAYOUTS
 from ledgerloom.workload import statements as T
 from ledgerloom.workload import views as W
@@ -284,8 +285,8 @@ def balances_as_of(spark, folder):
 
 @query
 def wholly_disproven_accounts(spark, folder):
-    early = W.ledger(spark, folder).filter("as_of_date <= DATE '2024-01-07'")
-    return B.wholly_disproven_accounts(early)
+    verdict = F.when(F.col("user_id") % 9 == 0, F.lit(False)).otherwise(F.col("reconciled"))
+    return B.wholly_disproven_accounts(W.ledger(spark, folder).withColumn("reconciled", verdict))
 
 
 @query
@@ -384,9 +385,9 @@ def _status(spark, folder):
     return R.reconciliation_status(W.bronze(spark, folder), W.registry(spark, folder), W.SOURCES)
 
 
-def _continuity(spark, folder):
+def _continuity(spark, folder, status=None):
     periods = C.statement_periods(W.bronze(spark, folder), W.registry(spark, folder), W.SOURCES)
-    return R.balance_continuity(_status(spark, folder), periods)
+    return R.balance_continuity(_status(spark, folder) if status is None else status, periods)
 
 
 def _weekly_matched(spark, folder):
@@ -415,10 +416,10 @@ def contribution_by_survivor(spark, folder):
     return R.contribution_by_ingestion(matched.sources, matched.transactions, attribute="survivor")
 
 
-def _rollforward(spark, folder):
+def _rollforward(spark, folder, status=None):
     matched = _weekly_matched(spark, folder)
     contributions = R.contribution_by_ingestion(matched.sources, matched.transactions)
-    return R.silver_rollforward(_status(spark, folder), contributions, signs=CARD_SIGNS)
+    return R.silver_rollforward(_status(spark, folder) if status is None else status, contributions, signs=CARD_SIGNS)
 
 
 @query
@@ -427,7 +428,9 @@ def silver_rollforward(spark, folder):
 
 
 def _log(spark, folder):
-    return R.reconciliation_log(_status(spark, folder), _continuity(spark, folder), _rollforward(spark, folder))
+    # One row per file, read by all three checks.
+    status = materialized(_status(spark, folder))
+    return R.reconciliation_log(status, _continuity(spark, folder, status), _rollforward(spark, folder, status))
 
 
 @query
@@ -445,9 +448,10 @@ def reconciliation_summary(spark, folder):
 
 @query
 def derived_ledger(spark, folder):
-    """Exports without balances, rolled on from balances of the first ten days."""
-    ledger = W.ledger(spark, folder).filter("as_of_date <= DATE '2024-01-10'")
-    rows = W.transactions(spark, folder).filter("ingestion_id LIKE '%-W%'")
+    """Exports rolled on from balances that are confirmed up to 10 January only."""
+    confirmed = F.when(F.col("as_of_date") <= F.lit(dt.date(2024, 1, 10)), F.col("reconciled"))
+    ledger = W.ledger(spark, folder).withColumn("reconciled", confirmed)
+    rows = W.weekly_transactions(spark, folder)
     periods = rows.select(
         "account_id", "source_type", F.col("statement_period_from").alias("period_from"),
         F.col("statement_period_to").alias("period_to"),

@@ -108,14 +108,15 @@ def statement_texts(spark: SparkSession, folder: str, layout: str) -> DataFrame:
         "monzo-flex": _lines("Flex statement\n01/01/2024 - 31/01/2024\n£5.00\nBalance at start\n£", pounds(total),
                              "\nBalance at end\nBalance\n", rows, "This is legally prescribed\n"),
     }[layout]
-    # Stored, as statements are: the layouts then read text from a table.
+    # Stored and spread out, as statements are: reading them is work per text,
+    # which their few bytes do not show.
     return materialized(texts.select(
         "ingestion_id",
         F.concat("ingestion_id", F.lit(".txt")).alias("filename"),
         F.concat(F.lit("in/"), "ingestion_id").alias("raw_artifact_path"),
         text.alias("text"),
         F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("upload_timestamp"),
-    ))
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ingestion_id"))
 
 
 def printed_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,6 +79,10 @@ def weekly(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def weekly_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return _as_transactions(weekly(spark, folder))
+
+
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """weekly statements, and a second download over 10..20 January."""
     again = (
@@ -200,7 +204,7 @@ def anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 def bronze(spark: SparkSession, folder: str) -> DataFrame:
     """The weekly statements as raw rows, with payload, identifiers and checks."""
-    rows = _as_transactions(weekly(spark, folder))
+    rows = weekly_transactions(spark, folder)
     checked = rows.join(anchors(spark, folder), ["user_id", "wk"])
     export = F.col("source_type") == "bank-export"
     return checked.select(
