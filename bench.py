@@ -17,13 +17,11 @@ from ledgerloom.session import local_session
 from ledgerloom.workload.queries import QUERIES
 
 HEADLINE = [
-    "monthly_spend", "weekly_spend", "max_weekly_spend", "available_months", "money_parse", "fingerprints",
-    "account_resolution", "unmapped_accounts", "eligible_rows", "occurrence_numbers", "overlap_dedupe",
-    "cross_source_dedupe", "match_transactions", "transaction_sources", "deduplicated_monthly_spend",
-    "current_balances", "latest_holdings", "net_worth", "net_worth_delta", "account_breakdown", "statement_periods",
-    "coverage_gaps_orders", "coverage_calendar", "coverage_pivot", "contiguous_end", "balance_continuity",
-    "silver_rollforward", "derived_ledger", "normalize_transactions", "normalize_holdings", "running_liability_balance",
-    "layout_detection", "text_segmentation", "parse_chase", "parse_natwest_statement",
+    "monthly_spend", "weekly_spend", "money_parse", "fingerprints", "account_resolution", "occurrence_numbers",
+    "overlap_dedupe", "match_transactions", "deduplicated_monthly_spend", "current_balances", "latest_holdings",
+    "net_worth_delta", "account_breakdown", "coverage_gaps_orders", "coverage_calendar", "coverage_pivot",
+    "contiguous_end", "balance_continuity", "derived_ledger", "normalize_transactions", "normalize_holdings",
+    "running_liability_balance", "layout_detection", "text_segmentation", "parse_chase", "parse_natwest_statement",
 ]
 
 

@@ -25,25 +25,42 @@ from ledgerloom.sources.statements import detect_layouts, parse_statements
 def ingest_texts(lake: Lake, texts: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """Detect, parse and store texts that are new; returns their manifest rows.
 
-    Bronze first, manifest last: an ingest that is cut off leaves no complete
-    manifest, and doing it again adds no row twice."""
-    fresh = materialized(detect_layouts(new_files(one_per_content(texts), lake.manifest()), layouts))
+    A manifest row says `archived` before Bronze is touched and `complete` after.
+    An ingest that is cut off in between leaves the first, so doing it again looks
+    for rows of these files in Bronze and adds none twice."""
+    known = lake.manifest()
+    fresh = materialized(detect_layouts(new_files(one_per_content(texts), known), layouts))
+    suspects = materialized(_seen_before(fresh, known))
+    lake.write_manifest(_archived(fresh))
     rows = materialized(parse_statements(fresh, layouts))
-    lake.write_bronze(rows)
+    lake.write_bronze(rows, suspects)
     manifests = materialized(manifest_of(fresh, rows))
     lake.write_manifest(manifests)
     return manifests
 
 
+def _seen_before(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    return files.select("ingestion_id").join(manifest.select("ingestion_id"), "ingestion_id", "left_semi")
+
+
+def _archived(files: DataFrame) -> DataFrame:
+    return files.select(
+        "ingestion_id", F.col("filename").alias("original_filename"), "raw_artifact_path", F.lit("archived").alias("status")
+    )
+
+
 def ingest_rows(lake: Lake, rows: DataFrame) -> DataFrame:
     """Store rows that need no layout, such as CSV exports."""
-    rows = materialized(rows)
+    known = lake.manifest()
+    done = known.filter("status = 'complete'").select("ingestion_id")
+    rows = materialized(rows.join(done, "ingestion_id", "left_anti"))
     files = rows.select("ingestion_id", "filename", "raw_artifact_path").distinct().withColumns(
         {"layout": F.lit(None).cast("string"), "detection": F.lit("matched")}
     )
-    done = lake.manifest().filter("status = 'complete'").select("ingestion_id")
-    manifests = materialized(manifest_of(files.join(done, "ingestion_id", "left_anti"), rows))
-    lake.write_bronze(rows)
+    suspects = materialized(_seen_before(files, known))
+    lake.write_manifest(_archived(files))
+    lake.write_bronze(rows, suspects)
+    manifests = materialized(manifest_of(files, rows))
     lake.write_manifest(manifests)
     return manifests
 

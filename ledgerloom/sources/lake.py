@@ -52,11 +52,19 @@ class Lake:
         rows = _read_or_empty(self.spark, self._at("bronze"), schemas.BRONZE)
         return rows.filter(F.col("source_type").isin(*source_types)) if source_types else rows
 
-    def write_bronze(self, rows: DataFrame) -> DataFrame:
+    def write_bronze(self, rows: DataFrame, suspects: DataFrame | None = None) -> DataFrame:
         """Append rows of ingestions that are not stored yet; returns these rows.
-        What is stored is never rewritten."""
-        stored = self.bronze().select("ingestion_id").distinct()
-        fresh = materialized(schemas.conform(rows, schemas.BRONZE).join(stored, "ingestion_id", "left_anti"))
+        What is stored is never rewritten.
+
+        `suspects` are the ingestion ids that may be stored already, from an
+        ingest that was cut off. As a rule there are none, and Bronze is not read."""
+        fresh = schemas.conform(rows, schemas.BRONZE)
+        if suspects is None or not suspects.isEmpty():
+            stored = self.bronze().select("ingestion_id")
+            if suspects is not None:
+                stored = stored.join(suspects.select("ingestion_id"), "ingestion_id", "left_semi")
+            # Written down first, since Bronze is both read and added to.
+            fresh = materialized(fresh.join(stored.distinct(), "ingestion_id", "left_anti"))
         fresh.write.partitionBy("source_type").mode("append").parquet(self._at("bronze"))
         return fresh
 
@@ -162,19 +170,26 @@ class Lake:
             for name in names:
                 self.silver(name, build_id).createOrReplaceTempView(name)
                 made.append(name)
-        sources = self.bronze().select("source_type").distinct().collect()
-        for source in sorted(row["source_type"] for row in sources):
+        # A manifest row per file says which sources there are; Bronze is not read.
+        sources = self.manifest().filter(F.col("status") == COMPLETE).select("source_type").distinct().collect()
+        for source in sorted(row["source_type"] for row in sources if row["source_type"]):
             view = f"bronze_{view_name(source)}"
             self.bronze(source).createOrReplaceTempView(view)
             made.append(view)
+        _REGISTERED[self.spark.sparkContext.applicationId] = (self.root, build_id)
         return made
 
     def query(self, sql: str, **args) -> DataFrame:
         """Spark SQL over the views, which follow the current build."""
-        self.refresh_views()
+        if _REGISTERED.get(self.spark.sparkContext.applicationId) != (self.root, self.current_build_id()):
+            self.refresh_views()
         return self.spark.sql(sql, args=args or None)
 
 
+# Which lake and build the session's views belong to.
+_REGISTERED: dict[str, tuple[str, str | None]] = {}
+
+
 def newest_first(builds: DataFrame) -> DataFrame:
     """The build list, the current build marked. Comparing with the newest id is
     an aggregate, so no task sees all builds."""

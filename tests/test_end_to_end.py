@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
 from ledgerloom.operators import balances as B
-from ledgerloom.operators import coverage as C
 from ledgerloom.operators.accounts import UnmappedAccountsError
 from ledgerloom.operators.reconcile import ReconciliationMismatchError
 from ledgerloom.plans.rebuild import ingest_rows, ingest_texts, rebuild
@@ -203,3 +202,16 @@ def test_registry_file(spark, tmp_path):
     lake.register(entry(spark, "identifier", "aa", "x", "Old", "credit"))
     lake.register(entry(spark, "identifier", "aa", "y", "New", "credit"))
     assert [(r.account_id, r.display_name) for r in lake.registry().collect()] == [("y", "New")]
+
+
+def test_an_ingest_cut_off_before_its_manifest_adds_nothing_twice(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    texts = read_texts(spark, put(tmp_path / "in", s1=SCENARIO["s1"]))
+    ingest_texts(lake, texts, NATWEST[:1])
+    # As if the second manifest row had never been written.
+    broken = Lake(spark, str(tmp_path / "broken"))
+    lake.bronze().write.partitionBy("source_type").parquet(broken.root + "/bronze")
+    lake.manifest_log().filter("status = 'archived'").write.parquet(broken.root + "/manifests")
+    ingest_texts(broken, texts, NATWEST[:1])
+    assert broken.bronze().count() == lake.bronze().count() == 1
+    assert broken.manifest().head().status == "complete"
