@@ -36,12 +36,20 @@ def local_session(cpus: str | int = "*", app: str = "ledgerloom") -> SparkSessio
     )
 
 
+SCRATCH = "spark.ledgerloom.scratch"  # can be set on a live session, unlike spark.checkpoint.dir
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in `spark.checkpoint.dir`. A folder of
-    our own is made only where that is unset, as on one machine in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: `spark.ledgerloom.scratch`,
+    or else `spark.checkpoint.dir`. Only a local master, where all tasks see the same
+    disk, may go without; a folder of its own is made for it."""
+    named = spark.conf.get(SCRATCH, None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = named or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir or {SCRATCH} to a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="spark-ledgerloom-"))
         atexit.register(shutil.rmtree, _OWN_FOLDER[0], ignore_errors=True)
@@ -51,16 +59,28 @@ def scratch_folder(spark: SparkSession) -> str:
 _OWN_FOLDER: list[str] = []
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, kept_in: list[str] | None = None) -> DataFrame:
     """Compute `df` once, as a table in the scratch folder.
 
     Later readers pick their columns from it, Catalyst knows its size, and a lost
-    executor costs no recomputation. Used where a result is read several times."""
+    executor costs no recomputation. Used where a result is read several times.
+    The path is added to `kept_in`, for `released` once the last reader is done."""
     path = f"{scratch_folder(df.sparkSession).rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if kept_in is not None:
+        kept_in.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    paths.clear()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate of a plan; it errs high after joins."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
