@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, exact_dedup, mixing, pii, sharding
+from ledgerloom.llm import chat, exact_dedup, mixing, packing, pii, sharding, wavelet
 from ledgerloom.llm.common import materialized
 from ledgerloom.llm.oracle import LLM_ORACLE
+from ledgerloom.session import scratch_folder
 
 __all__ = ["LLM_ORACLE", "LLM_QUERIES"]
 
@@ -40,10 +42,28 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents")).drop("group")
 
 
+def tokenizer(name: str) -> str:
+    """The file of a public tokenizer, on whichever machine asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{scratch_folder(spark).rstrip('/')}/ledgerloom/tokens-{uuid.uuid4().hex}"
+    return wavelet.documents(wavelet.written(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), path))
+
+
+def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(packing.pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_copies,
     "op3_chat_formatting": chat_examples,
     "op4_pii": personal_data,
     "op5_mixing": mixture,
     "op7_sharding": shards,
+    "op8_token_files": token_files,
+    "op9_packing": packed_sequences,
 }
