@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, exact_dedup, mixing, packing, pii, sharding, wavelet
+from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, sharding, wavelet
 from ledgerloom.llm.common import materialized
 from ledgerloom.llm.oracle import LLM_ORACLE
 from ledgerloom.session import scratch_folder
@@ -38,6 +38,10 @@ def mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"))
 
 
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents")).drop("row_id")
+
+
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents")).drop("group")
 
@@ -63,6 +67,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": chat_examples,
     "op4_pii": personal_data,
     "op5_mixing": mixture,
+    "op6_minhash_near_dedup": near_copies,
     "op7_sharding": shards,
     "op8_token_files": token_files,
     "op9_packing": packed_sequences,
