@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, sharding, wavelet
+from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, sharding, topk, wavelet
 from ledgerloom.llm.common import materialized
 from ledgerloom.llm.oracle import LLM_ORACLE
 from ledgerloom.session import scratch_folder
@@ -19,6 +19,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def best_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.nearest(table(spark, folder, "embeddings"))
+
+
 def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, folder, "documents")).drop("row_id")
 
@@ -63,6 +67,7 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": best_matches,
     "op2_exact_dedup": exact_copies,
     "op3_chat_formatting": chat_examples,
     "op4_pii": personal_data,
