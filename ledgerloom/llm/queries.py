@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, sharding, topk, wavelet
+import corpus_pipeline
+
+from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, sharding, topk, toxicity, wavelet
 from ledgerloom.llm.common import materialized
 from ledgerloom.llm.oracle import LLM_ORACLE
 from ledgerloom.session import scratch_folder
@@ -66,6 +68,15 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, folder, "labels")))
+
+
+def whole_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": best_matches,
     "op2_exact_dedup": exact_copies,
@@ -76,4 +87,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": shards,
     "op8_token_files": token_files,
     "op9_packing": packed_sequences,
+    "op10_toxicity": toxic_scores,
+    "pipeline": whole_pipeline,
 }
