@@ -211,7 +211,7 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 30) -> np.nd
     return post
 
 
-def linear(votes: np.ndarray, target: np.ndarray, penalty: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
+def linear(votes: np.ndarray, target: np.ndarray, penalty: float = 0.05, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model on soft targets, by Newton's method."""
     x = np.column_stack([votes, np.ones(len(votes))])
     ridge = np.full(x.shape[1], penalty)
