@@ -36,21 +36,22 @@ def uniform(*parts: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) / F.lit(float(1 << 53))
 
 
-def numbered(df: DataFrame, groups: list[str], order: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each group from 0, without gaps, however large the group.
 
-    Rows are dealt into buckets by a hash of the unique column `order`; buckets are
+    Rows are dealt into buckets by a hash of the first column of `order`, whose values
+    repeat seldom and which is unique with the others; buckets are
     counted, their counts summed up in bucket order (a few rows per group), and a
     window numbers each (group, bucket) on its own."""
     bucket, first, row = fresh(df, "bucket"), fresh(df, "first"), fresh(df, "row")
     n = 4 * shuffle_partitions(df)
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit(97), F.col(order)), F.lit(n)).cast("int"))
+    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit(97), F.col(order[0])), F.lit(n)).cast("int"))
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         dealt.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias(row))
         .select(*groups, bucket, F.coalesce(F.sum(row).over(before), F.lit(0)).alias(first))
     )
-    inside = Window.partitionBy(*groups, bucket).orderBy(order)
+    inside = Window.partitionBy(*groups, bucket).orderBy(*order)
     return (
         dealt.withColumn(row, F.row_number().over(inside) - 1)
         .join(firsts, [*groups, bucket])
