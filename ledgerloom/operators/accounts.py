@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import listing
+
 IDENTIFIER, FALLBACK = "identifier", "source_type"
 
 
@@ -76,17 +78,15 @@ def unmapped_accounts(bronze: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def require_mapped(bronze: DataFrame, registry: DataFrame) -> None:
-    """Fail, with every combination listed, before anything is written."""
+    """Fail, with every combination listed in a table, before anything is built."""
     missing = unmapped_accounts(bronze, registry)
-    shown = missing.orderBy("source_type", "account_identifier").limit(1000).collect()
-    if shown:
+    count, shown, path = listing(missing.orderBy("source_type", "account_identifier"))
+    if count:
         lines = [
             f"  {r.source_type} {r.account_identifier}: {r.sample_description!r} ({r.record_count} records)"
             for r in shown
         ]
-        if len(shown) == 1000:
-            lines.append(f"  ... {missing.count()} in all; see unmapped_accounts()")
-        raise UnmappedAccountsError("\n".join(lines))
+        raise UnmappedAccountsError("\n".join([f"{count} unmapped, all in {path}; for example", *lines]))
 
 
 def upsert_registry(registry: DataFrame, entries: DataFrame) -> DataFrame:

@@ -16,11 +16,6 @@ from ledgerloom.registries import NEWEST_FIRST_SOURCES
 from ledgerloom.session import materialized
 
 
-class MixedCurrencyError(Exception):
-    def __init__(self, listing: str):
-        super().__init__("refusing to add different currencies:\n" + listing)
-
-
 def not_disproven() -> Column:
     """True and unknown verdicts both count."""
     return ~F.col("reconciled").eqNullSafe(F.lit(False))
@@ -95,12 +90,14 @@ def currency_check(balances: DataFrame, holdings: DataFrame) -> DataFrame:
     )
 
 
-def require_one_currency(balances: DataFrame, holdings: DataFrame) -> None:
-    found = currency_check(balances, holdings).orderBy("currency").limit(200).collect()
-    if len(found) > 1:
-        raise MixedCurrencyError(
-            "\n".join(f"  {r.currency}: {r.record_count} records, e.g. {r.sample_account_id}" for r in found)
-        )
+MIXED = "MIXED_CURRENCIES"
+
+
+def one_currency(least: Column, most: Column, value: Column) -> Column:
+    """`value`, or a failure of the query where two currencies were added up. It is
+    part of the plan: nothing is collected, and no second pass is made."""
+    said = F.concat(F.lit(f"{MIXED}: refusing to add "), least, F.lit(" and "), most, F.lit("; see currency_check()"))
+    return F.when(least < most, F.raise_error(said)).otherwise(value)
 
 
 def with_contribution(balances: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -112,58 +109,67 @@ def with_contribution(balances: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
-def _worth(balances: DataFrame, snapshot: DataFrame, accounts: DataFrame) -> DataFrame:
-    parts = with_contribution(balances, accounts).select(F.col("contribution_to_net_worth").alias("v")).unionByName(
-        snapshot.select(F.col("total_value_minor").alias("v"))
+def _parts(balances: DataFrame, snapshot: DataFrame, accounts: DataFrame) -> DataFrame:
+    return with_contribution(balances, accounts).select(
+        F.col("contribution_to_net_worth").alias("v"), "currency"
+    ).unionByName(snapshot.select(F.col("total_value_minor").alias("v"), "currency"))
+
+
+def _worth(parts: DataFrame, check_currency: bool = True) -> DataFrame:
+    summed = parts.agg(
+        F.coalesce(F.sum("v"), F.lit(0)).alias("worth"), F.min("currency").alias("least"), F.max("currency").alias("most")
+    )
+    worth = F.col("worth")
+    return summed.select(
+        (one_currency(F.col("least"), F.col("most"), worth) if check_currency else worth).alias("net_worth_minor")
     )
-    return parts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("net_worth_minor"))
 
 
 def net_worth(
     ledger: DataFrame, holdings: DataFrame, accounts: DataFrame, as_of: dt.date | Column | None = None,
-    check_currency: bool = False,
+    check_currency: bool = True,
 ) -> DataFrame:
     """One row: balances, credit taken off, plus the latest holdings."""
-    balances = current_balances(ledger, as_of)
-    snapshot = latest_holdings(holdings, as_of)
-    if check_currency:
-        require_one_currency(balances, snapshot)
-    return _worth(balances, snapshot, accounts)
+    return _worth(_parts(current_balances(ledger, as_of), latest_holdings(holdings, as_of), accounts), check_currency)
 
 
 def net_worth_change(ledger: DataFrame, holdings: DataFrame, accounts: DataFrame) -> DataFrame:
     """Net worth now and its change since a month before the newest balance.
 
-    Balances of now, one row per account, are kept: they give both the figure and
-    the date to compare with, so the ledger is read twice and not three times.
-    That date is a scalar subquery and does not pass the driver."""
+    Balances of now, one row per account, and the holdings are kept: balances give
+    both the figure and the date to compare with, and holdings are read for both
+    dates. The date is a scalar subquery and does not pass the driver."""
     balances = materialized(current_balances(ledger))
+    held = materialized(holdings.groupBy("account_id", "as_of_date", "currency").agg(F.sum("total_value_minor").alias("total_value_minor")))
     newest = balances.agg(F.max("as_of_date").alias("d"))
     month_before = newest.select(F.add_months("d", -1)).scalar()
-    now = _worth(balances, latest_holdings(holdings), accounts)
-    then = net_worth(ledger, holdings, accounts, month_before)
+    now = _worth(_parts(balances, latest_holdings(held), accounts))
+    then = net_worth(ledger, held, accounts, month_before)
     change = F.when(newest.scalar().isNotNull(), F.col("net_worth_minor") - then.scalar())
     return now.select("net_worth_minor", change.alias("delta_minor"))
 
 
 def net_worth_breakdown(
-    ledger: DataFrame, holdings: DataFrame, accounts: DataFrame, check_currency: bool = False
+    ledger: DataFrame, holdings: DataFrame, accounts: DataFrame, check_currency: bool = True
 ) -> DataFrame:
     """A row per account balance and per holding, newest and largest first."""
     balances, snapshot = current_balances(ledger), latest_holdings(holdings)
-    if check_currency:
-        require_one_currency(balances, snapshot)
     from_ledger = with_contribution(balances, accounts).select(
-        "account_id", F.col("account_id").alias("source"), F.col("balance_minor").alias("balance_or_value"),
+        "currency", "account_id", F.col("account_id").alias("source"), F.col("balance_minor").alias("balance_or_value"),
         "as_of_date", "contribution_to_net_worth", "balance_may_be_stale",
     )
     from_holdings = snapshot.select(
-        "account_id", F.col("fund_name").alias("source"), F.col("total_value_minor").alias("balance_or_value"),
+        "currency", "account_id", F.col("fund_name").alias("source"), F.col("total_value_minor").alias("balance_or_value"),
         "as_of_date", F.col("total_value_minor").alias("contribution_to_net_worth"),
         F.lit(False).alias("balance_may_be_stale"),
     )
-    return from_ledger.unionByName(from_holdings).orderBy(
-        F.desc_nulls_last("as_of_date"), F.desc_nulls_last("contribution_to_net_worth")
+    lines = from_ledger.unionByName(from_holdings)
+    if check_currency:
+        lines = materialized(lines)
+        used = lines.agg(F.min("currency").alias("least"), F.max("currency").alias("most"))
+        lines = lines.filter(used.select(one_currency(F.col("least"), F.col("most"), F.lit(True))).scalar())
+    return lines.drop("currency").orderBy(
+        F.desc_nulls_last("as_of_date"), F.desc_nulls_last("contribution_to_net_worth"), "account_id", "source"
     )
 
 

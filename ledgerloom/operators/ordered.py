@@ -1,8 +1,8 @@
 """Ordered scans (row numbers, running sums, look-backs) that survive a hot key.
 
 A window sends every row of a key to one task. That is right while keys are
-small, and it is what `scan` plans for them. When the input is large, `scan`
-first takes one pass with a heavy-hitter sketch (fixed memory, nothing
+small, and it is what `scan` plans for them. When there are enough rows for a hot
+key, `scan` first takes one pass with a heavy-hitter sketch (fixed memory, nothing
 shuffled). Rows of the few keys it reports are range-partitioned by (key,
 order), so that one key covers many tasks; each piece is scanned on its own, the
 pieces' totals (at most one row per piece and key) are scanned once more, and
@@ -22,9 +22,9 @@ from ledgerloom.session import estimated_bytes, materialized
 
 MIN_BYTES = "spark.ledgerloom.split.minBytes"  # smaller inputs are never split
 MIN_ROWS = "spark.ledgerloom.split.minRows"  # a key below this is never split
-DEFAULT_MIN_BYTES = 256 << 20
 DEFAULT_MIN_ROWS = 5_000_000
-MAX_HOT_KEYS = 5_000  # also the bound on what is sent to every task
+DEFAULT_MIN_BYTES = DEFAULT_MIN_ROWS  # a stored row takes a byte at least, so fewer bytes hold no hot key
+SKETCHED = 5_000  # hot keys that one pass finds
 
 _HASH, _PIECE, _LOCAL = "__key_hash", "__piece", "__local_row"
 
@@ -102,24 +102,38 @@ def scan(
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of the keys too large for one task; none while `df` is small."""
+    """Hashes of the keys with too many rows for one task.
+
+    Keys are judged by their rows: fewer rows than that in all hold no such key, and
+    only then is the sketch left out. A pass that finds as many hot keys as it can
+    is followed by another over the rest, so none stays whole."""
     conf = df.sparkSession.conf
-    if estimated_bytes(df) < int(conf.get(MIN_BYTES, str(DEFAULT_MIN_BYTES))):
-        return []
     least = int(conf.get(MIN_ROWS, str(DEFAULT_MIN_ROWS)))
-    found = (
-        df.select(F.xxhash64(*keys).alias(_HASH))
-        .agg(F.expr(f"approx_top_k({_HASH}, {MAX_HOT_KEYS}, {MAX_HOT_KEYS * 20})").alias("top"))
-        .select(F.inline("top"))
-        .filter(F.col("count") >= least)
-    )
-    return [row["item"] for row in found.collect()]
+    if estimated_bytes(df) < int(conf.get(MIN_BYTES, str(DEFAULT_MIN_BYTES))) or df.count() < least:
+        return []
+    hot: list[int] = []
+    hashed = df.select(F.xxhash64(*keys).alias(_HASH))
+    while True:
+        rest = hashed.join(_listed(df, hot), _HASH, "left_anti") if hot else hashed
+        found = (
+            rest.agg(F.expr(f"approx_top_k({_HASH}, {SKETCHED}, {SKETCHED * 20})").alias("top"))
+            .select(F.inline("top"))
+            .filter(F.col("count") >= least)
+        )
+        more = [row["item"] for row in found.collect()]
+        hot += more
+        if len(more) < SKETCHED:
+            return hot
+
+
+def _listed(df: DataFrame, hot: Sequence[int]) -> DataFrame:
+    # A key has MIN_ROWS rows at least, so the list is at most rows / MIN_ROWS longs.
+    return F.broadcast(df.sparkSession.createDataFrame([(h,) for h in hot], f"{_HASH} long"))
 
 
 def part(df: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Rows of the other keys, and rows of the hot keys."""
-    # At most MAX_HOT_KEYS longs, so sending them to every task is safe.
-    hashes = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in hot], f"{_HASH} long"))
+    hashes = _listed(df, hot)
     hashed = df.withColumn(_HASH, F.xxhash64(*keys))
     return hashed.join(hashes, _HASH, "left_anti").drop(_HASH), hashed.join(hashes, _HASH, "left_semi").drop(_HASH)
 
@@ -171,8 +185,10 @@ _TAKE = {
 }
 
 
-def _split(df: DataFrame, keys: list[str], orders: list[Order], looks: dict[str, Look]) -> DataFrame:
-    columns = df.columns
+def _pieces(
+    df: DataFrame, keys: list[str], orders: list[Order], looks: dict[str, Look]
+) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows scanned within their piece, what pieces carry on, and how the two meet."""
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(
         pieces, *[F.col(k).asc_nulls_first() for k in keys], *[o.column for o in orders]
@@ -197,11 +213,19 @@ def _split(df: DataFrame, keys: list[str], orders: list[Order], looks: dict[str,
             ).alias(f"__carry_{name}")
             for name, look in looks.items()
         ],
-    )
+        F.lag(F.lit(1)).over(by_piece).alias("__earlier"),
+    ).filter("__earlier IS NOT NULL").drop("__earlier")
     same = F.col(_PIECE) == F.col("__carry_piece")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__carry_key_{i}"))
-    # One row per (hot key, piece it touches): at most pieces + MAX_HOT_KEYS.
+    return local, carries, same
+
+
+def _split(df: DataFrame, keys: list[str], orders: list[Order], looks: dict[str, Look]) -> DataFrame:
+    columns = df.columns
+    local, carries, same = _pieces(df, keys, orders, looks)
+    # A carry is for a key whose rows began in an earlier piece. Pieces are ranges in
+    # key order, so only one key runs on from each piece to the next: at most pieces - 1 rows.
     joined = local.join(F.broadcast(carries), same, "left")
     return joined.select(
         *columns,

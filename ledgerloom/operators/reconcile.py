@@ -13,6 +13,7 @@ from ledgerloom.functions.money import try_parse_money
 from ledgerloom.operators.accounts import resolve_accounts
 from ledgerloom.operators.ordered import previous, scan
 from ledgerloom.registries import ANCHORED_SOURCES, GAP_TOLERANCE_DAYS, ROLLFORWARD_SIGN
+from ledgerloom.session import listing
 
 
 class ReconciliationMismatchError(Exception):
@@ -159,16 +160,14 @@ def reconciliation_summary(log: DataFrame) -> DataFrame:
 
 
 def require_reconciled(log: DataFrame) -> None:
-    """The strict gate: any false verdict stops the build, all of them listed."""
+    """The strict gate: any false verdict stops the build, all of them listed in a table."""
     broken = log.filter(F.col("matches").eqNullSafe(F.lit(False)))
-    shown = broken.orderBy("check_type", "account_id", "ingestion_id").limit(1000).collect()
-    if shown:
+    count, shown, path = listing(broken.orderBy("check_type", "account_id", "ingestion_id"))
+    if count:
         lines = [
             f"  [{r.check_type}] {r.account_id} {r.source_type} {r.filename}"
             + (f" -> {r.next_filename}" if r.next_filename else "")
             + f": expected {r.expected_closing_minor}, derived {r.derived_closing_minor}"
             for r in shown
         ]
-        if len(shown) == 1000:
-            lines.append(f"  ... {broken.count()} in all")
-        raise ReconciliationMismatchError("\n".join(lines))
+        raise ReconciliationMismatchError("\n".join([f"{count} mismatches, all in {path}; for example", *lines]))

@@ -15,7 +15,7 @@ from ledgerloom.operators import matching as X
 from ledgerloom.operators import normalize as N
 from ledgerloom.operators import reconcile as R
 from ledgerloom.registries import DERIVED_ANCHORS, MATCH_POLICIES, DerivedAnchor, MatchPolicy
-from ledgerloom.session import materialized
+from ledgerloom.session import materialized, released
 from ledgerloom.sources.files import new_files, one_per_content
 from ledgerloom.sources.lake import Lake, manifest_of, new_build_id
 from ledgerloom.sources.layouts import LAYOUTS, Layout
@@ -29,13 +29,16 @@ def ingest_texts(lake: Lake, texts: DataFrame, layouts: Sequence[Layout] = LAYOU
     An ingest that is cut off in between leaves the first, so doing it again looks
     for rows of these files in Bronze and adds none twice."""
     known = lake.manifest()
-    fresh = materialized(detect_layouts(new_files(one_per_content(texts), known), layouts))
+    scratch: list[str] = []
+    read = materialized(new_files(texts, known), scratch)  # the one time that files are read
+    fresh = materialized(detect_layouts(one_per_content(read), layouts), scratch, by="layout")
     suspects = materialized(_seen_before(fresh, known))
     lake.write_manifest(_archived(fresh))
-    rows = materialized(parse_statements(fresh, layouts))
+    rows = materialized(parse_statements(fresh, layouts), scratch)
     lake.write_bronze(rows, suspects)
     manifests = materialized(manifest_of(fresh, rows))
     lake.write_manifest(manifests)
+    released(lake.spark, scratch)
     return manifests
 
 

@@ -59,17 +59,29 @@ def scratch_folder(spark: SparkSession) -> str:
 _OWN_FOLDER: list[str] = []
 
 
-def materialized(df: DataFrame, kept_in: list[str] | None = None) -> DataFrame:
+def materialized(df: DataFrame, kept_in: list[str] | None = None, by: str | None = None) -> DataFrame:
     """Compute `df` once, as a table in the scratch folder.
 
     Later readers pick their columns from it, Catalyst knows its size, and a lost
     executor costs no recomputation. Used where a result is read several times.
-    The path is added to `kept_in`, for `released` once the last reader is done."""
+    The path is added to `kept_in`, for `released` once the last reader is done. With
+    `by`, readers that filter on that column read its rows only."""
     path = f"{scratch_folder(df.sparkSession).rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     if kept_in is not None:
         kept_in.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+EXAMPLES = 20
+
+
+def listing(df: DataFrame) -> tuple[int, list, str]:
+    """All rows of an error listing, written down: how many, some examples, where."""
+    paths: list[str] = []
+    rows = materialized(df, paths)
+    count = rows.count()
+    return count, rows.limit(EXAMPLES).collect() if count else [], paths[0]
 
 
 def released(spark: SparkSession, paths: list[str]) -> None:

@@ -17,8 +17,6 @@ FULL_HEADER = (
 SEARCH_HEADER = ("id", "created", "title", "subtitle", "amount", "currency", "categories")
 LEAST_CONFIDENCE = 0.8
 COMPARED = 5
-# Wider than either export, so that an added column is still read.
-MAX_COLUMNS = 64
 
 
 def header_confidence(header: Column) -> Column:
@@ -30,10 +28,17 @@ def header_confidence(header: Column) -> Column:
     return F.greatest(*scores)
 
 
+def _widest(spark: SparkSession, folder: str, glob: str) -> int:
+    """No header has more names than this; cells beyond the names are not read."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    return max(COMPARED, (lines.agg(F.max(commas)).first()[0] or 0) + 1)
+
+
 def _raw_lines(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """Rows as arrays, with their file and a number that rises within it. A
     quoted field may hold line breaks, so a file is read by one task."""
-    columns = [f"c{i}" for i in range(MAX_COLUMNS)]
+    columns = [f"c{i}" for i in range(_widest(spark, folder, glob))]
     read = (
         spark.read.schema(", ".join(f"{c} string" for c in columns))
         .option("header", "false").option("multiLine", "true").option("escape", '"').option("quote", '"')

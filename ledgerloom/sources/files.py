@@ -23,9 +23,10 @@ def _described(files: DataFrame, upload_timestamp: Column | None = None) -> Data
 
 
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """Statement texts below a folder, one row per file."""
+    """Statement texts below a folder, one row per file; copies are told apart later,
+    from what was written down, so that a file is read and hashed once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return one_per_content(_described(files))
+    return _described(files)
 
 
 def stream_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:

@@ -7,6 +7,7 @@ interrupted is never seen."""
 from __future__ import annotations
 
 import datetime as dt
+import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -158,16 +159,22 @@ class Lake:
 
     # --- SQL ----------------------------------------------------------------
 
+    def _state(self) -> str:
+        """What the views depend on: this lake, its current build, its manifest."""
+        log = self.manifest_log().agg(F.count(F.lit(1)), F.max("updated_at")).first()
+        return json.dumps([self.root, self.current_build_id(), log[0], str(log[1])])
+
     def refresh_views(self) -> list[str]:
-        """Register the current build's tables and each source's Bronze as views.
-        Views of a build that is no longer readable are dropped, not kept."""
-        names = [*schemas.SILVER]
-        for name in names:
+        """Register the current build's tables and each source's Bronze as views of
+        this session. All views of an earlier state or of another lake are dropped
+        first. What is registered is kept in the session's own settings."""
+        conf, state = self.spark.conf, self._state()
+        for name in json.loads(conf.get(_VIEWS, "[]")):
             self.spark.catalog.dropTempView(name)
         made: list[str] = []
         build_id = self.current_build_id()
         if build_id is not None:
-            for name in names:
+            for name in schemas.SILVER:
                 self.silver(name, build_id).createOrReplaceTempView(name)
                 made.append(name)
         # A manifest row per file says which sources there are; Bronze is not read.
@@ -176,18 +183,18 @@ class Lake:
             view = f"bronze_{view_name(source)}"
             self.bronze(source).createOrReplaceTempView(view)
             made.append(view)
-        _REGISTERED[self.spark.sparkContext.applicationId] = (self.root, build_id)
+        conf.set(_VIEWS, json.dumps(made))
+        conf.set(_STATE, state)
         return made
 
     def query(self, sql: str, **args) -> DataFrame:
-        """Spark SQL over the views, which follow the current build."""
-        if _REGISTERED.get(self.spark.sparkContext.applicationId) != (self.root, self.current_build_id()):
+        """Spark SQL over the views, which follow the current build and new files."""
+        if self.spark.conf.get(_STATE, None) != self._state():
             self.refresh_views()
         return self.spark.sql(sql, args=args or None)
 
 
-# Which lake and build the session's views belong to.
-_REGISTERED: dict[str, tuple[str, str | None]] = {}
+_VIEWS, _STATE = "spark.ledgerloom.views", "spark.ledgerloom.views.state"
 
 
 def newest_first(builds: DataFrame) -> DataFrame:
@@ -206,7 +213,8 @@ def ingestion_list(manifest: DataFrame) -> DataFrame:
         .when(F.col("reconciliation_matches"), "ok")
         .otherwise("unchecked")
     )
-    return manifest.select("ingestion_id", "source_type", "status", "record_count", mark.alias("mark"))
+    listed = manifest.select("ingestion_id", "source_type", "status", "record_count", mark.alias("mark"), "updated_at")
+    return listed.orderBy(F.desc("updated_at"), "ingestion_id").drop("updated_at")
 
 
 def new_build_id() -> str:

@@ -37,7 +37,6 @@ POLICIES = (MatchPolicy(preferred="bank-statement", other="bank-export"),)
 CARD_SIGNS = {"card-statement": 1, "bank-statement": 1}
 AS_OF = dt.date(2024, 1, 20)
 BY_NAME = {layout.source_type: layout for layout in LAYOUTS}
-MONTHS = [dt.date(y, m, 1) for y in range(1995, 2002) for m in range(1, 13)]
 
 
 def query(run: Query) -> Query:
@@ -353,7 +352,8 @@ def statement_periods(spark, folder):
 
 @query
 def coverage_gaps(spark, folder):
-    return C.coverage_gaps(C.statement_periods(W.bronze(spark, folder), W.registry(spark, folder), W.SOURCES))
+    bronze = W.bronze(spark, folder, gap=True)
+    return C.coverage_gaps(C.statement_periods(bronze, W.registry(spark, folder), W.SOURCES))
 
 
 @query
@@ -368,7 +368,7 @@ def coverage_calendar(spark, folder):
 
 @query
 def coverage_pivot(spark, folder):
-    return C.coverage_pivot(C.coverage_calendar(W.order_periods(spark, folder), W.accounts(spark, folder)), MONTHS)
+    return C.coverage_pivot(C.coverage_calendar(W.order_periods(spark, folder), W.accounts(spark, folder)))
 
 
 @query

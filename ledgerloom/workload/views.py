@@ -67,10 +67,13 @@ def _day(n: Column | int) -> Column:
     return F.make_date(F.lit(2024), F.lit(1), F.lit(n) if isinstance(n, int) else n)
 
 
-def weekly(spark: SparkSession, folder: str) -> DataFrame:
+def weekly(spark: SparkSession, folder: str, gap: bool = False) -> DataFrame:
+    """Weekly statements of all events; with `gap`, every seventh user lost one."""
     start = (F.col("wk") - 1) * 7 + 1
     end = F.when(F.col("wk") == 4, 31).otherwise(F.col("wk") * 7)
-    return events(spark, folder).filter(~((F.col("user_id") % 7 == 0) & (F.col("wk") == 3))).withColumns(
+    lost = (F.col("user_id") % 7 == 0) & (F.col("wk") == 3)
+    rows = events(spark, folder).filter(~lost) if gap else events(spark, folder)
+    return rows.withColumns(
         {
             "ingestion_id": F.concat(F.col("user_id").cast("string"), F.lit("-W"), F.col("wk").cast("string")),
             "statement_period_from": _day(start),
@@ -79,8 +82,8 @@ def weekly(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def weekly_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return _as_transactions(weekly(spark, folder))
+def weekly_transactions(spark: SparkSession, folder: str, gap: bool = False) -> DataFrame:
+    return _as_transactions(weekly(spark, folder, gap))
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,9 +205,9 @@ def anchors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bronze(spark: SparkSession, folder: str) -> DataFrame:
+def bronze(spark: SparkSession, folder: str, gap: bool = False) -> DataFrame:
     """The weekly statements as raw rows, with payload, identifiers and checks."""
-    rows = weekly_transactions(spark, folder)
+    rows = weekly_transactions(spark, folder, gap)
     checked = rows.join(anchors(spark, folder), ["user_id", "wk"])
     export = F.col("source_type") == "bank-export"
     return checked.select(
@@ -285,4 +288,5 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("reconciliations"),
         F.when(allow, F.struct(F.lit("allow").alias("decision"), F.lit("manual override").alias("reason"),
                                F.lit("2024-02-01").alias("at"))).alias("promotion_override"),
+        F.expr("timestamp_ntz'2024-02-01 00:00:00' + make_dt_interval(0, 0, wk)").alias("updated_at"),
     )

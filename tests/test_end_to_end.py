@@ -215,3 +215,49 @@ def test_an_ingest_cut_off_before_its_manifest_adds_nothing_twice(spark, tmp_pat
     ingest_texts(broken, texts, NATWEST[:1])
     assert broken.bronze().count() == lake.bronze().count() == 1
     assert broken.manifest().head().status == "complete"
+
+
+def test_every_unmapped_account_is_in_the_written_listing(spark):
+    from ledgerloom import schemas
+    from ledgerloom.operators.accounts import require_mapped
+
+    rows = spark.range(1500).selectExpr("'kroo' AS source_type", "concat('id', id) AS account_identifier", "'transaction' AS record_type")
+    empty = spark.createDataFrame([], schemas.REGISTRY)
+    with pytest.raises(UnmappedAccountsError, match="1500 unmapped, all in ") as error:
+        require_mapped(schemas.conform(rows, schemas.BRONZE), empty)
+    path = str(error.value).split("all in ")[1].split(";")[0]
+    assert spark.read.parquet(path).count() == 1500
+
+
+def test_an_export_of_seventy_columns_is_read_whole(spark, tmp_path):
+    names = ["id", "created", "title", "subtitle", "amount", "currency", "categories", *[f"extra{i}" for i in range(63)]]
+    cells = ["t1", "2026-01-01", "Shop", "", "-1.00", "GBP", "food", *[f"v{i}" for i in range(63)]]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(cells) + "\n", encoding="utf-8")
+    row = read_exports(spark, str(tmp_path)).head()
+    assert row.raw_data["extra62"] == "v62" and row.raw_data["amount_minor"] == "-100"
+
+
+def test_views_follow_new_files_other_lakes_and_sessions(spark, tmp_path):
+    def bronze(lake, *names):
+        folder = put(tmp_path / names[0], **{n: SCENARIO[n] for n in names})
+        ingest_texts(lake, read_texts(spark, folder), NATWEST)
+
+    count = "SELECT count(*) AS n FROM bronze_natwest_statement"
+    one, two = Lake(spark, str(tmp_path / "one")), Lake(spark, str(tmp_path / "two"))
+    bronze(one, "s1")
+    before = one.query(count).head().n
+    bronze(one, "s2", "e1")
+    assert before > 0 and one.query(count).head().n > before
+    bronze(two, "e2")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        two.query(count)
+    other = Lake(spark.newSession(), one.root)
+    assert other.query(count).head().n == one.query(count).head().n > before
+
+
+def test_ingest_reads_files_once(spark, tmp_path):
+    texts = read_texts(spark, put(tmp_path / "in", a=SCENARIO["s1"], b=SCENARIO["s1"]))
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert ingest_texts(lake, texts, NATWEST).count() == 1

@@ -50,3 +50,29 @@ def test_a_hot_key_is_spread_over_pieces(spark):
     df = spark.range(10000).withColumn("k", F.lit(1))
     pieces = df.repartitionByRange(4, "k", "id").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(pieces) == 4 and max(r["count"] for r in pieces) < 6000
+
+
+def test_carries_are_fewer_than_pieces(spark):
+    """Also where the keys are far finer than the hot key."""
+    df = rows(spark).withColumn("fine", F.pmod(F.xxhash64("id"), F.lit(900)))
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for keys in (["k"], ["k", "fine"], ["fine"]):
+        _, carries, _ = O._pieces(df, keys, [O.Order("id")], LOOKS)
+        assert carries.count() < pieces
+        plain, split = (O.scan(df, keys, ["id"], LOOKS, split=s) for s in (False, True))
+        assert plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
+
+
+def test_hot_keys_beyond_one_pass_are_found(splitting, monkeypatch):
+    spark = splitting
+    monkeypatch.setattr(O, "SKETCHED", 4)
+    spark.conf.set(O.MIN_ROWS, "50")
+    df = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    assert len(O.hot_keys(df, ["k"])) == 10
+
+
+def test_keys_are_judged_by_rows_not_bytes(splitting):
+    spark = splitting
+    spark.conf.set(O.MIN_ROWS, "3000")
+    assert O.hot_keys(rows(spark).limit(2000), ["k"]) == []
+    assert len(O.hot_keys(spark.range(4000).select(F.lit(1).alias("k")), ["k"])) == 1
