@@ -13,11 +13,12 @@ about m log m points.
 Registers are banded, `ROWS` to a band: a pair of similarity 0.8 meets in none of the
 bands with a probability of 3e-6. Pairs are verified on their whole multisets. All
 pairs of a bucket are never listed while they need not be: each bucket first compares
-its members with one leader, the member that shares most large buckets with others,
-then with a second one those that are not yet linked to the rest; linked documents
-become components, and only members of different components of a bucket are still
-compared, which loses no link that joins two classes. Equal texts are one node from
-the start.
+its members with one leader, the member that shares most large buckets with others.
+Linked documents become components. Members outside a bucket's largest component are
+then compared with a member inside, drawn anew for each bucket and turn, so that a
+document meets many. Only members that are in different components after that are
+compared with all of their bucket, each pair once, which loses no link that joins two
+classes. Equal texts are one node from the start.
 
 Defined results: a null text is empty; texts without words are in a class with equal
 texts only; a text of fewer than five words is one shingle; words are parted by white
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import document_text, fresh, keyed, materialized
-from ledgerloom.llm.tokens import CHUNK_BYTES, hashes
+from ledgerloom.llm.tokens import hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-LEADERS = 2
+LEADERS = 3
+PART_BYTES = 2 << 20  # of texts that are drawn together
 _PART = np.uint64(48)
 _DOCS = 50_000  # documents drawn together at most
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -139,7 +141,7 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "left"))
+        to = int(np.searchsorted(offsets, offsets[at] + PART_BYTES, "left"))
         to = min(max(to, at + 1), at + _DOCS, len(texts))
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
@@ -252,42 +254,66 @@ def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> t
     counted = texts.mapInArrow(_elements, "key binary, elements array<long>")
     elements = materialized(counted.join(wanted, "key").select("node", "weight", "elements").dropDuplicates(["node"]))
 
-    edges: DataFrame | None = None
-    component = met.sparkSession.createDataFrame([], "node long, component long")
+    component = materialized(met_nodes.select("node", F.col("node").alias("component")))
     for turn in range(LEADERS + 1):
-        tagged = met.join(component, "node", "left").select(
-            "bucket", "node", "central", F.coalesce("component", "node").alias("component")
-        )
-        tagged = materialized(tagged) if turn else met.withColumn("component", F.col("node"))
-        if turn:
-            sizes = tagged.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-            main = sizes.groupBy("bucket").agg(
-                F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")
-            ).filter("parts > 1").select("bucket", F.col("most.component").alias("main"))
-            minor = materialized(tagged.join(main, "bucket").filter("component != main").drop("main"))
-        else:
-            minor = tagged
-        if minor.isEmpty():
+        tagged = materialized(met.join(component, "node"))
+        sizes = tagged.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("bucket").agg(
+            F.max(F.struct("n", F.bitwise_not("component").alias("id"))).alias("most"), F.count(F.lit(1)).alias("parts")
+        ).filter("parts > 1").select("bucket", F.bitwise_not("most.id").alias("main"))
+        shared = materialized(tagged.join(main, "bucket"))
+        minor = shared.filter("component != main")
+        if shared.isEmpty():
             break
         if turn < LEADERS:
-            first = minor.groupBy("bucket").agg(
-                F.max(F.struct("central", F.bitwise_not("node").alias("id"), "component")).alias("first")
-            )
-            leading = first.select("bucket", F.bitwise_not("first.id").alias("lead"), F.col("first.component").alias("of"))
-            pairs = tagged.join(leading, "bucket").filter("component != of").select(
-                F.least("node", "lead").alias("one"), F.greatest("node", "lead").alias("two")
-            )
+            pairs = _with_leaders(shared if turn == 0 else minor, shared, turn)
         else:
-            others = tagged.select("bucket", F.col("node").alias("other"), F.col("component").alias("of"))
-            pairs = minor.join(others, "bucket").filter("component != of").select(
-                F.least("node", "other").alias("one"), F.greatest("node", "other").alias("two")
-            )
+            pairs = _across(minor, shared)
         found = _verified(pairs.distinct(), elements, similar).select("one", "two")
-        edges = found if edges is None else edges.unionByName(found)
-        component = components(edges)
+        component = _merged(component, found)
     return members, component
 
 
+def _with_leaders(rows: DataFrame, shared: DataFrame, turn: int) -> DataFrame:
+    """Pairs of rows with the leader of their bucket: the most central member first,
+    then a member of the bucket's largest component, another one in each bucket."""
+    order = F.col("central") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn)).cast("double")
+    able = shared if turn == 0 else shared.filter("component = main")
+    first = able.groupBy("bucket").agg(
+        F.max(F.struct(order.alias("order"), F.bitwise_not("node").alias("id"), F.col("component").alias("of"))).alias("first")
+    )
+    leading = first.select("bucket", F.bitwise_not("first.id").alias("lead"), F.col("first.of").alias("of"))
+    return rows.join(leading, "bucket").filter("component != of").select(
+        F.least("node", "lead").alias("one"), F.greatest("node", "lead").alias("two")
+    )
+
+
+def _across(minor: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket, each in one bucket only."""
+    all_of = shared.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS
+    left = minor.join(all_of, "node").select("bucket", "node", "component", "main", "buckets")
+    right = shared.join(all_of, "node").select(
+        F.col("bucket").alias("bucket_b"), F.col("node").alias("other"), F.col("component").alias("of"), F.col("buckets").alias("more")
+    )
+    # Two members outside the largest component meet twice, and count once.
+    once = (F.col("of") == F.col("main")) | (F.col("node") < F.col("other"))
+    here = F.array_min(F.array_intersect("buckets", "more")) == F.col("bucket")
+    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("component") != F.col("of")) & once & here
+    return left.join(right, same).select(F.least("node", "other").alias("one"), F.greatest("node", "other").alias("two"))
+
+
+def _merged(component: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after the links that were found join some of them."""
+    label = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    linked = found.join(label("one"), "one").join(label("two"), "two").select(
+        F.col("of_one").alias("one"), F.col("of_two").alias("two")
+    )
+    new = components(linked.filter("one != two")).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return materialized(
+        component.join(new, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    )
+
+
 def near_duplicates(docs: DataFrame, row: str | None = None, similar: float = SIMILAR) -> DataFrame:
     """One row per document: row_id, doc_id, class_id, class_size, kept.
 
