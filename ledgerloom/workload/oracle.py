@@ -593,3 +593,54 @@ SELECT strftime(m, '%Y%m') AS build_id, CAST(m AS DATE) AS built_at, count(*) AS
 FROM (SELECT date_trunc('month', o_orderdate) AS m FROM orders) GROUP BY m"""
 ORACLE["manifest_summary"] = sql("""
 SELECT ingestion_id, 'complete' AS status, 'kroo' AS source_type, n AS record_count, wrong = 0 AS reconciliation_matches FROM st""")
+
+
+# --- through a lake -------------------------------------------------------------
+
+_IDENTIFIER = "substring(sha256('CUST' || {0}), 1, 12)"
+ORACLE["sql_surface"] = sql("""
+SELECT source_type, count(*) AS records, CAST(sum(amount_minor) AS BIGINT) AS total_minor, count(DISTINCT ingestion_id) AS files
+FROM wkly GROUP BY source_type""")
+ORACLE["bronze_read"] = sql(f"""
+SELECT sha256(ingestion_id || ':transaction:' || event_id) AS bronze_record_id, ingestion_id,
+  {_IDENTIFIER.format('user_id')} AS account_identifier, CAST(event_id AS INTEGER) AS line_number
+FROM wkly WHERE source_type = 'card-statement'""")
+PARTS["kept_files"] = """
+SELECT ingestion_id, any_value(source_type) AS source_type, count(*) AS record_count, any_value(user_id) AS user_id, any_value(wk) AS wk
+FROM wkly GROUP BY ingestion_id"""
+ORACLE["manifest_rows"] = sql("""
+SELECT ingestion_id, source_type, 'complete' AS status, record_count,
+  CASE WHEN source_type <> 'bank-export' THEN (user_id + wk) % 11 <> 0 END AS reconciliation_matches FROM kept_files""")
+ORACLE["overridden_ingestions"] = sql("SELECT ingestion_id, 'allow' AS decision FROM kept_files WHERE starts_with(ingestion_id, '1')")
+ORACLE["found_ingestions"] = sql("SELECT ingestion_id, record_count FROM kept_files WHERE starts_with(ingestion_id, '2')")
+ORACLE["published_build"] = sql("""
+SELECT sha256(ingestion_id || ':transaction:' || event_id) AS bronze_record_id, account_id, amount_minor,
+  (SELECT count(*) FROM wkly) AS stated FROM wkly""")
+ORACLE["build_facts_row"] = sql("""
+SELECT (SELECT count(DISTINCT ingestion_id) FROM wkly) AS input_ingestion_ids, (SELECT count(*) FROM excl) AS excluded,
+  (SELECT count(DISTINCT source_type) FROM wkly) AS parsers""")
+ORACLE["registry_upsert"] = f"""
+SELECT 'identifier' AS kind, {_IDENTIFIER.format('c_custkey')} AS key,
+  CASE WHEN c_custkey % 3 = 0 OR c_custkey % 10 = 9 THEN 'new_' ELSE 'acc_' END || c_custkey AS account_id,
+  CASE WHEN c_custkey % 3 = 0 OR c_custkey % 10 = 9 THEN 'savings' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'credit'
+    WHEN c_mktsegment = 'BUILDING' THEN 'investment' WHEN c_mktsegment = 'FURNITURE' THEN 'savings' ELSE 'current' END AS account_type
+FROM customer UNION ALL SELECT 'source_type', 'bank-export', 'acc_export', 'current'"""
+ORACLE["csv_exports"] = f"""
+SELECT 'monzo_txn_tx' || event_id AS bronze_source_key, abs({_cents('value')}) AS amount_minor, 'A "quoted", name' AS name FROM events"""
+ORACLE["stream_ingest"] = """
+SELECT 'chase' AS source_type, 'complete' AS status, count(*) AS files, CAST(sum(n) AS BIGINT) AS records, CAST(sum(n) AS BIGINT) AS stored
+FROM (SELECT user_id, event_id // 500 AS part, count(*) AS n FROM events GROUP BY ALL)"""
+ORACLE["mismatch_listing"] = sql("SELECT * FROM log WHERE matches = false")
+ORACLE["rollforward_signs"] = sql("""
+SELECT account_id, kind AS source_type, ingestion_id, filename, expected_opening_minor, expected_closing_minor, derived AS silver_derived_closing_minor,
+  coalesce(derived = expected_closing_minor, false) AS matches
+FROM (SELECT s.*, CASE WHEN s.source_type = 'card-statement' THEN 'amex' ELSE 'chase' END AS kind,
+    CAST(expected_opening_minor + CASE WHEN s.source_type = 'card-statement' THEN -moved ELSE moved END
+      + CASE WHEN wk % 2 = 0 THEN wk * 100 ELSE 0 END AS BIGINT) AS derived
+  FROM status s JOIN (SELECT ingestion_id, any_value(wk) AS wk, sum(amount_minor) AS moved FROM wkly GROUP BY ingestion_id) USING (ingestion_id)
+  WHERE expected_opening_minor IS NOT NULL)""")
+ORACLE["balances_newest_first"] = sql("""
+SELECT account_id, balance_minor, greatest(as_of_date, period_to) AS as_of_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY as_of_date DESC, period_to DESC,
+    CASE WHEN user_id % 2 = 0 THEN -line_number ELSE line_number END DESC, bronze_record_id DESC) AS rn
+  FROM f4 WHERE reconciled IS DISTINCT FROM false) WHERE rn = 1""")

@@ -298,6 +298,14 @@ def net_worth(spark, folder):
     return B.net_worth(W.ledger(spark, folder), W.holdings(spark, folder), W.accounts(spark, folder))
 
 
+@query
+def balances_newest_first(spark, folder):
+    """Half of the accounts from a source that prints its newest line first."""
+    backwards = F.when(F.col("user_id") % 2 == 0, "monzo-flex").otherwise(F.col("source_type"))
+    found = B.current_balances(W.ledger(spark, folder).withColumn("source_type", backwards))
+    return found.select("account_id", "balance_minor", "as_of_date")
+
+
 @query
 def net_worth_delta(spark, folder):
     rows = W.order_spending(spark, folder)
@@ -401,7 +409,10 @@ def reconciliation_status(spark, folder):
 
 @query
 def balance_continuity(spark, folder):
-    return _continuity(spark, folder)
+    # Both sides are made from one read.
+    bronze, registry = materialized(W.bronze(spark, folder, gap=True)), W.registry(spark, folder)
+    status = R.reconciliation_status(bronze, registry, W.SOURCES)
+    return R.balance_continuity(status, C.statement_periods(bronze, registry, W.SOURCES))
 
 
 @query
@@ -438,6 +449,24 @@ def reconciliation_log(spark, folder):
     return _log(spark, folder)
 
 
+@query
+def mismatch_listing(spark, folder):
+    """What the strict gate lists, as a table."""
+    return _log(spark, folder).filter(F.col("matches").eqNullSafe(F.lit(False)))
+
+
+@query
+def rollforward_signs(spark, folder):
+    """Sources whose balance moves against their amounts, and plan adjustments."""
+    status = materialized(_status(spark, folder)).withColumn(
+        "source_type", F.when(F.col("source_type") == "card-statement", "amex").otherwise("chase")
+    )
+    contributions = materialized(W.bronze(spark, folder).groupBy("ingestion_id").agg(F.sum("amount_minor").alias("contribution_minor")))
+    week = F.substring("ingestion_id", -1, 1).cast("int")
+    adjustments = contributions.filter(week % 2 == 0).select("ingestion_id", (week * 100).cast("long").alias("adjustment_minor"))
+    return R.silver_rollforward(status, contributions, adjustments)
+
+
 @query
 def reconciliation_summary(spark, folder):
     return R.reconciliation_summary(_log(spark, folder))
