@@ -10,15 +10,17 @@ probability equal to their weighted Jaccard similarity. Points after the time at
 all registers are filled need not be drawn, so that a document costs its shingles plus
 about m log m points.
 
-Registers are banded, `ROWS` to a band: a pair of similarity 0.8 meets in none of the
+Registers are banded, `ROWS` to a band, in `BANDS` bands: a pair of similarity 0.8 meets in none of the
 bands with a probability of 3e-6. Pairs are verified on their whole multisets. All
 pairs of a bucket are never listed while they need not be: each bucket first compares
 its members with one leader, the member that shares most large buckets with others.
 Linked documents become components. Members outside a bucket's largest component are
 then compared with a member inside, drawn anew for each bucket and turn, so that a
 document meets many. Only members that are in different components after that are
-compared with all of their bucket, each pair once, which loses no link that joins two
-classes. Equal texts are one node from the start.
+compared with all of their bucket, each pair once, but for pairs that the distances
+from a leader exclude, or four bits of each register: a pair of similarity 0.8 is lost
+there with a probability of 1e-6. So no link that joins two classes is lost. Equal texts
+are one node from the start.
 
 Defined results: a null text is empty; texts without words are in a class with equal
 texts only; a text of fewer than five words is one shingle; words are parted by white
@@ -33,15 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import document_text, fresh, keyed, materialized
+from ledgerloom.llm.common import document_text, fresh, keyed, materialized, released
 from ledgerloom.llm.tokens import hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
-REGISTERS = BANDS * ROWS
+REGISTERS = 256  # the first BANDS x ROWS are banded, all are kept in the sketch
+DEVIATIONS = 4.8  # how far below what is expected registers may agree; 1e-6 go further
 LEADERS = 3
 PART_BYTES = 2 << 20  # of texts that are drawn together
 _PART = np.uint64(48)
@@ -129,11 +132,26 @@ def bag_min_hash(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, n: in
 
 
 def _bands(signature: np.ndarray) -> np.ndarray:
-    cells = signature.reshape(len(signature), BANDS, ROWS)
+    cells = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS)
     keys = (cells * _weights(ROWS)).sum(axis=2, dtype=np.uint64)
     return _mixed(keys + _weights(BANDS)).view(np.int64)
 
 
+def _sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen to a long."""
+    bits = _mixed(signature) & np.uint64(15)
+    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (bits.reshape(len(signature), -1, 16) << places).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _agreeing(one: Column, two: Column) -> Column:
+    """Registers in which two sketches agree."""
+    nibble = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    both = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    differ = F.zip_with(one, two, lambda a, b: F.bit_count(both(nibble(a.bitwiseXOR(b)))))
+    return F.lit(REGISTERS) - F.aggregate(differ, F.lit(0), lambda s, n: s + n)
+
+
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, one past the last, bytes, bounds) of texts, in parts of bounded size."""
     texts = texts.cast(pa.large_string())
@@ -153,14 +171,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = last - first
             text, shingle, times = shingles(data, bounds)
             weight = np.bincount(text, weights=times, minlength=n).astype(np.int64)
-            bands = _bands(bag_min_hash(text, shingle, times, n))[weight > 0]
-            ends = np.concatenate([[0], np.cumsum(np.where(weight > 0, BANDS, 0))])
+            signature = bag_min_hash(text, shingle, times, n)[weight > 0]
+            lists = []
+            for values, width in ((_bands(signature), BANDS), (_sketch(signature), REGISTERS // 16)):
+                ends = np.concatenate([[0], np.cumsum(np.where(weight > 0, width, 0))])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.ravel())))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c).slice(first, n) for c in ("row_id", "doc_id", "key")], pa.array(weight),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.ravel())),
-                ],
-                ["row_id", "doc_id", "key", "weight", "bands"],
+                [*[batch.column(c).slice(first, n) for c in ("row_id", "doc_id", "key")], pa.array(weight), *lists],
+                ["row_id", "doc_id", "key", "weight", "bands", "sketch"],
             )
 
 
@@ -187,7 +205,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """Written table: row_id, doc_id, key of the text, weight, band keys."""
+    """Written table: row_id, doc_id, key of the text, weight, band keys, sketch."""
     text = document_text()
     row_id = F.monotonically_increasing_id() if row is None else F.col(row)
     given = docs.select(
@@ -195,7 +213,7 @@ def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
         text.alias("text"),
     )
     return materialized(
-        given.mapInArrow(_sign, "row_id long, doc_id long, key binary, weight long, bands array<long>")
+        given.mapInArrow(_sign, "row_id long, doc_id long, key binary, weight long, bands array<long>, sketch array<long>")
     )
 
 
@@ -223,16 +241,15 @@ def components(edges: DataFrame) -> DataFrame:
     return materialized(labels.unionByName(roots.select("node", F.col("node").alias("component"))))
 
 
-def _verified(pairs: DataFrame, elements: DataFrame, similar: float) -> DataFrame:
-    """The pairs (one, two) whose multisets are similar enough."""
+def _measured(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    """The pairs (one, two) with the similarity of their multisets."""
     side = lambda name, short: elements.select(
         F.col("node").alias(name), F.col("weight").alias(f"weight_{short}"), F.col("elements").alias(short)
     )
-    fits = F.least("weight_a", "weight_b") >= F.lit(similar) * F.greatest("weight_a", "weight_b")
-    met = pairs.join(side("one", "a"), "one").join(side("two", "b"), "two").filter(fits)
+    met = pairs.join(side("one", "a"), "one").join(side("two", "b"), "two")
     common = F.size(F.array_intersect("a", "b"))
     similarity = common / (F.col("weight_a") + F.col("weight_b") - common)
-    return materialized(met.select("one", "two", similarity.alias("similarity")).filter(F.col("similarity") >= similar))
+    return materialized(met.select("one", "two", similarity.alias("similarity")))
 
 
 def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -242,9 +259,11 @@ def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> t
     nodes = signatures.groupBy("key").agg(F.min("row_id").alias("node"))
     members = materialized(signatures.select("row_id", "doc_id", "key", "weight").join(nodes, "key"))
     of_node = signatures.join(members.filter("row_id = node").select("row_id"), "row_id", "left_semi")
-    banded = materialized(of_node.select(F.col("row_id").alias("node"), F.explode("bands").alias("bucket")))
+    scratch: list[str] = []
+    banded = materialized(of_node.select(F.col("row_id").alias("node"), F.explode("bands").alias("bucket")), scratch)
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = materialized(banded.join(shared, "bucket"))
+    released(docs.sparkSession, scratch)
     met_nodes = met.groupBy("node").agg(F.sum(F.log2("members")).alias("central"))
     met = materialized(met.select("bucket", "node").join(met_nodes, "node"))
 
@@ -254,6 +273,7 @@ def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> t
     counted = texts.mapInArrow(_elements, "key binary, elements array<long>")
     elements = materialized(counted.join(wanted, "key").select("node", "weight", "elements").dropDuplicates(["node"]))
 
+    sketches = materialized(signatures.select(F.col("row_id").alias("node"), "sketch").join(met_nodes.select("node"), "node", "left_semi"))
     component = materialized(met_nodes.select("node", F.col("node").alias("component")))
     for turn in range(LEADERS + 1):
         tagged = materialized(met.join(component, "node"))
@@ -265,41 +285,69 @@ def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> t
         minor = shared.filter("component != main")
         if shared.isEmpty():
             break
-        if turn < LEADERS:
-            pairs = _with_leaders(shared if turn == 0 else minor, shared, turn)
+        if turn == 0:
+            leading = materialized(_leaders(shared, turn))
+            measured = _measured(_led(shared, leading).distinct(), elements)
+            first = measured
+        elif turn < LEADERS:
+            measured = _measured(_led(minor, _leaders(shared.filter("component = main"), turn)).distinct(), elements)
         else:
-            pairs = _across(minor, shared)
-        found = _verified(pairs.distinct(), elements, similar).select("one", "two")
-        component = _merged(component, found)
+            placed = _from_leader(shared, leading, first).join(sketches, "node")
+            measured = _measured(_across(materialized(placed), similar).distinct(), elements)
+        component = _merged(component, measured.filter(F.col("similarity") >= similar).select("one", "two"))
     return members, component
 
 
-def _with_leaders(rows: DataFrame, shared: DataFrame, turn: int) -> DataFrame:
-    """Pairs of rows with the leader of their bucket: the most central member first,
-    then a member of the bucket's largest component, another one in each bucket."""
+def _leaders(able: DataFrame, turn: int) -> DataFrame:
+    """A leader per bucket and its component: the most central member first, then any
+    member, another one in each bucket and turn."""
     order = F.col("central") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn)).cast("double")
-    able = shared if turn == 0 else shared.filter("component = main")
     first = able.groupBy("bucket").agg(
         F.max(F.struct(order.alias("order"), F.bitwise_not("node").alias("id"), F.col("component").alias("of"))).alias("first")
     )
-    leading = first.select("bucket", F.bitwise_not("first.id").alias("lead"), F.col("first.of").alias("of"))
-    return rows.join(leading, "bucket").filter("component != of").select(
-        F.least("node", "lead").alias("one"), F.greatest("node", "lead").alias("two")
+    return first.select("bucket", F.bitwise_not("first.id").alias("lead"), F.col("first.of").alias("of"))
+
+
+def _pair(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("one"), F.greatest(one, two).alias("two")]
+
+
+def _led(rows: DataFrame, leading: DataFrame) -> DataFrame:
+    """Pairs of rows with the leader of their bucket."""
+    return rows.join(leading, "bucket").filter("component != of").select(*_pair("node", "lead"))
+
+
+def _from_leader(shared: DataFrame, leading: DataFrame, measured: DataFrame) -> DataFrame:
+    """Rows with their distance (1 - similarity) from the first leader of their bucket."""
+    apart = measured.select("one", "two", (1 - F.col("similarity")).alias("apart"))
+    led = shared.join(leading.select("bucket", "lead"), "bucket").withColumns(
+        {"one": F.least("node", "lead"), "two": F.greatest("node", "lead")}
     )
+    return led.join(apart, ["one", "two"], "left").drop("one", "two", "lead")
+
 
+def _across(shared: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different components that share a bucket, each in one bucket only.
 
-def _across(minor: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket, each in one bucket only."""
+    Left out are pairs that cannot be similar: distances from a third document differ
+    by no more than the distance of the pair, since 1 - weighted Jaccard is a metric;
+    and pairs whose sketches agree in too few registers."""
     all_of = shared.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS
-    left = minor.join(all_of, "node").select("bucket", "node", "component", "main", "buckets")
-    right = shared.join(all_of, "node").select(
-        F.col("bucket").alias("bucket_b"), F.col("node").alias("other"), F.col("component").alias("of"), F.col("buckets").alias("more")
+    placed = shared.join(all_of, "node")
+    left = placed.filter("component != main").select("bucket", "node", "component", "main", "buckets", "apart", "sketch")
+    right = placed.select(
+        F.col("bucket").alias("bucket_b"), F.col("node").alias("other"), F.col("component").alias("of"),
+        F.col("buckets").alias("more"), F.col("apart").alias("apart_b"), F.col("sketch").alias("sketch_b"),
     )
     # Two members outside the largest component meet twice, and count once.
     once = (F.col("of") == F.col("main")) | (F.col("node") < F.col("other"))
+    near = F.coalesce(F.abs(F.col("apart") - F.col("apart_b")) <= 1 - similar + 1e-9, F.lit(True))
     here = F.array_min(F.array_intersect("buckets", "more")) == F.col("bucket")
-    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("component") != F.col("of")) & once & here
-    return left.join(right, same).select(F.least("node", "other").alias("one"), F.greatest("node", "other").alias("two"))
+    share = similar + (1 - similar) / 16  # four bits also agree by chance
+    least = REGISTERS * share - DEVIATIONS * (REGISTERS * share * (1 - share)) ** 0.5
+    alike = _agreeing(F.col("sketch"), F.col("sketch_b")) >= F.lit(int(least))
+    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("component") != F.col("of")) & once & near & alike & here
+    return left.join(right, same).select(*_pair("node", "other"))
 
 
 def _merged(component: DataFrame, found: DataFrame) -> DataFrame:

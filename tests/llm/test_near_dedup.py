@@ -111,3 +111,14 @@ def test_shingles_stay_within_their_text():
     text, shingle, times = near_dedup.shingles(data, bounds)
     assert text.tolist() == [0, 0, 2, 3, 4] and times.tolist() == [1] * 5
     assert shingle[3] == shingle[4] and shingle[3] in shingle[:2]
+
+
+def test_sketches_count_registers_that_agree(spark):
+    rng = np.random.default_rng(0)
+    one = rng.integers(0, 1 << 62, (20, near_dedup.REGISTERS)).astype(np.uint64)
+    two = np.where(rng.random(one.shape) < 0.7, one, rng.integers(0, 1 << 62, one.shape).astype(np.uint64))
+    rows = [(a.tolist(), b.tolist()) for a, b in zip(near_dedup._sketch(one), near_dedup._sketch(two))]
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    found = [r[0] for r in frame.select(near_dedup._agreeing(frame.a, frame.b)).collect()]
+    bits = [near_dedup._mixed(x) & np.uint64(15) for x in (one, two)]
+    assert found == (bits[0] == bits[1]).sum(axis=1).tolist()
