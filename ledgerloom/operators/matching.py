@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -265,10 +266,20 @@ def mark_cross_source(canonical: DataFrame, policy: MatchPolicy) -> DataFrame:
 
 @dataclass(frozen=True)
 class Matched:
-    """Surviving transactions, and which Bronze rows each of them stands for."""
+    """Surviving transactions, and which Bronze rows each of them stands for. Either
+    is planned when it is first asked for."""
 
-    transactions: DataFrame
-    sources: DataFrame
+    marked: DataFrame
+    edges: DataFrame
+    policies: Sequence[MatchPolicy]
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return survivors(self.marked, self.edges, self.policies)
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return provenance(self.marked, self.edges, self.policies)
 
 
 def resolve_chains(edges: DataFrame) -> DataFrame:
@@ -302,10 +313,10 @@ def match_transactions(
     transactions: DataFrame, policies: Sequence[MatchPolicy] = MATCH_POLICIES, tolerance: int = DRIFT_TOLERANCE_DAYS
 ) -> Matched:
     """All tiers. The rows after tier 2, and the few tier-3 edges, are written
-    once; both results read them from there."""
+    once; both results read them from there, and provenance runs only where asked for."""
     marked = materialized(mark_duplicates(transactions, tolerance))
     edges = materialized(drift_edges(marked, tolerance))
-    return Matched(survivors(marked, edges, policies), provenance(marked, edges, policies))
+    return Matched(marked, edges, policies)
 
 
 def provenance(marked: DataFrame, edges: DataFrame, policies: Sequence[MatchPolicy] = MATCH_POLICIES) -> DataFrame:

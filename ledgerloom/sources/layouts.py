@@ -112,6 +112,7 @@ SLASHED_SPAN = r"(?m)^[ \t]*(\d{2}/\d{2}/\d{4})\s*-\s*(\d{2}/\d{2}/\d{4})[ \t]*$
 
 # --- kroo ----------------------------------------------------------------------
 
+# Words that tell the direction of a row with one amount.
 OUT_WORDS = r"\bpayment out\b|\bfaster payment out\b|\bsent to\b|\bsent\b|\b out\b"
 IN_WORDS = r"\bfrom\b|\bdeposit\b|\binterest\b|\bsalary\b|\bpaid in\b|\bcredit\b|\bpayment in\b"
 
@@ -125,13 +126,9 @@ def _kroo(text: Column, period: Column) -> Column:
     )
 
     def amount(amounts: Column, lowered: Column) -> Column:
-        goes_out, comes_in = lowered.rlike(OUT_WORDS), lowered.rlike(IN_WORDS)
+        # A credit says so, and says nothing of money going out; all else is a debit.
         first, second = F.get(amounts, 0), F.get(amounts, 1)
-        by_words = (
-            F.when(goes_out | (lowered.contains("to ") & ~comes_in), -first)
-            .when(comes_in | lowered.startswith("from"), first)
-            .otherwise(-first)
-        )
+        by_words = F.when(lowered.rlike(IN_WORDS) & ~lowered.rlike(OUT_WORDS), first).otherwise(-first)
         return F.when(F.size(amounts) == 2, by_words).when(F.size(amounts) > 2, second - first)
 
     def read(block: Column) -> Column:
