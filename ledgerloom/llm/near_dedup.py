@@ -12,8 +12,9 @@ about m log m points.
 
 Registers are banded, `ROWS` to a band, in `BANDS` bands: a pair of similarity 0.8 meets in none of the
 bands with a probability of 3e-6. Pairs are verified on their whole multisets. All
-pairs of a bucket are never listed while they need not be: each bucket first compares
-its members with one leader, the member that shares most large buckets with others.
+pairs of a bucket are never listed while they need not be: each bucket has a leader,
+the member that shares most large buckets with others, and a document is first compared
+with the leader of most of its buckets.
 Linked documents become components. Members outside a bucket's largest component are
 then compared with a member inside, drawn anew for each bucket and turn, so that a
 document meets many. Only members that are in different components after that are
@@ -286,13 +287,14 @@ def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> t
         if shared.isEmpty():
             break
         if turn == 0:
-            leading = materialized(_leaders(shared, turn))
-            measured = _measured(_led(shared, leading).distinct(), elements)
+            pivots = materialized(_pivots(_led(shared, _leaders(shared, turn))))
+            measured = _measured(pivots.select(*_pair("node", "lead")).distinct(), elements)
             first = measured
         elif turn < LEADERS:
-            measured = _measured(_led(minor, _leaders(shared.filter("component = main"), turn)).distinct(), elements)
+            led = _led(minor, _leaders(shared.filter("component = main"), turn))
+            measured = _measured(led.select(*_pair("node", "lead")).distinct(), elements)
         else:
-            placed = _from_leader(shared, leading, first).join(sketches, "node")
+            placed = _from_pivot(shared, pivots, first).join(sketches, "node")
             measured = _measured(_across(materialized(placed), similar).distinct(), elements)
         component = _merged(component, measured.filter(F.col("similarity") >= similar).select("one", "two"))
     return members, component
@@ -313,35 +315,42 @@ def _pair(one: str, two: str) -> list[Column]:
 
 
 def _led(rows: DataFrame, leading: DataFrame) -> DataFrame:
-    """Pairs of rows with the leader of their bucket."""
-    return rows.join(leading, "bucket").filter("component != of").select(*_pair("node", "lead"))
+    """Rows with the leader of their bucket, where it is another document."""
+    return rows.join(leading, "bucket").filter("component != of").select("node", "lead")
 
 
-def _from_leader(shared: DataFrame, leading: DataFrame, measured: DataFrame) -> DataFrame:
-    """Rows with their distance (1 - similarity) from the first leader of their bucket."""
+def _pivots(led: DataFrame) -> DataFrame:
+    """One leader per node: the one that leads most of its buckets."""
+    often = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = often.groupBy("node").agg(F.max(F.struct("n", F.bitwise_not("lead").alias("id"))).alias("best"))
+    return best.select("node", F.bitwise_not("best.id").alias("lead"))
+
+
+def _from_pivot(shared: DataFrame, pivots: DataFrame, measured: DataFrame) -> DataFrame:
+    """Rows with their pivot and their distance (1 - similarity) from it."""
     apart = measured.select("one", "two", (1 - F.col("similarity")).alias("apart"))
-    led = shared.join(leading.select("bucket", "lead"), "bucket").withColumns(
-        {"one": F.least("node", "lead"), "two": F.greatest("node", "lead")}
-    )
-    return led.join(apart, ["one", "two"], "left").drop("one", "two", "lead")
+    known = pivots.select("node", F.col("lead").alias("pivot"), *_pair("node", "lead")).join(apart, ["one", "two"])
+    return shared.join(known.select("node", "pivot", "apart"), "node", "left")
 
 
 def _across(shared: DataFrame, similar: float) -> DataFrame:
     """Pairs of different components that share a bucket, each in one bucket only.
 
-    Left out are pairs that cannot be similar: distances from a third document differ
+    Left out are pairs that cannot be similar: distances from a shared pivot differ
     by no more than the distance of the pair, since 1 - weighted Jaccard is a metric;
     and pairs whose sketches agree in too few registers."""
     all_of = shared.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS
     placed = shared.join(all_of, "node")
-    left = placed.filter("component != main").select("bucket", "node", "component", "main", "buckets", "apart", "sketch")
+    left = placed.filter("component != main").select("bucket", "node", "component", "main", "buckets", "pivot", "apart", "sketch")
     right = placed.select(
         F.col("bucket").alias("bucket_b"), F.col("node").alias("other"), F.col("component").alias("of"),
         F.col("buckets").alias("more"), F.col("apart").alias("apart_b"), F.col("sketch").alias("sketch_b"),
+        F.col("pivot").alias("pivot_b"),
     )
     # Two members outside the largest component meet twice, and count once.
     once = (F.col("of") == F.col("main")) | (F.col("node") < F.col("other"))
-    near = F.coalesce(F.abs(F.col("apart") - F.col("apart_b")) <= 1 - similar + 1e-9, F.lit(True))
+    beyond = (F.col("pivot") == F.col("pivot_b")) & (F.abs(F.col("apart") - F.col("apart_b")) > 1 - similar + 1e-9)
+    near = ~F.coalesce(beyond, F.lit(False))
     here = F.array_min(F.array_intersect("buckets", "more")) == F.col("bucket")
     share = similar + (1 - similar) / 16  # four bits also agree by chance
     least = REGISTERS * share - DEVIATIONS * (REGISTERS * share * (1 - share)) ** 0.5
