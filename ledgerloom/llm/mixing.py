@@ -2,14 +2,16 @@
 
 Token counts are summed per cell (source, language, topic). Iterative proportional
 fitting scales the cells to each margin's target in turn until all margins agree.
-A cell's calibrated multiplier is its fitted weight over its tokens; a document is
-kept with probability min(1, scale x multiplier), the scale chosen so that the
-expected tokens meet the budget. Whether a document is kept depends on its id and
-text alone, so a rerun keeps the same ones.
+A cell's calibrated multiplier is its fitted weight over its share of tokens; a document
+is kept `expected` = budget x multiplier times on average: as many times as that is
+whole, and once more by lot for the fraction. Mass above one is thus carried by copies
+and not cut off, so that the expected tokens meet the budget and every margin at once.
+How often a document is kept depends on its id and text and on the cells alone, so a
+rerun keeps the same.
 
 Only the first sum reads documents, and it combines before the shuffle, so that a
 source with a third of all rows is no hot key. Everything iterative runs on cells,
-as a table; the driver sees the largest deviation and two sums.
+as a table; the driver sees the largest deviation and a few sums.
 
 Defined results: null source, language or topic is a value of its own; a document
 without words has no tokens and the probability of its cell; rows that repeat are
@@ -107,39 +109,26 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     return fitted.drop(*[f"target_{m}" for m in MARGINS])
 
 
-def _scale(cells: DataFrame, budget: float) -> float:
-    """The scale s with sum(tokens x min(1, s x multiplier)) = budget x tokens."""
-    total = cells.agg(F.sum("cell_tokens")).first()[0] or 0
-    want, scale = budget * total, 0.0
-    while True:  # the set of cells at probability one only grows
-        full = F.col("multiplier") * scale >= 1
-        kept, rest = cells.agg(
-            F.coalesce(F.sum(F.when(full, F.col("cell_tokens"))), F.lit(0)),
-            F.coalesce(F.sum(F.when(~full, F.col("cell_tokens") * F.col("multiplier"))), F.lit(0.0)),
-        ).first()
-        if rest <= 0 or want <= kept:
-            return scale
-        found = (want - kept) / rest
-        if found <= scale * (1 + 1e-12):
-            return scale
-        scale = found
-
-
 def calibrated(
     rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET
 ) -> DataFrame:
-    """Per cell: weight, multiplier and probability."""
+    """Per cell: weight, multiplier, copies expected, and the probability of at least one."""
     cells = materialized(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("cell_tokens")))
     total = cells.agg(F.sum("cell_tokens")).first()[0] or 1
     fitted = raked(cells, targets).withColumn("multiplier", F.col("weight") * F.lit(float(total)) / F.col("cell_tokens"))
-    fitted = materialized(fitted)
-    scale = _scale(fitted, budget)
-    return fitted.withColumn("probability", F.least(F.lit(1.0), F.lit(scale) * F.col("multiplier")))
+    # Weights sum to one, so that the budget is the scale at which tokens meet it.
+    fitted = materialized(fitted).withColumn("expected", F.lit(float(budget)) * F.col("multiplier"))
+    return fitted.withColumn("probability", F.least(F.lit(1.0), "expected"))
+
+
+def _copies(lot: Column, expected: Column) -> Column:
+    """How often a document is kept: its whole copies, and one more by lot."""
+    return (F.floor(expected) + (lot < expected - F.floor(expected)).cast("long")).cast("int")
 
 
 def _joined(rows: DataFrame, cells: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Every row with the figures of its cell; null margins match each other."""
-    marked = cells.select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], "weight", "multiplier", "probability")
+    marked = cells.select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], "multiplier", "expected", "probability")
     same = F.lit(True)
     for m in MARGINS:
         same = same & F.col(names[m]).eqNullSafe(F.col(f"cell_{m}"))
@@ -147,33 +136,30 @@ def _joined(rows: DataFrame, cells: DataFrame, names: Mapping[str, str]) -> Data
 
 
 def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept.
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept, copies.
 
     `weight` is what the document adds to the mix: its share of its cell's weight.
-    A cell without tokens or without a target has weight and probability zero."""
+    `copies` says how often it is kept. A cell without tokens or without a target has
+    weight, probability and copies zero."""
     rows = materialized(measured(docs))
     found = _joined(rows, calibrated(rows, targets, budget), {m: m for m in MARGINS})
-    chance = F.coalesce("probability", F.lit(0.0))
+    copies = _copies(F.col("lot"), F.coalesce("expected", F.lit(0.0)))
     total = F.lit(float(rows.agg(F.sum("n_tokens")).first()[0] or 1))
     return found.select(
         "doc_id", *MARGINS, "n_tokens", (F.coalesce("multiplier", F.lit(0.0)) * F.col("n_tokens") / total).alias("weight"),
-        chance.alias("probability"), (F.col("lot") < chance).alias("kept"),
+        F.coalesce("probability", F.lit(0.0)).alias("probability"), (copies > 0).alias("kept"), copies.alias("copies"),
     )
 
 
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The documents the mix keeps, with their own columns."""
-    cells = calibrated(measured(docs).drop("lot"), targets, budget).select(*MARGINS, "weight", "multiplier", "probability")
-    cells = materialized(cells)
-    label = fresh(docs, "topic")
-    clash = {c: fresh(docs, f"mix_{c}") for c in ("weight", "multiplier", "probability")}
+    """The documents the mix keeps, each as often as it is kept, with their own columns."""
+    cells = materialized(calibrated(measured(docs).drop("lot"), targets, budget).select(*MARGINS, "expected"))
+    label, expected, copy = fresh(docs, "topic"), fresh(docs, "mix_expected"), fresh(docs, "mix_copy")
     text = document_text()
-    marked = cells.select(
-        *[F.col(m).alias(fresh(docs, f"cell_{m}")) for m in MARGINS], *[F.col(c).alias(n) for c, n in clash.items()]
-    )
+    marked = cells.select(*[F.col(m).alias(fresh(docs, f"cell_{m}")) for m in MARGINS], F.col("expected").alias(expected))
     same = F.lit(True)
     for m, name in zip(MARGINS, ("source", "lang", label), strict=True):
         same = same & F.col(name).eqNullSafe(F.col(fresh(docs, f"cell_{m}")))
-    joined = docs.withColumn(label, topic(text)).join(marked, same, "left")
-    chance = F.coalesce(clash["probability"], F.lit(0.0))
-    return joined.filter(uniform(F.col("doc_id").cast("long"), text, seed=5) < chance).select(*docs.columns)
+    joined = docs.withColumn(label, topic(text)).join(marked, same)
+    copies = _copies(uniform(F.col("doc_id").cast("long"), text, seed=5), F.col(expected))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)

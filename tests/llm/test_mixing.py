@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,3 +55,21 @@ def test_empty_texts_ties_and_no_rows(documents):
     assert len(found) == 5 and len({(r["probability"], r["kept"]) for r in found if r["doc_id"] == 3}) == 1
     assert mixing.mixed(documents([])).count() == 0 and mixing.sampled(documents([])).count() == 0
     assert mixing.mixed(documents([(1, ""), (2, None)])).filter("kept").count() == 0
+
+
+def test_kept_tokens_meet_margins_above_probability_one(documents):
+    rare = [(5000 + i, "word " * (5 + i % 11), "is", f"s{i % 2}") for i in range(44)]
+    rows = [(i, "word " * (5 + i % 11), "en", f"s{i % 3}") for i in range(4400)] + rare
+    docs = documents(rows)
+    found = mixing.mixed(docs).collect()
+    assert max(r["copies"] for r in found) > 1 and all(r["kept"] == (r["copies"] > 0) for r in found)
+    total = sum(r["n_tokens"] for r in found)
+    kept = sum(r["n_tokens"] * r["copies"] for r in found)
+    assert kept == pytest.approx(mixing.BUDGET * total, rel=0.05)
+    for margin in mixing.MARGINS:
+        for value in {r[margin] for r in found}:
+            aim = sum(r["weight"] for r in found if r[margin] == value)
+            share = sum(r["n_tokens"] * r["copies"] for r in found if r[margin] == value) / kept
+            assert share == pytest.approx(aim, rel=0.06), (margin, value)
+    copies = Counter(r["doc_id"] for r in mixing.sampled(docs).collect())
+    assert copies == Counter({r["doc_id"]: r["copies"] for r in found if r["kept"]})
