@@ -5,7 +5,9 @@ a rest. Pieces are dealt by hash into groups of bounded size. Within a group eac
 piece goes to the open sequence, or opens one, where the sum of the squared counts of
 open sequences per gap becomes smallest: gaps stay spread out, so that a piece to come
 finds one that it fits. Sequences filled to within `SLACK` are done; pieces of the
-others are dealt anew, into fewer groups, until one group holds the rest. Nothing but
+others are dealt anew, into fewer groups of the same size, until one group holds the
+rest or a round closes less than `WORTH` of its pieces; open sequences are then final,
+since pieces that find no partner in one such group find none in the next. Nothing but
 lengths takes part in packing, and no group grows with the input.
 
 Defined results: a null text is empty and is one piece, its end id; null or repeated
@@ -26,7 +28,8 @@ from ledgerloom.llm.common import document_text, materialized
 from ledgerloom.llm.tokens import crc32_of_ids, encoder
 
 LENGTH, END = 4096, 1
-GROUP = 20_000  # pieces that are packed together
+GROUP = 20_000  # pieces that are packed together, on average; a hash deals them
+WORTH = 0.1  # share of its pieces that a round must close for another one to follow
 SLACK = 32  # ids a sequence may lack and be done
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -115,7 +118,7 @@ def packed(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     """Pieces with sequence_id and offset; extra columns of the pieces stay."""
     cut = materialized(cut.withColumn("uid", F.monotonically_increasing_id()))
     schema = "uid long, length long, group long, bin long, offset long, fill long"
-    number = lambda turn: F.lit(turn << 57) + F.col("group") * (1 << 25) + F.col("bin")
+    number = lambda turn: F.lit(turn << 56) + F.col("group") * (1 << 24) + F.col("bin")
     rest = cut.filter(F.col("length") < length).select("uid", "length")
     done = [cut.filter(F.col("length") >= length).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     turn, waiting = 1, rest.count()
@@ -123,13 +126,13 @@ def packed(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
         groups = -(-waiting // group)
         dealt = rest.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(groups)))
         made = materialized(dealt.groupBy("group").applyInArrow(_packed(length), schema))
-        last = groups == 1
-        full = F.lit(True) if last else F.col("fill") >= length - SLACK
+        is_full = F.col("fill") >= length - SLACK
+        left = 0 if groups == 1 else made.filter(~is_full).count()
+        if left > (1 - WORTH) * waiting:
+            left = 0
+        full = is_full if left else F.lit(True)
         done.append(made.filter(full).select("uid", number(turn).alias("sequence_id"), "offset"))
         rest = made.filter(~full).select("uid", "length")
-        left = 0 if last else rest.count()
-        # Should a round finish next to nothing, the next one packs as many in fewer groups.
-        group = group if left < 0.9 * waiting else 2 * group
         turn, waiting = turn + 1, left
     placed = done[0]
     for more in done[1:]:

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,26 @@ def test_sum_of_squares_choice():
     lengths = np.random.default_rng(1).integers(1, 1000, 3000)
     bins, _ = packing.sum_of_squares(lengths, 4096)
     assert np.bincount(bins, weights=lengths).max() <= 4096 and bins.max() + 1 <= 1.01 * lengths.sum() / 4096 + 1
+
+
+def test_no_group_grows_where_pieces_find_no_partner(spark, monkeypatch):
+    real, group = packing._packed, 50
+
+    def bounded(room):
+        inner = real(room)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = list(batches)
+            assert sum(p.num_rows for p in parts) <= 2 * group, "a group has grown"
+            yield from inner(iter(parts))
+
+        return run
+
+    monkeypatch.setattr(packing, "_packed", bounded)
+    cut = spark.range(1500).selectExpr("id AS doc_id", "CAST(IF(id % 10 = 0, 200, 400 + id % 5) AS long) AS length")
+    found = packing.packed(cut, 640, group=group).collect()
+    fill = Counter()
+    for r in found:
+        fill[r["sequence_id"]] += r["length"]
+    assert sorted(r["doc_id"] for r in found) == list(range(1500)) and max(fill.values()) <= 640
+    assert len(fill) <= 1.03 * 1350  # a long piece each, small ones beside them
