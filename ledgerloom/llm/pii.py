@@ -2,19 +2,22 @@
 
 Four kinds are found by pattern: email addresses, IP addresses, card numbers that
 pass Luhn, phone numbers. Each distinct value is an entity to protect. Words that
-stand near an entity may give it away: with n(c), n(t), n(c, t) the documents that
-hold the entity, the term, and the term near the entity, the term tells
+stand in the same documents may give it away: with n(c), n(t), n(c, t) the documents
+that hold the entity, the term, and both, the term tells
 
     pmi = log2(n(c, t) N / (n(c) n(t)))   of the   ic = log2(N / n(c))
 
-bits that the entity is worth. A term with pmi >= `DISCLOSES` x ic, seen near the
-entity in at least `SUPPORT` documents, gets a span of kind `term` wherever it stands
-near that entity, and is generalised like the rest. Terms are words of four letters
-or more that lie whole within `NEAR` code points of the entity.
+bits that the entity is worth. A term with pmi >= `DISCLOSES` x ic, in at least
+`SUPPORT` documents with the entity, gets a span of kind `term` wherever it stands, in
+documents without the entity too, and is generalised like the rest. Terms are words of
+four letters or more that touch no span of the four kinds.
 
-Counts are over all documents and whole texts: a document names each of its words
-once, and counts are combined before the shuffle, so neither a common word nor an
-entity in a third of all rows is a hot key. Texts are never shuffled.
+Counts are over all documents and whole texts: a document names each of its words and
+entities once, and counts are combined before the shuffle, so neither a common word nor
+an entity in a third of all rows is a hot key. Entities in fewer than `SUPPORT`
+documents can have no term and name no pairs. Texts are read from a written copy; they
+meet the forms of the words to hide by row, shuffled only where these are too many to
+broadcast.
 
 Patterns start only where a match can start and take runs whole, so that their time
 is linear in the text. Defined results: a null text is empty and has no spans; null or
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import document_text, fresh, keyed, materialized
 
-NEAR, SUPPORT, DISCLOSES = 64, 3, 0.9
+SUPPORT, DISCLOSES = 3, 0.9
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -44,7 +47,7 @@ _HINTS = {
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){13}"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
 }
-WORD = r"\p{L}{4,}+"
+LETTERS = 4  # of a term, at least
 
 
 def _digits(value: Column) -> Column:
@@ -65,9 +68,10 @@ _HOLDS = {
 }
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """All matches as structs (start, end, value), in code points from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, 0)
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     sizes = F.transform(found, lambda m: F.length(m))
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), sizes, lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
@@ -99,66 +103,73 @@ def _of_kind(text: Column, kind: str) -> Column:
     )
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Words that lie whole within NEAR code points before or after a span."""
-    start, end = span["start"], span["end"]
-    first = F.greatest(start - NEAR, F.lit(0))
-    left = F.substring(text, first + 1, start - first)
-    right = F.substring(text, end + 1, F.lit(NEAR))
-    cut = F.when(first > 0, F.regexp_extract(left, r"^\p{L}*", 0)).otherwise("")
-    reach = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"(?<!\p{L})\p{L}++$", "")).otherwise(right)
-    before = F.transform(
-        located(F.substring(left, F.length(cut) + 1, F.lit(NEAR)), WORD), lambda w: _placed(w, first + F.length(cut))
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a zero character for every stretch of spans. What is left of a word
+    that a span cuts stays joined to it."""
+    plain = F.translate(text, "\0", " ")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate(
+        spans, start,
+        lambda a, s: F.when(
+            s["start"] >= a["at"],
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(a["out"], F.substring(plain, a["at"] + 1, s["start"] - a["at"]), F.lit("\0")).alias("out"),
+            ),
+        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
+        lambda a: F.concat(a["out"], F.substring(plain, a["at"] + 1, F.length(plain))),
     )
-    return F.concat(before, F.transform(located(reach, WORD), lambda w: _placed(w, end)))
+    return F.when(F.size(spans) > 0, masked).otherwise(plain)
 
 
-def _placed(word: Column, by: Column) -> Column:
-    return F.struct(
-        (word["start"] + by).alias("start"), (word["end"] + by).alias("end"), F.lower(word["value"]).alias("term")
-    )
+def _forms(text: Column, spans: Column) -> Column:
+    """The distinct words outside of spans, as they are written."""
+    words = F.array_distinct(F.split(_outside(text, spans), r"[^\p{L}\x00]+"))
+    return F.filter(words, lambda w: (F.length(w) >= LETTERS) & ~F.contains(w, F.lit("\0")))
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    return F.array_distinct(F.transform(_forms(text, spans), lambda w: F.lower(w)))
 
 
 def found(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """Written table: row_id, doc_id, spans, near (entity, words), for every document."""
+    """Written table: row_id, doc_id, text, spans, for every document."""
     if row is None:
         row = fresh(docs, "row_id")
         docs = docs.withColumn(row, F.monotonically_increasing_id())
     text = document_text()
-    spans = docs.select(
+    return materialized(docs.select(
         F.col(row).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
         base_spans(text).alias("spans"),
-    )
-    near = F.transform(
-        "spans",
-        lambda s: F.struct(
-            F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), _near(F.col("text"), s).alias("words")
-        ),
-    )
-    return materialized(spans.select("row_id", "doc_id", "spans", near.alias("near")))
+    ))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(base: DataFrame) -> DataFrame:
     """Documents per term, over whole texts of all documents."""
-    words = F.filter(F.split(F.lower(document_text()), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
-    return docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(
+    return base.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_term")
     )
 
 
-def disclosing(
-    base: DataFrame, docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES
-) -> DataFrame:
+def disclosing(base: DataFrame, support: int = SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
     """(entity, term, pmi, ic) of the terms that tell too much of an entity."""
     n = base.count()
-    near = base.select("row_id", F.inline("near"))
-    entities = near.select("row_id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
+    entities = materialized(
+        base.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+        .filter(F.col("n_entity") >= support)
+    )
+    held = (
+        base.select("row_id", F.explode(named).alias("entity")).join(entities, "entity", "left_semi")
+        .groupBy("row_id").agg(F.collect_list("entity").alias("entities"))
+    )
     pairs = (
-        near.select("row_id", "entity", F.explode("words").alias("word"))
-        .select("row_id", "entity", F.col("word.term").alias("term")).distinct()
+        base.filter(F.size("spans") > 0).join(held, "row_id")
+        .select("entities", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+        .select(F.explode("entities").alias("entity"), "term")
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
     )
-    told = pairs.join(entities, "entity").join(term_counts(docs), "term")
+    told = pairs.join(entities, "entity").join(term_counts(base), "term")
     pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
     ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
     return told.select("entity", "term", pmi.alias("pmi"), ic.alias("ic")).filter(
@@ -166,31 +177,36 @@ def disclosing(
     )
 
 
-def detected(
-    docs: DataFrame, row: str | None = None, support: int = SUPPORT, discloses: float = DISCLOSES
-) -> DataFrame:
-    """One row per document: row_id, doc_id, spans with kinds email, ip, card, phone and term."""
-    base = found(docs, row)
-    told = materialized(disclosing(base, docs, support, discloses))
-    words = base.select("row_id", F.inline("near")).select("row_id", "entity", F.inline("words"))
-    terms = (
-        words.join(told, ["entity", "term"], "left_semi").select("row_id", "start", "end", "term").distinct()
-        .groupBy("row_id").agg(F.collect_list(F.struct("start", "end", "term")).alias("terms"))
-    )
+def _hidden(text: Column, spans: Column, forms: Column) -> Column:
+    """Spans of kind term for every whole word of the text that is one of `forms`."""
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
     free = F.filter(
-        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string>>")),
-        lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
+        located(text, pattern), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     )
-    added = F.transform(
+    return F.transform(
         free,
         lambda t: F.struct(
             t["start"].alias("start"), F.lit(len(KINDS)).alias("order"), t["end"].alias("end"),
-            F.lit("term").alias("kind"), t["term"].alias("value"),
+            F.lit("term").alias("kind"), F.lower(t["value"]).alias("value"),
         ),
     )
-    return base.select("row_id", "doc_id", "spans").join(terms, "row_id", "left").select(
-        "row_id", "doc_id", F.array_sort(F.concat("spans", added)).alias("spans")
+
+
+def detected(
+    docs: DataFrame, row: str | None = None, support: int = SUPPORT, discloses: float = DISCLOSES
+) -> DataFrame:
+    """One row per document: row_id, doc_id, spans with kinds email, ip, card, phone and term."""
+    base = found(docs, row)
+    told = materialized(disclosing(base, support, discloses).select("term").distinct())
+    hits = materialized(
+        base.select("row_id", F.explode(_forms(F.col("text"), F.col("spans"))).alias("form"))
+        .join(told, F.lower("form") == F.col("term"), "left_semi")
+        .groupBy("row_id").agg(F.collect_list("form").alias("forms"))
+    )
+    added = F.when(F.col("forms").isNull(), F.col("spans")).otherwise(
+        F.concat("spans", _hidden(F.col("text"), F.col("spans"), F.col("forms")))
     )
+    return base.join(hits, "row_id", "left").select("row_id", "doc_id", F.array_sort(added).alias("spans"))
 
 
 def _written(spans: Column) -> Column:

@@ -73,3 +73,17 @@ def test_rare_and_repeated_rows(documents):
     found = pii.digests(pii.detected(docs)).collect()
     assert len(found) == 3 and all("term" not in r["spans"] for r in found)
     assert pii.digests(pii.detected(documents([]))).count() == 0
+
+
+def test_terms_far_from_their_entity_and_without_it(documents):
+    far = " filler" * 30
+    told = [(i, f"Zebulon wrote{far} to zeb@corp.example and ZEBULON signed") for i in range(20)]
+    other = [(100 + i, f"plain words number {i} and{far}, wrote, signed") for i in range(40)] + [(200, "İst. Zebulon éZebulon, zebulon corp")]
+    docs = documents(told + other)
+    found = {r["doc_id"]: r["spans"].split(",") for r in pii.digests(pii.detected(docs)).collect()}
+    at = told[0][1].index("zeb@")
+    for i, text in told:
+        last = text.index("ZEBULON")
+        assert found[i] == ["term:0:7", f"email:{at}:{at + 16}", f"term:{last}:{last + 7}"]
+    assert found[200] == ["term:5:12", "term:23:30"]
+    assert all(found[i] == [""] for i in range(100, 140))
