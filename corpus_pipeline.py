@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in sequences of 4096 tokens."""
     import public_tokenizers
 
-    return packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), added=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -34,9 +34,9 @@ SLACK = 32  # ids a sequence may lack and be done
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(tokenizer: str, length: int):
+def _cut(tokenizer: str, length: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), np.array([END], "<u4").tobytes()
+        coder, end = encoder(tokenizer, added), np.array([END], "<u4").tobytes()
         for batch in batches:
             names = batch.column(0)
             for first, last, ids, bounds in coder.batches(batch.column(1)):
@@ -63,10 +63,12 @@ def _cut(tokenizer: str, length: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """One row per piece, with the ids of its document before it and the CRC of its own."""
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, added: bool = False) -> DataFrame:
+    """One row per piece, with the ids of its document before it and the CRC of its own.
+
+    With `added`, strings of added tokens get the ids of these tokens."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_text().alias("text"))
-    return texts.mapInArrow(_cut(tokenizer, length), PIECES)
+    return texts.mapInArrow(_cut(tokenizer, length, added), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:

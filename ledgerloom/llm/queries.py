@@ -61,11 +61,11 @@ def tokenizer(name: str) -> str:
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{scratch_folder(spark).rstrip('/')}/ledgerloom/tokens-{uuid.uuid4().hex}"
-    return wavelet.documents(wavelet.written(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), path))
+    return wavelet.documents(wavelet.written(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), path, added=True))
 
 
 def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed(packing.pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json")))
+    return packing.packed(packing.pieces(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), added=True))
 
 
 def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:

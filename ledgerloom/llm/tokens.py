@@ -7,14 +7,19 @@ new ones are encoded. Put back in place, the pieces looked up must give the very
 of the texts, which is compared, and their ids are then the ids of the uncut texts. A
 piece that is one plain word goes to the tokenizer's model, any other through all its
 rules.
+
+With `added`, strings of added tokens such as <|endoftext|> become the ids of these
+tokens, as the library does unless told otherwise: texts are cut at both ends of such a
+string, where the library parts them too, and nowhere inside. Without, they are text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,8 +53,9 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where to cut UTF-8 texts that lie one after another, with all their ends."""
+def pieces(data: np.ndarray, offsets: np.ndarray, uncut: Sequence[tuple[int, int]] = ()) -> np.ndarray:
+    """Places where to cut UTF-8 texts that lie one after another, with all their ends,
+    and with both ends but no place inside of the stretches `uncut`."""
     kind = _CLASS[data]
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 3:
@@ -60,6 +66,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ends_word = (before == _LETTER) & (here == _OTHER)
         new_line = (data[2:-1] == 10) & (here == _LETTER) & ((kind[1:-2] == _LETTER) | (kind[1:-2] == _OTHER))
         cut[3:-1] = space | ends_word | new_line
+    for begin, end in uncut:
+        cut[begin : end + 1] = False
+        cut[[begin, end]] = True
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -89,12 +98,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 class Encoder:
     """Ids of texts by one tokenizer file, as 16-bit little-endian streams."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
+        self.added = self._added() if added else None
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.model = self.whole.model
@@ -102,6 +112,29 @@ class Encoder:
         self.word_ends = bool(getattr(self.model, "end_of_word_suffix", None))
         self.forget()
 
+    def _added(self) -> re.Pattern[bytes] | None:
+        """Finds the strings of added tokens, the longest of those that start together."""
+        tokens = self.whole.get_added_tokens_decoder().values()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens):
+            raise ValueError("added tokens of this vocabulary depend on the text around them")
+        words = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+        return re.compile(b"|".join(map(re.escape, words))) if words else None
+
+    def _stretches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens stand; a string that runs on into the next text is none."""
+        found: list[tuple[int, int]] = []
+        if self.added is None:
+            return found
+        text, at = data.tobytes(), 0
+        while hit := self.added.search(text, at):
+            end = int(offsets[np.searchsorted(offsets, hit.start(), "right")])
+            if hit.end() <= end:
+                found.append(hit.span())
+                at = hit.end()
+            else:
+                at = hit.start() + 1
+        return found
+
     def forget(self) -> None:
         self.place: dict[int, int] = {}
         self.words: list[bytes] = []
@@ -169,7 +202,7 @@ class Encoder:
             return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
         offsets = offsets - first
-        cuts = pieces(data, offsets)
+        cuts = pieces(data, offsets, self._stretches(data, offsets))
         coded = self._looked_up(data, cuts)
         ends = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1) // 2
         ids = np.frombuffer(coded.buffers()[2], np.uint16, int(ends[-1]))
@@ -199,14 +232,14 @@ def _used(slots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return used, rank[slots]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder per Python worker, file and reading of added tokens."""
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added)
+    return _ENCODERS[path, added]
 
 
 def crc32_of_ids(wide: np.ndarray, begin: int, end: int, crc: int = 0) -> int:

@@ -164,11 +164,11 @@ def _with_ends(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarra
     return out, ends
 
 
-def _blocks(tokenizer: str, block: int):
+def _blocks(tokenizer: str, block: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, coder, number = TaskContext.get().partitionId(), encoder(tokenizer), 0
+        shard, coder, number = TaskContext.get().partitionId(), encoder(tokenizer, added), 0
         held: list[np.ndarray] = []
         docs: list = []
         ends: list[np.ndarray] = []
@@ -207,15 +207,19 @@ def _blocks(tokenizer: str, block: int):
     return run
 
 
-def written(docs: DataFrame, tokenizer: str, path: str, shards: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Write all documents as wavelet matrix files below `path` and open them."""
+def written(
+    docs: DataFrame, tokenizer: str, path: str, shards: int | None = None, block: int = BLOCK, added: bool = False
+) -> DataFrame:
+    """Write all documents as wavelet matrix files below `path` and open them.
+
+    With `added`, strings of added tokens get the ids of these tokens."""
     text = document_text()
     ranged = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
         .repartitionByRange(shards or shuffle_partitions(docs), "doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
-    files = ranged.mapInArrow(_blocks(tokenizer, block), FILES)
+    files = ranged.mapInArrow(_blocks(tokenizer, block, added), FILES)
     files.write.option("compression", "uncompressed").parquet(path)
     return opened(docs.sparkSession, path)
 

@@ -136,3 +136,34 @@ def test_no_group_grows_where_pieces_find_no_partner(spark, monkeypatch):
         fill[r["sequence_id"]] += r["length"]
     assert sorted(r["doc_id"] for r in found) == list(range(1500)) and max(fill.values()) <= 640
     assert len(fill) <= 1.03 * 1350  # a long piece each, small ones beside them
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "Σ<|endoftext|>\nb  <|endoftext|>  ", "x<|endof", "text|>y", "<|<|endoftext|>|>", "no"]
+
+
+def _untouched(name):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public.path(name))
+    return lambda text: coder.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_encode_like_the_library(name):
+    rnd = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "a", "B", " ", "\n", "é", "'s", "1", "."]
+    texts = SPECIAL + _texts() + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    whole, coder, got = _untouched(name), tokens.Encoder(public.path(name), added=True), []
+    for first, last, ids, bounds in coder.batches(pa.array(texts)):
+        got += [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(last - first)]
+    assert got == [whole(t) for t in texts]
+
+
+def test_queries_read_added_tokens(documents, spark, tmp_path):
+    from ledgerloom.llm.queries import LLM_QUERIES
+
+    documents(list(enumerate(SPECIAL))).write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, end in (("op8_token_files", "byte_bpe_50k.json", 0), ("op9_packing", "word_bpe_49k.json", 1)):
+        whole = _untouched(name)
+        want = {i: zlib.crc32(np.array(whole(t) + [end], "<u4").tobytes()) for i, t in enumerate(SPECIAL)}
+        assert {r["doc_id"]: r["ids_crc32"] for r in LLM_QUERIES[query](spark, str(tmp_path)).collect()} == want
