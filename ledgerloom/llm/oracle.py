@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express, written on its own."""
 
+from ledgerloom.llm.quality import STOP_WORDS
+
 LLM_ORACLE: dict[str, str] = {}
 
 LLM_ORACLE["op2_exact_dedup"] = r"""
@@ -52,3 +54,41 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+LLM_ORACLE["op11_quality_rules"] = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+p AS (SELECT doc_id, unnest(list_zip(w, w[2:], w[3:], range(1, len(w) + 1))) AS z FROM t),
+g AS (
+  SELECT doc_id, z[4] AS place, count(*) OVER (PARTITION BY doc_id, z[1], z[2], z[3]) AS found
+  FROM p WHERE z[3] IS NOT NULL),
+c AS (
+  SELECT doc_id, count(DISTINCT place) AS n
+  FROM (SELECT doc_id, unnest([place, place + 1, place + 2]) AS place FROM g WHERE found > 1) GROUP BY doc_id),
+s AS (SELECT list_concat(list_concat(words, list_transform(words, lambda x: upper(x))),
+                         list_transform(words, lambda x: upper(x[1]) || x[2:])) AS stop FROM (SELECT [{_STOP}] AS words)),
+m AS (
+  SELECT t.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines,
+         length(regexp_replace(text, '\P{{L}}', '', 'g')) AS letters, length(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS capitals,
+         len(list_filter(w, lambda x: list_contains(stop, x))) AS stops,
+         coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::BIGINT AS all_chars,
+         coalesce(list_sum(list_transform(list_distinct(l), lambda x: length(x))), 0)::BIGINT AS once_chars,
+         len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•‣◦]'))) AS bullets,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS ellipses
+  FROM t LEFT JOIN c USING (doc_id), s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words BETWEEN 50 AND 10000000 AND n_repeat_words <= 0.5 * n_words
+       AND word_chars BETWEEN 3 * n_words AND 10 * n_words AND n_symbols <= 0.1 * n_words
+       AND capitals <= 0.3 * letters AND letters >= 0.6 * word_chars AND stops >= 0.05 * n_words
+       AND n_dup_lines <= 0.5 * n_lines AND all_chars - once_chars <= 0.2 * all_chars
+       AND bullets <= 0.9 * n_lines AND ellipses <= 0.3 * n_lines AS kept
+FROM m
+"""

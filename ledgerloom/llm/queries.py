@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, sharding, topk, toxicity, wavelet
+from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, topk, toxicity, wavelet
 from ledgerloom.llm.common import materialized
 from ledgerloom.llm.oracle import LLM_ORACLE
 from ledgerloom.session import scratch_folder
@@ -73,6 +73,10 @@ def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.trained(docs, table(spark, folder, "labels")))
 
 
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digests(quality.judged(table(spark, folder, "documents")))
+
+
 def whole_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -88,5 +92,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": token_files,
     "op9_packing": packed_sequences,
     "op10_toxicity": toxic_scores,
+    "op11_quality_rules": quality_rules,
     "pipeline": whole_pipeline,
 }
