@@ -92,3 +92,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        AND bullets <= 0.9 * n_lines AND ellipses <= 0.3 * n_lines AS kept
 FROM m
 """
+
+LLM_ORACLE["op13_conversation_trie"] = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n::BIGINT)) AS crc),
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS at_turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+talk AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY at_turn) AS turns,
+         xor(4294967295::BIGINT, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+             lambda s, b: xor(crc[(xor(s, b) & 255) + 1], s >> 8), 4294967295::BIGINT)) % 6 AS h
+  FROM own, tab GROUP BY conv_id, crc),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+  FROM talk c LEFT JOIN talk b ON b.conv_id = c.conv_id - c.conv_id % 100),
+pre AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS node, len(turns) = d AS ends
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+node AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM pre GROUP BY node, depth),
+kids AS (SELECT node[1:depth - 1] AS node, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM node n LEFT JOIN kids k ON k.node = n.node),
+below AS (
+  SELECT node[1:d] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+         sum((n_convs - 1) * coalesce(length(node[depth].t), 0)) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_node) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN below b ON b.node = n.node
+LEFT JOIN node p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]
+"""
