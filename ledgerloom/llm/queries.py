@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from ledgerloom.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, quality, sharding, topk, toxicity, trie, wavelet
+from ledgerloom.llm import chat, exact_dedup, lexical, mixing, near_dedup, packing, pii, quality, sharding, topk, toxicity, trie, wavelet
 from ledgerloom.llm.common import materialized
 from ledgerloom.llm.oracle import LLM_ORACLE
 from ledgerloom.session import scratch_folder
@@ -77,6 +77,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.digests(quality.judged(table(spark, folder, "documents")))
 
 
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.trie(table(spark, folder, "conversations"))
 
@@ -97,6 +101,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packed_sequences,
     "op10_toxicity": toxic_scores,
     "op11_quality_rules": quality_rules,
+    "op12_lexical_search": lexical_search,
     "op13_conversation_trie": conversation_trie,
     "pipeline": whole_pipeline,
 }
