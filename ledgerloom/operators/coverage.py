@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.accounts import resolve_accounts
-from ledgerloom.operators.ordered import max_before, scan
+from ledgerloom.operators.ordered import hot_keys, max_before, running_sum, scan
 from ledgerloom.registries import GAP_TOLERANCE_DAYS, PERIOD_SOURCES
+from ledgerloom.session import materialized
 
 PERIOD_COLUMNS = ("account_id", "source_type", "ingestion_id", "filename", "period_from", "period_to")
 
@@ -49,49 +50,114 @@ def coverage_gaps(periods: DataFrame, tolerance: int = GAP_TOLERANCE_DAYS) -> Da
     )
 
 
-def coverage_calendar(periods: DataFrame, accounts: DataFrame) -> DataFrame:
-    """A row per account and month of the whole range: covered, gap, or no_data
-    outside the account's own range."""
+def coverage_runs(periods: DataFrame) -> DataFrame:
+    """account_id, status, month_from, month_to: stretches of months that statements
+    cover, and the gaps between them, over each account's own range.
+
+    Months are never listed: statements are swept in order of their first month, a run
+    ends where the next statement begins more than a month beyond all before it, and
+    what lies between two runs is a gap. A statement of the year 201 is one more run. An
+    account whose periods all end before they begin is one row of nulls."""
     first, last = F.trunc("period_from", "month"), F.trunc("period_to", "month")
-    one_month = F.expr("INTERVAL '1' MONTH")
     known = periods.filter("account_id IS NOT NULL")
-    whole = known.agg(F.min(first).alias("a"), F.max(last).alias("b"))
-    spans = known.groupBy("account_id").agg(F.min(first).alias("own_first"), F.max(last).alias("own_last"))
-    months = F.sequence(whole.select("a").scalar(), whole.select("b").scalar(), one_month)
-    grid = spans.select("account_id", "own_first", "own_last", F.explode(months).alias("month"))
-    touched = (
-        known.filter("period_from <= period_to")
-        .select("account_id", F.explode(F.sequence(first, last, one_month)).alias("month"))
-        .distinct()
-        .withColumn("touched", F.lit(True))
-    )
-    names = accounts.select("account_id", "display_name")
-    status = (
-        F.when(F.col("touched"), "covered")
-        .when(F.col("month").between(F.col("own_first"), F.col("own_last")), "gap")
-        .otherwise("no_data")
+    # A period that ends before it begins covers nothing but widens the range.
+    reaches = known.groupBy("account_id", first.alias("month_from")).agg(
+        F.max(F.when(F.col("period_from") <= F.col("period_to"), last)).alias("month_to"), F.max(last).alias("named_to")
     )
-    return (
-        grid.join(touched, ["account_id", "month"], "left")
-        .join(names, "account_id", "left")
-        .select("account_id", F.coalesce("display_name", "account_id").alias("display_name"), "month", status.alias("status"))
+    split = bool(hot_keys(known.select("account_id"), ["account_id"]))
+    swept = scan(reaches, ["account_id"], ["month_from"], {"reach": max_before("month_to")}, split=split)
+    begins = F.col("month_to").isNotNull() & (F.col("reach").isNull() | (F.col("month_from") > F.add_months("reach", 1)))
+    told = scan(
+        swept.withColumn("begins", begins.cast("int")), ["account_id"], ["month_from"], {"run": running_sum("begins")}, split=split
+    )
+    runs = told.groupBy("account_id", "run").agg(
+        F.min(F.when(F.col("month_to").isNotNull(), F.col("month_from"))).alias("month_from"), F.max("month_to").alias("month_to"),
+        F.min("month_from").alias("own_first"), F.max("named_to").alias("own_last"),
+    )
+    # Runs of an account lie a month apart at least, so they are fewer than its months.
+    covered = F.expr("collect_list(struct(month_from, month_to)) FILTER (WHERE month_from IS NOT NULL)")
+    own = runs.groupBy("account_id").agg(
+        F.sort_array(covered).alias("covered"), F.min("own_first").alias("own_first"), F.max("own_last").alias("own_last")
+    )
+    ends = F.concat(F.array("own_first"), F.transform("covered", lambda r: F.add_months(r["month_to"], 1)))
+    starts = F.concat(F.transform("covered", lambda r: F.add_months(r["month_from"], -1)), F.array("own_last"))
+    between = F.filter(
+        F.zip_with(ends, starts, lambda a, b: F.struct(F.lit("gap").alias("status"), a.alias("month_from"), b.alias("month_to"))),
+        lambda g: g["month_from"] <= g["month_to"],
     )
+    known_runs = F.transform("covered", lambda r: F.struct(F.lit("covered").alias("status"), r["month_from"], r["month_to"]))
+    return own.select("account_id", F.inline_outer(F.concat(known_runs, between)))
+
+
+def _within(runs: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Runs clipped to the months from `first` to `last`, and what an account lacks there as no_data."""
+    first, last = (F.trunc(F.lit(d), "month") for d in (first, last))
+    each = runs.groupBy("account_id").agg(
+        F.coalesce(F.min("month_from"), F.add_months(last, 1)).alias("own_first"), F.coalesce(F.max("month_to"), last).alias("own_last"),
+        F.sort_array(F.expr("collect_list(struct(month_from, month_to, status)) FILTER (WHERE status IS NOT NULL)")).alias("runs"),
+    ).withColumns({"first": first, "last": last})
+    none = lambda a, b: F.array(F.struct(a.alias("month_from"), b.alias("month_to"), F.lit("no_data").alias("status")))
+    whole = F.concat(
+        none(F.col("first"), F.add_months("own_first", -1)), "runs", none(F.add_months("own_last", 1), F.col("last"))
+    )
+    clipped = F.transform(
+        whole,
+        lambda r: F.struct(
+            F.greatest(r["month_from"], F.col("first")).alias("month_from"), F.least(r["month_to"], F.col("last")).alias("month_to"),
+            r["status"].alias("status"),
+        ),
+    )
+    return each.select("account_id", F.filter(clipped, lambda r: r["month_from"] <= r["month_to"]).alias("runs"))
 
 
-def coverage_pivot(calendar: DataFrame, months: Sequence[dt.date] | None = None) -> DataFrame:
-    """Accounts down, months across. Naming the months saves a pass over the data.
+def _months(run: Column) -> Column:
+    return F.months_between(run["month_to"], run["month_from"]).cast("int") + 1
 
-    An account has one cell per month of the range, so its cells are gathered as
-    a map and spread out; a pivot of as many columns as months keeps a buffer of
-    all of them for every row it sees."""
-    if months is None:
-        months = sorted(row["month"] for row in calendar.select("month").distinct().collect())
-    cells = calendar.groupBy("account_id", "display_name").agg(
-        F.map_from_entries(F.collect_set(F.struct("month", "status"))).alias("cells")
+
+def _named(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+    return rows.join(accounts.select("account_id", "display_name"), "account_id", "left").withColumn(
+        "display_name", F.coalesce("display_name", "account_id")
+    )
+
+
+def coverage_calendar(
+    periods: DataFrame, accounts: DataFrame, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
+    """A row per account and month: covered, gap, or no_data outside the account's own
+    range. Months are those from `first` to `last`, or else the whole range of all
+    statements; runs are expanded to months here and nowhere before."""
+    runs = coverage_runs(periods)
+    if first is None or last is None:
+        runs = materialized(runs)
+        whole = runs.agg(F.min("month_from").alias("a"), F.max("month_to").alias("b")).first()
+        first, last = first or whole["a"] or dt.date(1970, 1, 1), last or whole["b"] or dt.date(1970, 1, 1)
+    months = F.flatten(
+        F.transform(
+            "runs",
+            lambda r: F.transform(
+                F.sequence(F.lit(0), _months(r) - 1),
+                lambda i: F.struct(F.add_months(r["month_from"], i).alias("month"), r["status"].alias("status")),
+            ),
+        )
     )
-    return cells.select(
-        "account_id", "display_name",
-        *[F.try_element_at("cells", F.lit(m)).alias(m.strftime("%b %Y")) for m in months],
+    return _named(_within(runs, first, last), accounts).select("account_id", "display_name", F.inline(months))
+
+
+def coverage_pivot(
+    periods: DataFrame, accounts: DataFrame, first: dt.date, last: dt.date
+) -> DataFrame:
+    """Accounts down, the months from `first` to `last` across.
+
+    The runs of an account tile the months asked for, so they are unrolled into one
+    array and every month is a place in it."""
+    months, at = [], first.replace(day=1)
+    while at <= last:
+        months.append(at)
+        at = (at.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+    cells = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["status"], _months(r))))
+    rows = _named(_within(coverage_runs(periods), first, last).select("account_id", cells.alias("cells")), accounts)
+    return rows.select(
+        "account_id", "display_name", *[F.get("cells", F.lit(i)).alias(m.strftime("%b %Y")) for i, m in enumerate(months)]
     )
 
 

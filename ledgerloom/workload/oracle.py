@@ -423,9 +423,14 @@ ORACLE["coverage_calendar"] = sql("SELECT * FROM cal")
 _MONTHS = [(y, m, n) for y in range(1995, 2002) for m, n in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(), 1)]
 ORACLE["coverage_pivot"] = sql(
     "SELECT account_id, display_name, "
-    + ", ".join(f"max(CASE WHEN month = DATE '{y}-{m:02d}-01' THEN status END) AS \"{n} {y}\"" for y, m, n in _MONTHS)
+    + ", ".join(f"coalesce(max(CASE WHEN month = DATE '{y}-{m:02d}-01' THEN status END), 'no_data') AS \"{n} {y}\"" for y, m, n in _MONTHS)
     + " FROM cal GROUP BY account_id, display_name"
 )
+# Months in a row with one status: the month less its number within the status stays the same.
+ORACLE["coverage_runs"] = sql("""
+SELECT account_id, status, min(month) AS month_from, max(month) AS month_to FROM (
+  SELECT *, date_diff('month', DATE '1970-01-01', month) - row_number() OVER (PARTITION BY account_id, status ORDER BY month) AS stretch
+  FROM cal WHERE status <> 'no_data') GROUP BY account_id, status, stretch""")
 PARTS["walk"] = """
 SELECT account_id, min(period_from) + 60 AS reach, 0 AS step FROM f12 GROUP BY account_id
 UNION ALL SELECT w.account_id, max(p.period_to), w.step + 1 FROM walk w JOIN f12 p ON p.account_id = w.account_id

@@ -376,7 +376,13 @@ def coverage_calendar(spark, folder):
 
 @query
 def coverage_pivot(spark, folder):
-    return C.coverage_pivot(C.coverage_calendar(W.order_periods(spark, folder), W.accounts(spark, folder)))
+    months = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
+    return C.coverage_pivot(W.order_periods(spark, folder), W.accounts(spark, folder), *months)
+
+
+@query
+def coverage_runs(spark, folder):
+    return C.coverage_runs(W.order_periods(spark, folder))
 
 
 @query

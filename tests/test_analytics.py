@@ -134,8 +134,55 @@ def test_calendar(spark):
     made = {(r.display_name, r.month.month): r.status for r in calendar.collect()}
     assert [made["Main", m] for m in (1, 2, 3, 4)] == ["covered", "gap", "gap", "covered"]
     assert [made["b", m] for m in (1, 2, 3, 4)] == ["no_data", "no_data", "covered", "no_data"]
-    wide = C.coverage_pivot(calendar).filter("account_id = 'a'").head()
-    assert (wide["Jan 2026"], wide["Feb 2026"]) == ("covered", "gap")
+    wide = C.coverage_pivot(rows, people, d(1, 1), d(5, 1))
+    assert wide.columns == ["account_id", "display_name", "Jan 2026", "Feb 2026", "Mar 2026", "Apr 2026", "May 2026"]
+    assert {tuple(r[1:]) for r in wide.collect()} == {
+        ("Main", "covered", "gap", "gap", "covered", "no_data"), ("b", "no_data", "no_data", "covered", "no_data", "no_data")
+    }
+
+
+def plain_calendar(spans, first, last):
+    """Status by account and month, looking at every statement for every month."""
+    months = [(y, m) for y in range(first[0], last[0] + 1) for m in range(1, 13) if first <= (y, m) <= last]
+    at = lambda day: (day.year, day.month)
+    found = {}
+    for account in {a for a, *_ in spans}:
+        own = [(f, t) for a, f, t in spans if a == account]
+        begin, end = min(at(f) for f, _ in own), max(at(t) for _, t in own)
+        for month in months:
+            covered = any(f <= t and at(f) <= month <= at(t) for f, t in own)
+            found[account, month] = "covered" if covered else "gap" if begin <= month <= end else "no_data"
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_equal_a_plain_calendar(spark, seed):
+    pick = random.Random(seed)
+    spans = []
+    for n in range(60):
+        start = dt.date(2024, 1, 1) + dt.timedelta(days=pick.randrange(900))
+        spans.append((f"acc{n % 7}", start, start + dt.timedelta(days=pick.randrange(-40, 120))))
+    spans += [("back", d(5, 1), d(2, 1)), ("old", dt.date(201, 2, 3), dt.date(201, 2, 4)), ("old", d(3, 1), d(3, 2))]
+    rows = spark.createDataFrame(spans, "account_id string, period_from date, period_to date")
+    people = spark.createDataFrame([], ACCOUNTS)
+    window = dt.date(2024, 3, 1), dt.date(2026, 6, 1)
+    told = plain_calendar(spans, (2024, 3), (2026, 6))
+    calendar = C.coverage_calendar(rows, people, *window)
+    assert {(r.account_id, (r.month.year, r.month.month)): r.status for r in calendar.collect()} == told
+    wide = C.coverage_pivot(rows, people, *window).collect()
+    assert {(r[0], at): s for r in wide for at, s in zip(sorted({m for _, m in told}), r[2:], strict=True)} == told
+    # Runs tile the range of their account, and an old statement is one run and one gap more.
+    assert C.coverage_runs(rows).filter("account_id = 'old'").count() == 3
+    whole = C.coverage_calendar(rows.filter("account_id != 'old'"), people)
+    assert whole.select("month").distinct().count() * whole.select("account_id").distinct().count() == whole.count()
+
+
+def test_runs_of_a_hot_account_are_the_same(splitting):
+    pick = random.Random(9)
+    spans = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=n), dt.date(2024, 1, 1) + dt.timedelta(days=n + pick.randrange(70))) for n in range(0, 3000, 61)]
+    rows = splitting.createDataFrame(spans, "account_id string, period_from date, period_to date")
+    found = {(r.account_id, (r.month.year, r.month.month)): r.status for r in C.coverage_calendar(rows, splitting.createDataFrame([], ACCOUNTS)).collect()}
+    assert found == plain_calendar(spans, min(k[1] for k in found), max(k[1] for k in found))
 
 
 def test_continuity(spark):
