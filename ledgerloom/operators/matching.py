@@ -26,10 +26,11 @@ is the same as "the smallest period start among the later statements is not
 after my period end". Sorted by period end downwards, that is a running minimum,
 and every unbroken stretch has one survivor: its first row.
 
-Tier 3 works on counts per (statement, fingerprint). After tier 2 at most
-sqrt(2 * rows) statements can still hold survivors of one fingerprint around one
-date, so joining neighbouring dates stays linear in the rows. Neither tier
-gathers a group in one place.
+Tier 3 finds pairs of statements that hold survivors a few days apart: after tier 2 at
+most sqrt(2 * rows) statements can still hold survivors of one fingerprint around one
+date, so joining neighbouring dates stays linear in the rows. What such a pair has left
+over in the window it shares is told from running counts at the two ends of the window,
+so that no row is ever joined to a pair. Neither tier gathers a group in one place.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import keys as K
-from ledgerloom.operators.ordered import desc, hot_keys, last_known, min_before, part, previous, row_number, scan
+from ledgerloom.operators.ordered import desc, hot_keys, last_known, min_before, part, previous, row_number, running_sum, scan
 from ledgerloom.registries import DRIFT_TOLERANCE_DAYS, MATCH_POLICIES, MatchPolicy
 from ledgerloom.session import materialized
 
@@ -127,41 +128,16 @@ def mark_duplicates(transactions: DataFrame, tolerance: int = DRIFT_TOLERANCE_DA
     )
 
 
-def find_overlapping_ingestions(transactions: DataFrame) -> DataFrame:
-    """Pairs of ingestions of one (account, source) whose periods overlap, with
-    the shared window. A report; the tiers above never list pairs."""
-    periods = (
-        transactions.filter("statement_period_from IS NOT NULL AND statement_period_to IS NOT NULL")
-        .groupBy("account_id", "source_type", "ingestion_id")
-        .agg(F.min("statement_period_from").alias("period_from"), F.min("statement_period_to").alias("period_to"))
-    )
-    # Overlapping periods share a month, so pairs meet on an equi-key.
-    by_month = periods.filter("period_from <= period_to").withColumn(
-        "month", F.explode(F.sequence(F.trunc("period_from", "month"), F.trunc("period_to", "month"), F.expr("INTERVAL '1' MONTH")))
-    )
-    a, b = by_month.alias("a"), by_month.alias("b")
-    lo = F.greatest("a.period_from", "b.period_from")
-    hi = F.least("a.period_to", "b.period_to")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("account_id", "source_type", "month")]
-    joined = a.join(b, [*same, F.col("a.ingestion_id") < F.col("b.ingestion_id"), lo <= hi])
-    # Each pair is kept in the month its shared window starts in.
-    return joined.filter(F.trunc(lo, "month") == F.col("a.month")).select(
-        F.col("a.account_id"), F.col("a.source_type"),
-        F.col("a.ingestion_id").alias("ingestion_a"), F.col("b.ingestion_id").alias("ingestion_b"),
-        lo.alias("window_from"), hi.alias("window_to"),
-    )
-
-
 def drift_edges(marked: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS) -> DataFrame:
     """Tier 3: (absorbed, survivor) ids of date-shifted duplicates."""
     place = ["source_type", "account_id", "_loose"]
     period = ["statement_period_from", "statement_period_to"]
     rows = marked.filter("_eligible").select(
-        *place, "_fingerprint", "_ts", "ingestion_id", *period, "_rank", ID, F.col("_survivor").isNotNull().alias("gone")
+        *place, "_fingerprint", "_ts", "ingestion_id", *period, "_rank", ID, "_survivor"
     )
     # Only survivors with another survivor close by can take part: few, as a rule.
     order = ["_ts", "_fingerprint", "ingestion_id", "_rank"]
-    alive = rows.filter("NOT gone")
+    alive = rows.filter("_survivor IS NULL").drop("_survivor", ID)
     looked = scan(alive, place, order, {"_before": previous("_ts")}, sized_by=rows)
     looked = scan(looked, place, [desc(o) for o in order], {"_after": previous("_ts")}, sized_by=rows)
     beside = (F.col("_before") >= F.col("_ts") - _days(tolerance)) | (F.col("_after") <= F.col("_ts") + _days(tolerance))
@@ -196,48 +172,84 @@ def drift_edges(marked: DataFrame, tolerance: int = DRIFT_TOLERANCE_DAYS) -> Dat
         )
         .distinct()
     )
-    # Leftovers of both sides inside the shared window, per pair: copies beyond
-    # what the other side holds and beyond what later statements took.
-    sides = pairs.withColumn("side", F.explode(F.array(F.lit("low"), F.lit("high")))).withColumn(
-        "ingestion_id", F.when(F.col("side") == "low", F.col("low")).otherwise(F.col("high"))
+    pairs = materialized(pairs)
+    statements = pairs.select(*place, F.explode(F.array("low", "high")).alias("ingestion_id")).distinct()
+    near = materialized(
+        rows.join(statements, [*place, "ingestion_id"], "left_semi").select(*place, "ingestion_id", "_ts", ID, "_survivor")
     )
-    held = (
-        rows.join(sides, [*place, "ingestion_id"])
-        .filter(
-            F.col("_ts").between(
-                F.col("lo").cast("timestamp_ntz") - _days(tolerance), F.col("hi").cast("timestamp_ntz") + _days(tolerance)
-            )
+    clear = _leftovers(near, pairs, place, tolerance).filter("low_left = 1 AND high_left = 1")
+    # The one leftover of a side is what its hashes sum up to.
+    standing = near.filter("_survivor IS NULL").withColumn("code", F.xxhash64(ID))
+    for side, name in (("low", "absorbed"), ("high", "survivor")):
+        of_side = standing.select(
+            *place, F.col("ingestion_id").alias(side), F.col("code").alias(f"{side}_code"), F.col(ID).alias(name),
+            F.col("_ts").alias(f"{side}_ts"),
         )
-        .groupBy(*place, "low", "high", "high_to", "side", "_fingerprint", "_ts")
-        .agg(F.count("*").alias("n"), F.sum(F.col("gone").cast("long")).alias("gone"), F.max_by(ID, "_rank").alias("last_id"))
+        clear = clear.join(of_side, [*place, side, f"{side}_code"])
+    shifted = clear.filter(F.col("low_ts").between(F.col("high_ts") - _days(tolerance), F.col("high_ts") + _days(tolerance)))
+    return shifted.groupBy("absorbed").agg(F.max_by("survivor", F.struct("high_to", "high")).alias("survivor"))
+
+
+def _leftovers(near: DataFrame, pairs: DataFrame, place: list[str], tolerance: int) -> DataFrame:
+    """Per pair of statements, how many rows of each the other does not hold within the
+    window they share, and the hashes of these rows summed up.
+
+    Rows of a pair are never looked at. After tier 2 the k-th copy of the earlier
+    statement is gone wherever the later one has a k-th copy, so what the earlier one has
+    left is what survives of it, and what the later one has left is what survives of it
+    less the copies that stand for rows of the earlier. Both are counts by (statement,
+    moment) and by (statement, statement of the survivor, moment): running sums, of which
+    a pair takes differences at the ends of its window."""
+    mask = F.lit((1 << 32) - 1)
+    halves = lambda c: (F.shiftrightunsigned(F.xxhash64(c), 32).alias("upper"), F.xxhash64(c).bitwiseAND(mask).alias("lower"))
+    own = near.filter("_survivor IS NULL").select(
+        *place, F.col("ingestion_id").alias("of"), F.lit(None).cast("string").alias("for"), "_ts", *halves(ID)
     )
-    pair = [*place, "low", "high", "high_to"]
-
-    def of(side: str, column: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(column)))
-
-    per_content = held.groupBy(*pair, "_fingerprint", "_ts").agg(
-        *[of(s, c).alias(f"{s}_{c}") for s in ("low", "high") for c in ("n", "gone", "last_id")]
+    heads = near.filter("_survivor IS NULL").select(F.col(ID).alias("_survivor"), F.col("ingestion_id").alias("for"))
+    taken = near.filter("_survivor IS NOT NULL").join(heads, "_survivor").select(
+        *place, F.col("ingestion_id").alias("of"), "for", "_ts", *halves("_survivor")
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    counts = (
+        own.unionByName(taken).groupBy(*place, "of", "for", "_ts")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("upper").alias("upper"), F.sum("lower").alias("lower"))
+        .withColumns({"rank": F.lit(1), "side": none("string"), "sign": none("int")})
+    )
+    pair = ["low", "high", "high_to", "lo", "hi"]
+    begin = F.col("lo").cast("timestamp_ntz") - _days(tolerance)
+    end = F.col("hi").cast("timestamp_ntz") + _days(tolerance)
+
+    def ends(side: str, of: str, held_for: Column, sign: int) -> list[Column]:
+        named = [F.lit(side).alias("side"), F.col(of).alias("of"), held_for.alias("for")]
+        return [
+            F.struct(*named, begin.alias("_ts"), F.lit(0).alias("rank"), F.lit(-sign).alias("sign")),
+            F.struct(*named, end.alias("_ts"), F.lit(2).alias("rank"), F.lit(sign).alias("sign")),
+        ]
+
+    nobody = none("string")
+    asked = F.array(*ends("low", "low", nobody, 1), *ends("high", "high", nobody, 1), *ends("high", "low", F.col("high"), -1))
+    zero = F.lit(0).cast("long")
+    points = pairs.select(*place, *pair, F.inline(asked)).withColumns({"n": zero, "upper": zero, "lower": zero})
+    split = bool(hot_keys(near, [*place, "ingestion_id"]))
+    summed = scan(
+        counts.unionByName(points, allowMissingColumns=True), [*place, "of", "for"], ["_ts", "rank", "side", "low", "high", "lo", "hi"],
+        {f"{c}_so_far": running_sum(c) for c in ("n", "upper", "lower")}, split=split,
     )
 
-    def leftover(side: str, other: str) -> Column:
-        taken = F.greatest(F.coalesce(f"{side}_gone", F.lit(0)), F.coalesce(f"{other}_n", F.lit(0)))
-        return F.greatest(F.coalesce(f"{side}_n", F.lit(0)) - taken, F.lit(0))
-
-    left = per_content.withColumns({"low_left": leftover("low", "high"), "high_left": leftover("high", "low")})
-
-    def sole(side: str, column: str) -> Column:
-        return F.max(F.when(F.col(f"{side}_left") > 0, F.col(column)))
+    def total(side: str, column: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, F.col("sign") * F.col(f"{column}_so_far")))
 
-    per_pair = left.groupBy(*pair).agg(
-        F.sum("low_left").alias("low_left"), F.sum("high_left").alias("high_left"),
-        sole("low", "low_last_id").alias("absorbed"), sole("high", "high_last_id").alias("survivor"),
-        sole("low", "_ts").alias("low_ts"), sole("high", "_ts").alias("high_ts"),
-    )
-    clear = per_pair.filter("low_left = 1 AND high_left = 1").filter(
-        F.col("low_ts").between(F.col("high_ts") - _days(tolerance), F.col("high_ts") + _days(tolerance))
+    return (
+        summed.filter("rank <> 1").groupBy(*place, *pair)
+        .agg(*[total(s, c).alias(f"{s}_{c}") for s in ("low", "high") for c in ("n", "upper", "lower")])
+        .select(
+            *place, "low", "high", "high_to", F.col("low_n").alias("low_left"), F.col("high_n").alias("high_left"),
+            *[
+                F.when(F.col(f"{s}_n") == 1, F.shiftleft(f"{s}_upper", 32).bitwiseOR(F.col(f"{s}_lower"))).alias(f"{s}_code")
+                for s in ("low", "high")
+            ],
+        )
     )
-    return clear.groupBy("absorbed").agg(F.max_by("survivor", F.struct("high_to", "high")).alias("survivor"))
 
 
 def _cross_keys() -> list[str]:

@@ -352,6 +352,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY account_id, description ORDER BY
 ORACLE["overlap_pairs"] = sql("""
 SELECT account_id, source_type, least(low, high) AS ingestion_a, greatest(low, high) AS ingestion_b, lo AS window_from, hi AS window_to
 FROM m2_pairs""")
+PARTS["bounds"] = """
+SELECT *, row_number() OVER w AS stretch, lead(day) OVER w AS next_day FROM (
+  SELECT account_id, source_type, period_from AS day FROM m2_ing UNION SELECT account_id, source_type, period_to + 1 FROM m2_ing)
+WINDOW w AS (PARTITION BY account_id, source_type ORDER BY day)"""
+ORACLE["overlap_stretches"] = sql("""
+SELECT b.account_id, b.source_type, stretch, day AS stretch_from, next_day - 1 AS stretch_to, count(*) AS members
+FROM bounds b JOIN m2_ing i ON i.account_id = b.account_id AND i.source_type = b.source_type AND day BETWEEN i.period_from AND i.period_to
+GROUP BY ALL HAVING count(*) > 1""")
+ORACLE["overlap_members"] = sql("""
+SELECT i.account_id, i.source_type, ingestion_id, period_from, period_to, min(stretch) AS first_stretch, max(stretch) AS last_stretch
+FROM m2_ing i JOIN bounds b ON i.account_id = b.account_id AND i.source_type = b.source_type AND day BETWEEN i.period_from AND i.period_to
+GROUP BY ALL""")
 ORACLE["overlap_dedupe"] = sql("SELECT sid AS silver_transaction_id, bronze_record_id, ingestion_id, amount_minor FROM m2_left")
 ORACLE["date_drift_dedupe"] = sql("SELECT absorbed, survivor FROM m2_drift")
 ORACLE["cross_source_dedupe"] = sql("SELECT absorbed, survivor FROM m3_cross")

@@ -18,6 +18,7 @@ from ledgerloom.operators import derived as V
 from ledgerloom.operators import eligibility as E
 from ledgerloom.operators import matching as X
 from ledgerloom.operators import normalize as N
+from ledgerloom.operators import overlaps as O
 from ledgerloom.operators import reconcile as R
 from ledgerloom.operators import running as U
 from ledgerloom.operators import spending as S
@@ -220,7 +221,17 @@ def dup_suffix(spark, folder):
 
 @query
 def overlap_pairs(spark, folder):
-    return X.find_overlapping_ingestions(W.transactions(spark, folder))
+    return O.find_overlapping_ingestions(W.transactions(spark, folder))
+
+
+@query
+def overlap_stretches(spark, folder):
+    return O.overlap_stretches(W.transactions(spark, folder))
+
+
+@query
+def overlap_members(spark, folder):
+    return O.overlap_members(W.transactions(spark, folder))
 
 
 def _marked(rows: DataFrame) -> DataFrame:
