@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions import keys as K
 from ledgerloom.functions.money import try_parse_money
+from ledgerloom.session import materialized
+from ledgerloom.sources.csv_records import cells, csv_records
 
 # The two header rows.
 FULL_HEADER = (
@@ -28,45 +30,32 @@ def header_confidence(header: Column) -> Column:
     return F.greatest(*scores)
 
 
-def _widest(spark: SparkSession, folder: str, glob: str) -> int:
-    """No header has more names than this; cells beyond the names are not read."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
-    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    return max(COMPARED, (lines.agg(F.max(commas)).first()[0] or 0) + 1)
-
-
-def _raw_lines(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """Rows as arrays, with their file and a number that rises within it. A
-    quoted field may hold line breaks, so a file is read by one task."""
-    columns = [f"c{i}" for i in range(_widest(spark, folder, glob))]
-    read = (
-        spark.read.schema(", ".join(f"{c} string" for c in columns))
-        .option("header", "false").option("multiLine", "true").option("escape", '"').option("quote", '"')
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("mode", "PERMISSIVE")
-        .csv(folder)
-    )
-    return read.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("upload_timestamp"),
-        F.monotonically_increasing_id().alias("place"),
-        F.array(*columns).alias("cells"),
+def _headers(records: DataFrame) -> DataFrame:
+    """path and names of the files whose first record is a header that is known."""
+    firsts = materialized(records.filter("number = 1").select("path", "text"))
+    # No header has more names than commas and one; there is one header a file.
+    commas = F.length("text") - F.length(F.replace("text", F.lit(","), F.lit("")))
+    widest = max(COMPARED, (firsts.agg(F.max(commas)).first()[0] or 0) + 1)
+    names = F.transform(
+        F.filter(cells(F.col("text"), widest), lambda h: h.isNotNull()), lambda h: F.trim(F.regexp_replace(h, "\ufeff", ""))
     )
+    named = firsts.select("path", names.alias("names"))
+    return named.filter(header_confidence(F.col("names")) >= LEAST_CONFIDENCE)
 
 
 def read_exports(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
     """Bronze rows of every recognised export below a folder. Blank rows are
-    skipped but counted; the header is line 1."""
-    by_file = Window.partitionBy("path")
-    lines = _raw_lines(spark, folder, glob)
-    first = F.min("place").over(by_file)
-    header = F.min_by("cells", "place").over(by_file)
-    names = F.transform(F.filter(header, lambda h: h.isNotNull()), lambda h: F.trim(F.regexp_replace(h, "﻿", "")))
-    rows = lines.withColumns({"line_number": (F.col("place") - first + 1).cast("int"), "names": names}).filter(
-        (F.col("line_number") > 1) & (header_confidence(F.col("names")) >= LEAST_CONFIDENCE)
+    skipped but counted; the header is line 1. A large file is read by many tasks."""
+    records = materialized(csv_records(spark, folder, glob))
+    headers = materialized(_headers(records))
+    widest = headers.agg(F.max(F.size("names"))).first()[0] or COMPARED
+    rows = records.filter("number > 1").join(headers, "path").select(
+        "path", "upload_timestamp", F.col("number").cast("int").alias("line_number"), "names",
+        cells(F.col("text"), widest).alias("cells"),
     )
     rows = rows.filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
-    cells = F.transform(F.slice("cells", F.lit(1), F.size("names")), lambda c: F.coalesce(c, F.lit("")))
-    rows = rows.withColumn("raw_data", F.map_from_arrays("names", cells))
+    filled = F.transform(F.slice("cells", F.lit(1), F.size("names")), lambda c: F.coalesce(c, F.lit("")))
+    rows = rows.withColumn("raw_data", F.map_from_arrays("names", filled))
 
     digests = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
