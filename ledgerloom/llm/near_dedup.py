@@ -47,9 +47,9 @@ BANDS, ROWS = 24, 4
 REGISTERS = 256  # the first BANDS x ROWS are banded, all are kept in the sketch
 DEVIATIONS = 4.8  # how far below what is expected registers may agree; 1e-6 go further
 LEADERS = 3
-PART_BYTES = 2 << 20  # of texts that are drawn together
+PART_BYTES = 1 << 20  # of texts that are drawn together
 _PART = np.uint64(48)
-_DOCS = 50_000  # documents drawn together at most
+_DOCS = 4096  # documents drawn together at most, with REGISTERS x 8 bytes each
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

@@ -36,29 +36,30 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(tokenizer: str, length: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer, added), np.array([END], "<u4").tobytes()
-        for batch in batches:
-            names = batch.column(0)
-            for first, last, ids, bounds in coder.batches(batch.column(1)):
-                wide = ids.astype("<u4")
-                bounds = bounds - bounds[0]
-                sizes = np.diff(bounds) + 1
-                n = -(-sizes // length)
-                which = np.repeat(np.arange(last - first), n)
-                piece = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                start = piece * length
-                size = np.minimum(sizes[which] - start, length)
-                crcs = []
-                for at, cut, tail in zip((bounds[which] + start).tolist(), size.tolist(), (start + size == sizes[which]).tolist(), strict=True):
-                    crc = crc32_of_ids(wide, at, at + cut - tail)
-                    crcs.append(zlib.crc32(end, crc) if tail else crc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        names.slice(first, last - first).take(pa.array(which)), pa.array(piece, pa.int32()),
-                        pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crcs, pa.int64()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        end = np.array([END], "<u4").tobytes()
+        with encoder(tokenizer, added) as coder:
+            for batch in batches:
+                names = batch.column(0)
+                for first, last, ids, bounds in coder.batches(batch.column(1)):
+                    wide = ids.astype("<u4")
+                    bounds = bounds - bounds[0]
+                    sizes = np.diff(bounds) + 1
+                    n = -(-sizes // length)
+                    which = np.repeat(np.arange(last - first), n)
+                    piece = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                    start = piece * length
+                    size = np.minimum(sizes[which] - start, length)
+                    crcs = []
+                    for at, cut, tail in zip((bounds[which] + start).tolist(), size.tolist(), (start + size == sizes[which]).tolist(), strict=True):
+                        crc = crc32_of_ids(wide, at, at + cut - tail)
+                        crcs.append(zlib.crc32(end, crc) if tail else crc)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            names.slice(first, last - first).take(pa.array(which)), pa.array(piece, pa.int32()),
+                            pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crcs, pa.int64()),
+                        ],
+                        ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    )
 
     return run
 

@@ -26,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
-CACHE_WORDS = 1_000_000  # of a Python worker; emptied when full, which changes no result
+CHUNK_BYTES = 1 << 20
+CACHE_BYTES = 48 << 20  # that words and ids of a Python worker may take; emptied when full, which changes no result
+_PER_WORD = 240  # bytes of the objects that hold a word, its ids and its hash, besides their contents
 _WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+\\z"  # RE2
 _SPACE, _LETTER, _OTHER, _HIGH = 0, 1, 2, 3
 
@@ -74,21 +75,23 @@ def pieces(data: np.ndarray, offsets: np.ndarray, uncut: Sequence[tuple[int, int
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        _POWERS[base] = np.cumprod(steps)
-    return _POWERS[base]
+    """Made anew for each chunk, so that nothing stays with the worker."""
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, out=steps)
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each stretch, equal wherever the bytes are equal."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * _powers(_BASE, len(data))[: len(data)], out=sums[1:])
+    if len(data):
+        powers = _powers(_BASE, len(data))
+        powers *= data + np.uint64(1)
+        np.cumsum(powers, out=sums[1:])
+        del powers
     found = (sums[ends] - sums[starts]) * _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)[starts]
     found ^= found >> np.uint64(32)
     found *= np.uint64(0xD6E8FEB86659FD93)
@@ -96,7 +99,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file, as 16-bit little-endian streams."""
+    """Ids of texts by one tokenizer file, as 16-bit little-endian streams.
+
+    Words seen are kept while it is entered, up to `CACHE_BYTES`; a worker that has left
+    a partition keeps none."""
 
     def __init__(self, path: str, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -135,10 +141,18 @@ class Encoder:
                 at = hit.start() + 1
         return found
 
+    def __enter__(self) -> Encoder:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.forget()
+        pa.default_memory_pool().release_unused()
+
     def forget(self) -> None:
         self.place: dict[int, int] = {}
         self.words: list[bytes] = []
         self.coded: list[bytes] = []
+        self.held = 0
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         listed = pa.array(words, pa.binary())
@@ -162,7 +176,7 @@ class Encoder:
     def _slots(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """The place in the table of every piece."""
         which, distinct = pd.factorize(hashes(data, cuts[:-1], cuts[1:]))
-        if len(self.words) + len(distinct) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.forget()
         found = [self.place.get(h, -1) for h in distinct.tolist()]
         slots = np.array(found, np.int64)
@@ -174,8 +188,10 @@ class Encoder:
             words = [text[b:e] for b, e in zip(cuts[at[new]].tolist(), cuts[at[new] + 1].tolist(), strict=True)]
             slots[new] = np.arange(len(self.words), len(self.words) + len(new))
             self.place.update(zip(distinct[new].tolist(), slots[new].tolist(), strict=True))
+            coded = self._encoded(words)
             self.words += words
-            self.coded += self._encoded(words)
+            self.coded += coded
+            self.held += sum(map(len, words)) + sum(map(len, coded)) + _PER_WORD * len(words)
         return slots[which]
 
     def _looked_up(self, data: np.ndarray, cuts: np.ndarray) -> pa.Array:

@@ -168,7 +168,7 @@ def _blocks(tokenizer: str, block: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, coder, number = TaskContext.get().partitionId(), encoder(tokenizer, added), 0
+        shard, number = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         docs: list = []
         ends: list[np.ndarray] = []
@@ -184,23 +184,24 @@ def _blocks(tokenizer: str, block: int, added: bool):
             names = ["shard", "block", "n_tokens", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for first, last, ids, bounds in coder.batches(batch.column(1)):
-                ids, stops = _with_ends(ids, bounds, END)
-                begin = 0
-                while begin < last - first:
-                    # Documents up to the one that fills the block.
-                    base = int(stops[begin - 1]) if begin else 0
-                    to = min(int(np.searchsorted(stops, base + block - size)) + 1, last - first)
-                    held.append(ids[base : int(stops[to - 1])])
-                    ends.append(stops[begin:to] - base + size)
-                    docs += names[first + begin : first + to]
-                    size += int(stops[to - 1]) - base
-                    begin = to
-                    if size >= block:
-                        yield written()
-                        number, size, held, docs, ends = number + 1, 0, [], [], []
+        with encoder(tokenizer, added) as coder:
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                for first, last, ids, bounds in coder.batches(batch.column(1)):
+                    ids, stops = _with_ends(ids, bounds, END)
+                    begin = 0
+                    while begin < last - first:
+                        # Documents up to the one that fills the block.
+                        base = int(stops[begin - 1]) if begin else 0
+                        to = min(int(np.searchsorted(stops, base + block - size)) + 1, last - first)
+                        held.append(ids[base : int(stops[to - 1])])
+                        ends.append(stops[begin:to] - base + size)
+                        docs += names[first + begin : first + to]
+                        size += int(stops[to - 1]) - base
+                        begin = to
+                        if size >= block:
+                            yield written()
+                            number, size, held, docs, ends = number + 1, 0, [], [], []
         if docs:
             yield written()
 

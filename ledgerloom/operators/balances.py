@@ -133,20 +133,55 @@ def net_worth(
     return _worth(_parts(current_balances(ledger, as_of), latest_holdings(holdings, as_of), accounts), check_currency)
 
 
+def balance_states(ledger: DataFrame) -> DataFrame:
+    """What each account and day adds to an as-of balance: its latest row that no check
+    disproved, and what makes that row late. States of several days merge by `max_by`,
+    so a balance of any date is one aggregate over the states up to it."""
+    rows = ledger.select(
+        "account_id", "as_of_date", recency().alias("when"), not_disproven().alias("fine"),
+        F.struct("balance_minor", "currency", F.greatest("as_of_date", "statement_period_to").alias("dated")).alias("row"),
+    ).filter("fine")
+    return rows.groupBy("account_id", "as_of_date").agg(F.max_by("row", "when").alias("row"), F.max("when").alias("when"))
+
+
 def net_worth_change(ledger: DataFrame, holdings: DataFrame, accounts: DataFrame) -> DataFrame:
     """Net worth now and its change since a month before the newest balance.
 
-    Balances of now, one row per account, and the holdings are kept: balances give
-    both the figure and the date to compare with, and holdings are read for both
-    dates. The date is a scalar subquery and does not pass the driver."""
-    balances = materialized(current_balances(ledger))
+    The ledger is read once, into states by account and day; from these both dates come
+    out of one aggregate, and so do both snapshots out of the holdings. The date to
+    compare with is a scalar subquery over the states and does not pass the driver."""
+    states = materialized(balance_states(ledger))
     held = materialized(holdings.groupBy("account_id", "as_of_date", "currency").agg(F.sum("total_value_minor").alias("total_value_minor")))
-    newest = balances.agg(F.max("as_of_date").alias("d"))
-    month_before = newest.select(F.add_months("d", -1)).scalar()
-    now = _worth(_parts(balances, latest_holdings(held), accounts))
-    then = net_worth(ledger, held, accounts, month_before)
-    change = F.when(newest.scalar().isNotNull(), F.col("net_worth_minor") - then.scalar())
-    return now.select("net_worth_minor", change.alias("delta_minor"))
+    newest = states.groupBy("account_id").agg(F.max_by("row", "when").alias("row")).agg(F.max("row.dated").alias("d"))
+    month_before = F.add_months(newest.scalar(), -1)
+
+    balances = (
+        states.withColumn("before", F.col("as_of_date") <= month_before).groupBy("account_id")
+        .agg(F.max_by("row", "when").alias("now"), F.expr("max_by(row, when) FILTER (WHERE before)").alias("then"))
+        .join(accounts.select("account_id", "account_type"), "account_id", "left")
+    )
+    sign = F.when(F.col("account_type") == "credit", F.lit(-1)).otherwise(F.lit(1))
+    from_ledger = [
+        balances.filter(F.col(at).isNotNull()).select(F.lit(at).alias("at"), (sign * F.col(f"{at}.balance_minor")).alias("v"), f"{at}.currency")
+        for at in ("now", "then")
+    ]
+    limited = held.withColumn("before", F.col("as_of_date") <= month_before)
+    dates = limited.groupBy("account_id").agg(F.max("as_of_date").alias("now"), F.expr("max(as_of_date) FILTER (WHERE before)").alias("then"))
+    met = held.join(dates, "account_id").filter("as_of_date = now OR as_of_date = then")
+    at = F.filter(F.array(F.when(F.col("as_of_date") == F.col("now"), F.lit("now")), F.when(F.col("as_of_date") == F.col("then"), F.lit("then"))), lambda x: x.isNotNull())
+    from_holdings = met.select(F.explode(at).alias("at"), F.col("total_value_minor").alias("v"), "currency")
+
+    parts = from_ledger[0].unionByName(from_ledger[1]).unionByName(from_holdings)
+    whole = parts.groupBy().agg(
+        *[
+            F.expr(f"{f}({c}) FILTER (WHERE at = '{a}')").alias(f"{a}_{f}")
+            for a in ("now", "then") for f, c in (("sum", "v"), ("min", "currency"), ("max", "currency"))
+        ]
+    )
+    now, then = (
+        one_currency(F.col(f"{a}_min"), F.col(f"{a}_max"), F.coalesce(F.col(f"{a}_sum"), F.lit(0).cast("long"))) for a in ("now", "then")
+    )
+    return whole.select(now.alias("net_worth_minor"), F.when(month_before.isNotNull(), now - then).alias("delta_minor"))
 
 
 def net_worth_breakdown(
