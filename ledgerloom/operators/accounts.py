@@ -38,14 +38,20 @@ def _lookup(registry: DataFrame, kind: str, key: str, value: str) -> DataFrame:
 
 
 def resolve_accounts(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """Add account_id: by identifier, else by source type, else null."""
+    """Add account_id: by identifier, else by source type, else null.
+
+    What sources fall back to has one entry per source type, of which there are as many
+    as layouts, and is one map in the plan; rows move for their identifier alone, and
+    only where the registry is measured to be large."""
     by_identifier = _lookup(registry, IDENTIFIER, "account_identifier", "_by_identifier")
-    by_source = _lookup(registry, FALLBACK, "source_type", "_by_source")
+    fallback = (
+        registry.filter((F.col("kind") == FALLBACK) & F.col("key").isNotNull())
+        .agg(F.map_from_entries(F.collect_set(F.struct("key", "account_id")))).scalar()
+    )
     return (
         rows.join(by_identifier, "account_identifier", "left")
-        .join(by_source, "source_type", "left")
-        .withColumn("account_id", F.coalesce("_by_identifier", "_by_source"))
-        .drop("_by_identifier", "_by_source")
+        .withColumn("account_id", F.coalesce("_by_identifier", F.try_element_at(fallback, F.col("source_type"))))
+        .drop("_by_identifier")
     )
 
 

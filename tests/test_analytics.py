@@ -258,6 +258,11 @@ def test_account_fallbacks_differ(spark):
         "source_type string, account_identifier string, ingestion_id string, line_number int, raw_data map<string,string>",
     )
     assert [r.account_id for r in A.resolve_accounts(bronze, registry).orderBy("line_number").collect()] == ["one", "two", "two", None]
+    # Even where nothing may be broadcast, rows move once, for their identifier.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = A.resolve_accounts(bronze, registry)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(account_identifier" in plan and "hashpartitioning(source_type" not in plan
     found = A.unmapped_accounts(bronze, registry).orderBy("source_type").collect()
     assert [(r.source_type, r.account_identifier, r.sample_description, r.record_count) for r in found] == [
         ("csv", "other", '{"description":""}', 1), ("pdf", None, "n", 1)]
