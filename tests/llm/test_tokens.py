@@ -167,3 +167,16 @@ def test_queries_read_added_tokens(documents, spark, tmp_path):
         whole = _untouched(name)
         want = {i: zlib.crc32(np.array(whole(t) + [end], "<u4").tobytes()) for i, t in enumerate(SPECIAL)}
         assert {r["doc_id"]: r["ids_crc32"] for r in LLM_QUERIES[query](spark, str(tmp_path)).collect()} == want
+
+
+def test_a_worker_keeps_little_and_nothing_after_a_partition(monkeypatch):
+    texts = pa.array([" ".join(f"{chr(97 + i % 26)}word{i * 7919 + j}x" for i in range(4000)) for j in range(40)])
+    whole = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    plain = [ids.tobytes() for *_, ids, _ in whole.batches(texts)]
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1 << 20)
+    with tokens.Encoder(public.path("byte_bpe_50k.json")) as coder:
+        for (*_, ids, _), told in zip(coder.batches(texts), plain, strict=True):
+            # What one chunk adds comes on top of the bound.
+            assert coder.held < (1 << 20) + 2 * tokens.CHUNK_BYTES * 60 and ids.tobytes() == told
+    assert not coder.words and not coder.place and coder.held == 0
+    assert tokens.CACHE_BYTES + 2 * tokens.CHUNK_BYTES <= 64 << 20
