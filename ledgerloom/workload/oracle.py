@@ -576,7 +576,32 @@ ORACLE["parse_monzo_flex"] = sql(_printed(
     "strftime(d, '%d/%m/%Y')", check="'monzo_flex_balance_at_end'", opening="500", closing="total", derived="first_run"))
 
 ORACLE["statement_detection"] = sql("""
-SELECT layout, 'matched' AS detection, count(*) AS texts FROM st, (VALUES ('chase'), ('amex'), ('monzo-flex')) v(layout) GROUP BY layout""")
+SELECT layout AS printed_as, layout, 'matched' AS detection, count(*) AS texts FROM st, (VALUES ('kroo'), ('natwest-transactions'),
+  ('natwest-statement'), ('firstdirect'), ('amex'), ('vanguard-pdf'), ('monzo-pdf'), ('chase'), ('monzo-flex')) v(layout) GROUP BY layout
+UNION ALL SELECT 'page', NULL, 'unrecognised', count(*) FROM pages""")
+PARTS["verdict"] = """
+SELECT user_id || '-W' || wk AS ingestion_id, user_id, 'closing_balance' AS name, opening_minor, closing_minor, derived_minor FROM f5"""
+ORACLE["file_verdicts"] = sql("""
+SELECT event_id, w.ingestion_id, name AS reconciliation_check, opening_minor AS reconciliation_expected_opening_minor,
+  closing_minor AS reconciliation_expected_closing_minor, derived_minor AS reconciliation_derived_closing_minor,
+  closing_minor = derived_minor AS reconciliation_matches
+FROM wkly w LEFT JOIN verdict v ON v.ingestion_id = w.ingestion_id AND v.user_id % 4 <> 0""")
+ORACLE["account_verdicts"] = sql("""
+SELECT event_id, CASE event_id % 3 WHEN 1 THEN 'sub1' WHEN 2 THEN 'sub2' END AS account_identifier, name AS reconciliation_check,
+  opening_minor AS reconciliation_expected_opening_minor, closing_minor + event_id % 3 AS reconciliation_expected_closing_minor,
+  derived_minor AS reconciliation_derived_closing_minor, closing_minor + event_id % 3 = derived_minor AS reconciliation_matches
+FROM wkly w LEFT JOIN verdict v ON v.ingestion_id = w.ingestion_id AND event_id % 3 < 2""")
+ORACLE["gold_table"] = sql("""
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS spend_minor,
+  count(*) AS payments FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 0 GROUP BY 1""")
+PARTS["labelled"] = """
+SELECT h.account_id, c_name || CASE c_custkey % 3 WHEN 0 THEN ' ISA' WHEN 1 THEN ' Personal Pension' ELSE ' General' END AS display_name,
+  c_custkey % 3 AS kind, fund_name, total_value_minor, as_of_date FROM hold h LEFT JOIN customer ON 'acc_' || c_custkey = h.account_id"""
+ORACLE["wrapper_labels"] = sql("""
+SELECT account_id, coalesce(display_name, account_id) AS display_name, detail, CAST(sum(total_value_minor) AS BIGINT) AS value_minor,
+  CASE WHEN detail = 'Cash account' THEN count(*) ELSE 1 END AS lines, max(as_of_date) AS as_of_date
+FROM (SELECT *, CASE WHEN length(fund_name) % 4 = 0 THEN 'Cash account' WHEN kind = 0 THEN 'Stocks & Shares ISA'
+  WHEN kind = 1 THEN 'Pension' ELSE 'Holdings' END AS detail FROM labelled) GROUP BY account_id, display_name, detail""")
 ORACLE["layout_detection"] = """
 WITH texts AS (SELECT 'p' || page_id AS id, html AS text FROM pages UNION ALL SELECT 'd' || doc_id, text FROM documents),
 found AS (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -627,12 +628,32 @@ def _by_markers(texts: DataFrame) -> DataFrame:
 
 @query
 def statement_detection(spark, folder):
-    """The statement layouts themselves, over texts of three of them."""
-    texts = T.statement_texts(spark, folder, "chase").unionByName(T.statement_texts(spark, folder, "amex")).unionByName(
-        T.statement_texts(spark, folder, "monzo-flex")
+    """All layouts over texts of all of them, and over texts that are none."""
+    parts = [T.statement_texts(spark, folder, name).select(F.lit(name).alias("printed_as"), "text") for name in BY_NAME]
+    pages = W.table(spark, folder, "pages").select(F.lit("page").alias("printed_as"), F.col("html").alias("text"))
+    texts = functools.reduce(DataFrame.unionByName, [*parts, pages])
+    return P.detect_layouts(texts).groupBy("printed_as", "layout", "detection").agg(F.count("*").alias("texts"))
+
+
+@query
+def wrapper_labels(spark, folder):
+    """Holdings reported under wrappers whose names tell what they are."""
+    suffix = F.element_at(F.array(*[F.lit(n) for n in (" ISA", " Personal Pension", " General")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    customers = W.table(spark, folder, "customer")
+    people = customers.select(
+        F.concat(F.lit("acc_"), "c_custkey").alias("account_id"), F.concat("c_name", suffix).alias("display_name"),
+        F.lit("investment").alias("account_type"),
+    )
+    snapshot = B.latest_holdings(W.holdings(spark, folder))
+    cash = F.when(F.length("fund_name") % 4 == 0, "Cash account").otherwise(F.col("fund_name"))
+    lines = snapshot.select(
+        "account_id", cash.alias("source"), F.col("total_value_minor").alias("balance_or_value"), "as_of_date",
+        F.col("total_value_minor").alias("contribution_to_net_worth"), F.lit(False).alias("balance_may_be_stale"),
+    )
+    report = B.account_breakdown(lines, people)
+    return report.groupBy("account_id", "display_name", "detail").agg(
+        F.sum("balance_or_value").alias("value_minor"), F.count("*").alias("lines"), F.max("as_of_date").alias("as_of_date")
     )
-    found = P.detect_layouts(texts)
-    return found.groupBy("layout", "detection").agg(F.count("*").alias("texts"))
 
 
 @query

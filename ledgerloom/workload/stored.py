@@ -15,7 +15,7 @@ from ledgerloom.operators import eligibility as E
 from ledgerloom.plans.rebuild import build_facts, ingest_rows
 from ledgerloom.session import materialized, scratch_folder
 from ledgerloom.sources.csv_export import FULL_HEADER, read_exports
-from ledgerloom.sources.lake import Lake, find_manifests, with_override
+from ledgerloom.sources.lake import Lake, attach_checks, find_manifests, with_override
 from ledgerloom.streaming.ingest import ingest_stream
 from ledgerloom.workload import statements as T
 from ledgerloom.workload import views as W
@@ -124,6 +124,50 @@ def csv_exports(spark, folder):
     )
 
 
+def _checks(spark: SparkSession, folder: str) -> DataFrame:
+    return W.anchors(spark, folder).select(
+        "user_id", "wk", F.concat_ws("-W", F.col("user_id").cast("string"), F.col("wk").cast("string")).alias("ingestion_id"),
+        F.lit("closing_balance").alias("check_name"), F.col("opening_minor").alias("expected_opening_minor"),
+        F.col("closing_minor").alias("expected_closing_minor"), F.col("derived_minor").alias("derived_closing_minor"),
+        (F.col("closing_minor") == F.col("derived_minor")).alias("matches"),
+    )
+
+
+_VERDICT = ("reconciliation_check", "reconciliation_expected_opening_minor", "reconciliation_expected_closing_minor",
+            "reconciliation_derived_closing_minor", "reconciliation_matches")
+
+
+@query
+def file_verdicts(spark, folder):
+    """Verdicts per file onto all its rows; every fourth user's files have none."""
+    rows = W.weekly(spark, folder).select("event_id", "ingestion_id")
+    checks = _checks(spark, folder).filter("user_id % 4 <> 0").drop("user_id", "wk")
+    return attach_checks(rows, per_file=checks).select("event_id", "ingestion_id", *_VERDICT)
+
+
+@query
+def account_verdicts(spark, folder):
+    """Verdicts per account of a file, one of the accounts without an identifier."""
+    account = lambda n: F.when(n % 3 > 0, F.concat(F.lit("sub"), (n % 3).cast("string")))
+    rows = W.weekly(spark, folder).select("event_id", "ingestion_id", account(F.col("event_id")).alias("account_identifier"))
+    # The first and the nameless account of each file are checked, the other is not.
+    both = F.explode(F.array(F.lit(0), F.lit(1)))
+    checks = _checks(spark, folder).withColumn("n", both).withColumn("account_identifier", account(F.col("n"))).withColumn(
+        "expected_closing_minor", F.col("expected_closing_minor") + F.col("n")
+    ).withColumn("matches", F.col("expected_closing_minor") == F.col("derived_closing_minor")).drop("user_id", "wk", "n")
+    return attach_checks(rows, per_account=checks).select("event_id", "account_identifier", *_VERDICT)
+
+
+@query
+def gold_table(spark, folder):
+    """A table of monthly spending, written to Gold twice and read back."""
+    lake = Lake(spark, _fresh(spark, "lake"))
+    spent = W.order_spending(spark, folder).filter("amount_minor < 0").groupBy(F.trunc("transaction_date", "month").alias("month"))
+    lake.write_gold("monthly_spend", spent.agg(F.count("*").alias("payments")))
+    lake.write_gold("monthly_spend", spent.agg(F.sum(-F.col("amount_minor")).alias("spend_minor"), F.count("*").alias("payments")))
+    return lake.gold("monthly_spend")
+
+
 @query
 def stream_ingest(spark, folder):
     """Statement files as a stream, read twice from the start; each is stored once."""
