@@ -11,7 +11,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
@@ -109,7 +109,7 @@ class Lake:
         return None if newest is None else newest["build_id"]
 
     def publish(self, tables: dict[str, DataFrame], facts: DataFrame, build_id: str) -> dict[str, int]:
-        """Write every table below the build, read each back, then commit.
+        """Write every table below the build, counting rows as they are written, then commit.
 
         `facts` is one row of (input_ingestion_ids, parser_versions, excluded)."""
         if not self.builds().filter(F.col("build_id") == build_id).isEmpty():
@@ -117,8 +117,10 @@ class Lake:
         counts: dict[str, int] = {}
         for name, rows in tables.items():
             path = self._at("silver", build_id, name)
-            schemas.conform(rows, schemas.SILVER[name]).write.mode("error").parquet(path)
-            counts[name] = self.spark.read.schema(schemas.SILVER[name]).parquet(path).count()
+            seen = Observation(name)
+            counted = schemas.conform(rows, schemas.SILVER[name]).observe(seen, F.count(F.lit(1)).alias("rows"))
+            counted.write.mode("error").parquet(path)
+            counts[name] = seen.get["rows"]
         pairs: list[Column] = []
         for name, count in counts.items():
             pairs += [F.lit(name), F.lit(count).cast("long")]

@@ -203,15 +203,15 @@ def _natwest_statement(text: Column, period: Column) -> Column:
     is printed once a day: each row carries the date lines just before it, and the
     rest is filled in, and amounts are taken, once the rows are out."""
 
-    def is_words(line: Column) -> Column:
-        return ~line.rlike(STATEMENT_DATE) & ~line.rlike(STATEMENT_NUMBER)
+    date_kind, number_kind = 1, 2
 
     def row_start(lines: Column, line: Column, i: Column) -> Column:
-        return F.when(is_words(line) & ((i == 0) | ~F.coalesce(is_words(F.get(lines, i - 1)), F.lit(False))), i + 1)
+        after_words = (i > 0) & F.coalesce(F.get(lines, i - 1)["kind"] == G.OTHER, F.lit(False))
+        return F.when((line["kind"] == G.OTHER) & ~after_words, i + 1)
 
     def made(named: Column, numbers: Column, date: Column) -> Column:
         def with_words(description: Column) -> Column:
-            balance = F.when(description.isNotNull(), try_parse_money(G.last(numbers)))
+            balance = F.when(description.isNotNull(), try_parse_money(G.last(numbers)["line"]))
             is_footer = G.starts_with_any(*STATEMENT_FOOTERS)(F.get(named, 0))
             return G.record(
                 F.when(is_footer, "footer").otherwise("transaction"),
@@ -224,16 +224,16 @@ def _natwest_statement(text: Column, period: Column) -> Column:
         end = F.coalesce(F.get(found, n + 1), F.size(lines) + 1)
         begin = F.when(n == 0, F.lit(1)).otherwise(F.get(found, n - 1))
         before = F.slice(lines, begin, at - begin)
-        date = G.last(F.filter(before, lambda line: line.rlike(STATEMENT_DATE)))
+        date = G.last(F.filter(before, lambda line: line["kind"] == date_kind))["line"]
 
         def split(row: Column) -> Column:
             def with_words(words: Column) -> Column:
                 heads = F.array_position(F.transform(words, lambda w: ~w.isin(*STATEMENT_HEADINGS)), True)
                 named = G.let(heads, lambda h: F.when(h > 0, G.after(words, (h - 1).cast("int"))))
-                numbers = G.until(G.after(row, F.size(words)), lambda line: ~line.rlike(STATEMENT_NUMBER))
+                numbers = G.until(G.after(row, F.size(words)), lambda line: line["kind"] != number_kind)
                 return G.let(named, lambda w: G.let(numbers, lambda v: made(w, v, date)))
 
-            return G.let(G.until(row, lambda line: ~is_words(line)), with_words)
+            return G.let(G.texts_of(G.until(row, lambda line: line["kind"] != G.OTHER)), with_words)
 
         return G.let(F.slice(lines, at, end - at), split)
 
@@ -241,7 +241,8 @@ def _natwest_statement(text: Column, period: Column) -> Column:
         starts = F.filter(F.transform(lines, lambda line, i: row_start(lines, line, i)), lambda i: i.isNotNull())
         return G.let(starts, lambda found: F.transform(found, lambda at, n: read(lines, found, at, n)))
 
-    return _until_footer(G.let(G.lines_of(text), rows))
+    told = G.told_apart(G.lines_of(text), STATEMENT_DATE, STATEMENT_NUMBER)
+    return _until_footer(G.let(told, rows))
 
 
 def _until_footer(records: Column) -> Column:
@@ -592,20 +593,27 @@ def _numbered_rows(
 ) -> Column:
     """Rows with a date line, words, and exactly `count` number lines."""
 
+    date_kind, number_kind = 1, 2
+
     def read(block: Column) -> Column:
         def made(numbers: Column, description: Column) -> Column:
             whole = description.isNotNull() & (F.size(numbers) == count)
-            amount, balance = figures(lambda i: F.when(whole, try_parse_money(F.get(numbers, i))))
+            amount, balance = figures(lambda i: F.when(whole, try_parse_money(F.get(numbers, i)["line"])))
             return G.record(
                 "transaction",
-                [("date", F.get(block, 0)), ("description", description), ("amount_minor", amount),
+                [("date", F.get(block, 0)["line"]), ("description", description), ("amount_minor", amount),
                  ("balance_minor", balance)],
             )
 
-        words = G.joined(G.not_matching(G.tail(block), number))
-        return G.let(G.matching(G.tail(block), number), lambda n: G.let(words, lambda w: made(n, w)))
+        def parted(rest: Column) -> Column:
+            words = G.joined(G.texts_of(F.filter(rest, lambda t: t["kind"] != number_kind)))
+            numbers = F.filter(rest, lambda t: t["kind"] == number_kind)
+            return G.let(numbers, lambda n: G.let(words, lambda w: made(n, w)))
+
+        return G.let(G.tail(block), parted)
 
-    return _kept(F.transform(G.blocks(lines, G.begins_with(date)), read))
+    told = G.told_apart(lines, date, number)
+    return _kept(F.transform(G.blocks(told, lambda t: t["kind"] == date_kind), read))
 
 
 LAYOUTS: tuple[Layout, ...] = (

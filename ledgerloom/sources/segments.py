@@ -30,8 +30,31 @@ def strip(line: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """Stripped lines, the empty ones left out."""
-    return F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
+    """Stripped lines, the empty ones left out: two passes over the text, none per line."""
+    plain = F.regexp_replace(strip(text), r"\s*\n\s*", "\n")
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, "\n"))
+
+
+OTHER = 0
+
+
+def told_apart(lines: Column, *patterns: str) -> Column:
+    """Lines as structs of `kind` and `line`, each looked at once.
+
+    The kind is the number, from 1, of the first pattern that fits, or `OTHER`. Records
+    are then told from kinds alone, which are compared as numbers however often."""
+
+    def kind(line: Column) -> Column:
+        chosen = F.lit(OTHER)
+        for number, pattern in reversed(list(enumerate(patterns, 1))):
+            chosen = F.when(line.rlike(pattern), F.lit(number)).otherwise(chosen)
+        return F.struct(chosen.alias("kind"), line.alias("line"))
+
+    return F.transform(lines, kind)
+
+
+def texts_of(told: Column) -> Column:
+    return F.transform(told, lambda t: t["line"])
 
 
 def after(lines: Column, position: Column) -> Column:
@@ -73,7 +96,7 @@ def places(lines: Column, test: Test) -> Column:
 
 
 def blocks(lines: Column, begins: Test) -> Column:
-    """Arrays of lines, each from a line that begins a record up to the next."""
+    """Arrays of lines (or of lines told apart), each from one that begins a record up to the next."""
 
     def cut(ls: Column) -> Column:
         return let(
