@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialized, released
 
-__all__ = ["materialized", "released", "fresh", "keyed", "numbered", "shuffle_partitions", "uniform", "document_text"]
+__all__ = ["materialized", "released", "fresh", "keyed", "moved_alike", "numbered", "shuffle_partitions", "uniform", "document_text"]
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -27,6 +27,12 @@ def keyed(df: DataFrame, name: str, kept_in: list[str] | None = None) -> DataFra
     return materialized(df.withColumn(name, F.monotonically_increasing_id()), kept_in)
 
 
+def moved_alike(df: DataFrame) -> DataFrame:
+    """`df` as the side of a join that moves whole texts: merged at every size, so that
+    small inputs show what large ones will move."""
+    return df.hint("merge")
+
+
 def document_text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 

@@ -16,12 +16,14 @@ pairs of a bucket are never listed while they need not be: each bucket has a lea
 the member that shares most large buckets with others, and a document is first compared
 with the leader of most of its buckets.
 Linked documents become components. Members outside a bucket's largest component are
-then compared with a member inside, drawn anew for each bucket and turn, so that a
-document meets many. Only members that are in different components after that are
-compared with all of their bucket, each pair once, but for pairs that the distances
-from a leader exclude, or four bits of each register: a pair of similarity 0.8 is lost
-there with a probability of 1e-6. So no link that joins two classes is lost. Equal texts
-are one node from the start.
+then compared with members inside, drawn anew for each bucket and turn. Members that are
+in different components after that are compared with all of their bucket: packed into
+blocks, block against block, by products of matrices within a task, which gives away only
+links that join components. So no link that joins two classes is lost but where bands
+lose it. Equal texts are one node from the start.
+
+A text is signed as a whole, with some 40 bytes of memory per byte of it; texts share a
+part of `PART_BYTES` otherwise.
 
 Defined results: a null text is empty; texts without words are in a class with equal
 texts only; a text of fewer than five words is one shingle; words are parted by white
@@ -39,14 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import document_text, fresh, keyed, materialized, released
+from ledgerloom.llm.common import document_text, fresh, keyed, materialized, moved_alike, released
 from ledgerloom.llm.tokens import hashes
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
-REGISTERS = 256  # the first BANDS x ROWS are banded, all are kept in the sketch
-DEVIATIONS = 4.8  # how far below what is expected registers may agree; 1e-6 go further
+REGISTERS = BANDS * ROWS
 LEADERS = 3
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 18  # members and elements of a block in the last comparison, on average
+COLUMNS = 8192  # elements that are compared at once
 PART_BYTES = 1 << 20  # of texts that are drawn together
 _PART = np.uint64(48)
 _DOCS = 4096  # documents drawn together at most, with REGISTERS x 8 bytes each
@@ -138,21 +141,6 @@ def _bands(signature: np.ndarray) -> np.ndarray:
     return _mixed(keys + _weights(BANDS)).view(np.int64)
 
 
-def _sketch(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each register, sixteen to a long."""
-    bits = _mixed(signature) & np.uint64(15)
-    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    return (bits.reshape(len(signature), -1, 16) << places).sum(axis=2, dtype=np.uint64).view(np.int64)
-
-
-def _agreeing(one: Column, two: Column) -> Column:
-    """Registers in which two sketches agree."""
-    nibble = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    both = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    differ = F.zip_with(one, two, lambda a, b: F.bit_count(both(nibble(a.bitwiseXOR(b)))))
-    return F.lit(REGISTERS) - F.aggregate(differ, F.lit(0), lambda s, n: s + n)
-
-
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, one past the last, bytes, bounds) of texts, in parts of bounded size."""
     texts = texts.cast(pa.large_string())
@@ -173,13 +161,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, shingle, times = shingles(data, bounds)
             weight = np.bincount(text, weights=times, minlength=n).astype(np.int64)
             signature = bag_min_hash(text, shingle, times, n)[weight > 0]
-            lists = []
-            for values, width in ((_bands(signature), BANDS), (_sketch(signature), REGISTERS // 16)):
-                ends = np.concatenate([[0], np.cumsum(np.where(weight > 0, width, 0))])
-                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.ravel())))
+            ends = np.concatenate([[0], np.cumsum(np.where(weight > 0, BANDS, 0))])
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_bands(signature).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).slice(first, n) for c in ("row_id", "doc_id", "key")], pa.array(weight), *lists],
-                ["row_id", "doc_id", "key", "weight", "bands", "sketch"],
+                [*[batch.column(c).slice(first, n) for c in ("row_id", "doc_id", "key")], pa.array(weight), bands],
+                ["row_id", "doc_id", "key", "weight", "bands"],
             )
 
 
@@ -206,7 +192,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """Written table: row_id, doc_id, key of the text, weight, band keys, sketch."""
+    """Written table: row_id, doc_id, key of the text, weight, band keys."""
     text = document_text()
     row_id = F.monotonically_increasing_id() if row is None else F.col(row)
     given = docs.select(
@@ -214,7 +200,7 @@ def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
         text.alias("text"),
     )
     return materialized(
-        given.mapInArrow(_sign, "row_id long, doc_id long, key binary, weight long, bands array<long>, sketch array<long>")
+        given.mapInArrow(_sign, "row_id long, doc_id long, key binary, weight long, bands array<long>")
     )
 
 
@@ -270,11 +256,10 @@ def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> t
 
     wanted = members.filter("row_id = node").join(met_nodes.select("node"), "node", "left_semi").select("key", "node", "weight")
     wanted = materialized(wanted)
-    texts = _keys(docs).join(wanted.select("key"), "key", "left_semi")
+    texts = _keys(docs).join(moved_alike(wanted.select("key")), "key", "left_semi")
     counted = texts.mapInArrow(_elements, "key binary, elements array<long>")
     elements = materialized(counted.join(wanted, "key").select("node", "weight", "elements").dropDuplicates(["node"]))
 
-    sketches = materialized(signatures.select(F.col("row_id").alias("node"), "sketch").join(met_nodes.select("node"), "node", "left_semi"))
     component = materialized(met_nodes.select("node", F.col("node").alias("component")))
     for turn in range(LEADERS + 1):
         tagged = materialized(met.join(component, "node"))
@@ -283,23 +268,112 @@ def links(signatures: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> t
             F.max(F.struct("n", F.bitwise_not("component").alias("id"))).alias("most"), F.count(F.lit(1)).alias("parts")
         ).filter("parts > 1").select("bucket", F.bitwise_not("most.id").alias("main"))
         shared = materialized(tagged.join(main, "bucket"))
-        minor = shared.filter("component != main")
         if shared.isEmpty():
             break
-        if turn == 0:
-            pivots = materialized(_pivots(_led(shared, _leaders(shared, turn))))
-            measured = _measured(pivots.select(*_pair("node", "lead")).distinct(), elements)
-            first = measured
-        elif turn < LEADERS:
-            led = _led(minor, _leaders(shared.filter("component = main"), turn))
-            measured = _measured(led.select(*_pair("node", "lead")).distinct(), elements)
+        if turn < LEADERS:
+            led = _led(shared.filter("component != main") if turn else shared, _leaders(shared if turn == 0 else shared.filter("component = main"), turn))
+            measured = _measured(_one_each(led).select(*_pair("node", "lead")).distinct(), elements)
+            found = measured.filter(F.col("similarity") >= similar).select("one", "two")
         else:
-            placed = _from_pivot(shared, pivots, first).join(sketches, "node")
-            measured = _measured(_across(materialized(placed), similar).distinct(), elements)
-        component = _merged(component, measured.filter(F.col("similarity") >= similar).select("one", "two"))
+            found = _tiled(shared, elements, similar)
+        component = _merged(component, found)
     return members, component
 
 
+def _tiled(shared: DataFrame, elements: DataFrame, similar: float) -> DataFrame:
+    """Links that join components among members of buckets with more than one.
+
+    Members outside the main component of any of their buckets are minor, the others
+    major. Either kind is packed into blocks, by the largest bucket a member is in, and
+    a block of minor members meets each block with which it shares a bucket, once. All
+    multisets of two blocks are compared in one task, and only as many links leave it as
+    join components there. A multiset thus moves once per block it meets, not per pair."""
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    homes = shared.join(sizes, "bucket").groupBy("node").agg(
+        F.max(F.struct("size", "bucket")).alias("home"), F.max(F.col("component") != F.col("main")).alias("minor"),
+        F.max("component").alias("component"),
+    ).select("node", "component", "minor", F.col("home.bucket").alias("home"))
+    held = homes.join(elements, "node")
+    room = held.groupBy("home", "minor").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("weight") / F.lit(BLOCK_ELEMENTS))).alias("blocks")
+    )
+    chunk = F.pmod(F.xxhash64(F.lit(7), "node"), "blocks")
+    dealt = materialized(
+        held.join(room, ["home", "minor"]).withColumn("block", F.xxhash64(F.lit(8), "home", "minor", chunk))
+        .select("node", "component", "minor", "block", "weight", "elements")
+    )
+    # A block has BLOCK members on average. Two blocks whose names collide are one larger block.
+    blocks = materialized(
+        dealt.groupBy("block").agg(
+            F.collect_list("component").alias("components"), F.collect_list("weight").alias("weights"),
+            F.flatten(F.collect_list("elements")).alias("elements"),
+        )
+    )
+    places = shared.select("bucket", "node").join(dealt.select("node", "block", "minor"), "node").groupBy("bucket", "block").agg(
+        F.max("minor").alias("minor")
+    )
+    one = places.filter("minor").select("bucket", F.col("block").alias("one"))
+    two = places.select("bucket", F.col("block").alias("two"), F.col("minor").alias("also"))
+    tiles = one.join(two, "bucket").filter("NOT also OR one <= two").select("one", "two").distinct()
+    side = lambda name, short: blocks.select(
+        F.col("block").alias(name), *[F.col(c).alias(f"{c}_{short}") for c in ("components", "weights", "elements")]
+    )
+    compared = tiles.join(side("one", "a"), "one").join(side("two", "b"), "two").drop("one", "two")
+    return compared.mapInArrow(_compared(similar), "one long, two long").distinct()
+
+
+def _compared(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for row in range(batch.num_rows):
+                sides = []
+                for short in "ab":
+                    parts = [batch[f"{c}_{short}"][row].values.to_numpy() for c in ("components", "weights", "elements")]
+                    sides.append((*parts, np.repeat(np.arange(len(parts[1])), parts[1])))
+                links += _joining(*sides, similar)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["one", "two"]
+            )
+
+    return run
+
+
+def _joining(left: tuple, right: tuple, similar: float) -> list[tuple[int, int]]:
+    """Links between components of two blocks, no more than it takes to join them."""
+    common = np.zeros((len(left[0]), len(right[0])), np.float32)
+    both = np.intersect1d(left[2], right[2])
+    for at in range(0, len(both), COLUMNS):
+        columns = both[at : at + COLUMNS]
+        matrices = []
+        for components, _, elements, member in (left, right):
+            place = np.minimum(np.searchsorted(columns, elements), len(columns) - 1)
+            hit = columns[place] == elements
+            matrix = np.zeros((len(components), len(columns)), np.float32)
+            matrix[member[hit], place[hit]] = 1
+            matrices.append(matrix)
+        common += matrices[0] @ matrices[1].T
+    total = left[1][:, None] + right[1][None, :]
+    common = common.astype(np.float64)
+    near = (common / np.maximum(total - common, 1) >= similar) & (left[0][:, None] != right[0][None, :])
+    i, j = np.nonzero(near)
+    head: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while head.get(x, x) != x:
+            head[x] = head.get(head[x], head[x])
+            x = head[x]
+        return x
+
+    found = []
+    for a, b in set(zip(left[0][i].tolist(), right[0][j].tolist(), strict=True)):
+        one, two = top(a), top(b)
+        if one != two:
+            head[max(one, two)] = min(one, two)
+            found.append((a, b))
+    return found
+
+
 def _leaders(able: DataFrame, turn: int) -> DataFrame:
     """A leader per bucket and its component: the most central member first, then any
     member, another one in each bucket and turn."""
@@ -319,46 +393,13 @@ def _led(rows: DataFrame, leading: DataFrame) -> DataFrame:
     return rows.join(leading, "bucket").filter("component != of").select("node", "lead")
 
 
-def _pivots(led: DataFrame) -> DataFrame:
+def _one_each(led: DataFrame) -> DataFrame:
     """One leader per node: the one that leads most of its buckets."""
     often = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = often.groupBy("node").agg(F.max(F.struct("n", F.bitwise_not("lead").alias("id"))).alias("best"))
     return best.select("node", F.bitwise_not("best.id").alias("lead"))
 
 
-def _from_pivot(shared: DataFrame, pivots: DataFrame, measured: DataFrame) -> DataFrame:
-    """Rows with their pivot and their distance (1 - similarity) from it."""
-    apart = measured.select("one", "two", (1 - F.col("similarity")).alias("apart"))
-    known = pivots.select("node", F.col("lead").alias("pivot"), *_pair("node", "lead")).join(apart, ["one", "two"])
-    return shared.join(known.select("node", "pivot", "apart"), "node", "left")
-
-
-def _across(shared: DataFrame, similar: float) -> DataFrame:
-    """Pairs of different components that share a bucket, each in one bucket only.
-
-    Left out are pairs that cannot be similar: distances from a shared pivot differ
-    by no more than the distance of the pair, since 1 - weighted Jaccard is a metric;
-    and pairs whose sketches agree in too few registers."""
-    all_of = shared.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS
-    placed = shared.join(all_of, "node")
-    left = placed.filter("component != main").select("bucket", "node", "component", "main", "buckets", "pivot", "apart", "sketch")
-    right = placed.select(
-        F.col("bucket").alias("bucket_b"), F.col("node").alias("other"), F.col("component").alias("of"),
-        F.col("buckets").alias("more"), F.col("apart").alias("apart_b"), F.col("sketch").alias("sketch_b"),
-        F.col("pivot").alias("pivot_b"),
-    )
-    # Two members outside the largest component meet twice, and count once.
-    once = (F.col("of") == F.col("main")) | (F.col("node") < F.col("other"))
-    beyond = (F.col("pivot") == F.col("pivot_b")) & (F.abs(F.col("apart") - F.col("apart_b")) > 1 - similar + 1e-9)
-    near = ~F.coalesce(beyond, F.lit(False))
-    here = F.array_min(F.array_intersect("buckets", "more")) == F.col("bucket")
-    share = similar + (1 - similar) / 16  # four bits also agree by chance
-    least = REGISTERS * share - DEVIATIONS * (REGISTERS * share * (1 - share)) ** 0.5
-    alike = _agreeing(F.col("sketch"), F.col("sketch_b")) >= F.lit(int(least))
-    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("component") != F.col("of")) & once & near & alike & here
-    return left.join(right, same).select(*_pair("node", "other"))
-
-
 def _merged(component: DataFrame, found: DataFrame) -> DataFrame:
     """Components after the links that were found join some of them."""
     label = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
@@ -397,4 +438,4 @@ def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     row = fresh(docs, "row_id")
     copy = keyed(docs, row)
     kept = materialized(near_duplicates(copy, row, similar).filter("kept").select(F.col("row_id").alias(row)))
-    return copy.join(kept, row, "left_semi").drop(row)
+    return copy.join(moved_alike(kept), row, "left_semi").drop(row)

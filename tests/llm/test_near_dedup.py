@@ -1,10 +1,12 @@
 import collections
 import itertools
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from ledgerloom.llm import near_dedup
 
@@ -113,12 +115,61 @@ def test_shingles_stay_within_their_text():
     assert shingle[3] == shingle[4] and shingle[3] in shingle[:2]
 
 
-def test_sketches_count_registers_that_agree(spark):
-    rng = np.random.default_rng(0)
-    one = rng.integers(0, 1 << 62, (20, near_dedup.REGISTERS)).astype(np.uint64)
-    two = np.where(rng.random(one.shape) < 0.7, one, rng.integers(0, 1 << 62, one.shape).astype(np.uint64))
-    rows = [(a.tolist(), b.tolist()) for a, b in zip(near_dedup._sketch(one), near_dedup._sketch(two))]
-    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    found = [r[0] for r in frame.select(near_dedup._agreeing(frame.a, frame.b)).collect()]
-    bits = [near_dedup._mixed(x) & np.uint64(15) for x in (one, two)]
-    assert found == (bits[0] == bits[1]).sum(axis=1).tolist()
+def test_two_blocks_are_joined_as_pairs_would_be():
+    rng = np.random.default_rng(5)
+    families = [rng.choice(1 << 40, 60, replace=False) for _ in range(4)]
+
+    def side(n, first):
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 1 << 40, 60), families[k % 4])) for k in range(n)]
+        weights = np.array([len(s) for s in sets])
+        return sets, (np.arange(first, first + n), weights, np.concatenate(sets), np.repeat(np.arange(n), weights))
+
+    ones, left = side(30, 0)
+    twos, right = side(40, 100)
+    pairs = {(i, 100 + j) for i, a in enumerate(ones) for j, b in enumerate(twos) if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8}
+    assert len(pairs) > 20
+
+    def classes(links):
+        of = {}
+        for a, b in sorted(links):
+            one, two = of.setdefault(a, {a}), of.setdefault(b, {b})
+            if one is not two:
+                one |= two
+                of.update(dict.fromkeys(two, one))
+        return {frozenset(c) for c in of.values()}
+
+    for columns in (near_dedup.COLUMNS, 7):
+        near_dedup.COLUMNS, kept = columns, near_dedup.COLUMNS
+        links = near_dedup._joining(left, right, 0.8)
+        near_dedup.COLUMNS = kept
+        assert set(links) <= pairs and classes(links) == classes(pairs)
+        assert len(links) == len({x for p in pairs for x in p}) - len(classes(pairs))
+
+
+def test_no_class_of_the_given_documents_is_lost(spark):
+    """Measured against all pairs that share a shingle: recall is whole on this table."""
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(folder)
+    bags = {r.doc_id: _bag(r.text) for r in docs.select("doc_id", "text").collect()}
+    holders = collections.defaultdict(list)
+    for doc, bag in bags.items():
+        for shingle in bag:
+            holders[shingle].append(doc)
+    pairs = {p for held in holders.values() if len(held) > 1 for p in itertools.combinations(sorted(held), 2)}
+    linked = {(a, b) for a, b in pairs if _similarity(bags[a], bags[b]) >= 0.8}
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(linked) > 50 and all(found[a] == found[b] for a, b in linked)
+    # Nor is anything joined that no chain of links joins.
+    root = {doc: doc for doc in bags}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    wordless = [doc for doc, bag in bags.items() if not bag]
+    assert all(found[doc] == top(doc) for doc in bags if doc not in wordless)
