@@ -15,17 +15,19 @@ four letters or more that touch no span of the four kinds.
 Counts are over all documents and whole texts: a document names each of its words and
 entities once, and counts are combined before the shuffle, so neither a common word nor
 an entity in a third of all rows is a hot key. Entities in fewer than `SUPPORT`
-documents can have no term and name no pairs. Texts are read from a written copy; they
-meet the forms of the words to hide by row, shuffled only where these are too many to
-broadcast.
+documents can have no term and name no pairs. Texts are read from a written copy; only
+words of documents that hold a term to hide are laid out by place.
 
-Patterns start only where a match can start and take runs whole, so that their time
-is linear in the text. Defined results: a null text is empty and has no spans; null or
+Patterns start only where a match can start and take runs whole, and places come from
+sums over chunks of matches, so that time is near linear in the text however many spans
+it holds; a term is looked up by a join of words, not by a pattern. Defined results: a null text is empty and has no spans; null or
 repeated doc_ids are rows like others; other columns are not read; no rows give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,21 +70,53 @@ _HOLDS = {
 }
 
 
-def located(text: Column, pattern: str | Column) -> Column:
+CHUNK = 256
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """The fold (from 0) of all values before each, and of all, in one array more.
+
+    An array can only be grown by copying it, so values are folded in chunks of `CHUNK`
+    and the chunks' totals in turn: n x CHUNK + (n / CHUNK)^2 steps for n values."""
+    grow = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(fold(F.element_at(a, -1), x))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(CHUNK))
+    local = F.transform(starts, lambda at: grow(F.slice(values, at + 1, F.lit(CHUNK))))
+
+    def joined(parts: Column) -> Column:
+        before = grow(F.transform(parts, lambda p: F.element_at(p, -1)))
+        shifted = F.zip_with(
+            parts, F.slice(before, F.lit(1), F.size(parts)),
+            lambda p, b: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: fold(b, x)),
+        )
+        return F.concat(F.flatten(shifted), F.array(F.element_at(before, -1)))
+
+    return _bound(local, joined)
+
+
+def located(text: Column, pattern: str) -> Column:
     """All matches as structs (start, end, value), in code points from 0."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, 0)
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    sizes = F.transform(found, lambda m: F.length(m))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), sizes, lambda g, m: F.struct(g.alias("gap"), m.alias("size")))
-    ends = F.aggregate(
-        steps, F.array(F.lit(0)),
-        lambda ends, s: F.concat(ends, F.array(F.element_at(ends, -1) + s["gap"] + s["size"])),
-    )
-    return F.zip_with(
-        found, F.slice(ends, 2, F.size(found)),
-        lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")),
-    )
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(cut: Column) -> Column:
+        found = cut["found"]
+        steps = F.zip_with(F.slice(cut["gaps"], F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        return _bound(
+            _running(steps, lambda a, x: a + x),
+            lambda begins: F.transform(
+                found,
+                lambda m, i: F.struct(
+                    (F.get(begins, i) + F.length(F.get(cut["gaps"], i))).alias("start"),
+                    (F.get(begins, i) + F.length(F.get(cut["gaps"], i)) + F.length(m)).alias("end"), m.alias("value"),
+                ),
+            ),
+        )
+
+    return _bound(both, placed)
 
 
 def base_spans(text: Column) -> Column:
@@ -103,33 +137,42 @@ def _of_kind(text: Column, kind: str) -> Column:
     )
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with a zero character for every stretch of spans. What is left of a word
-    that a span cuts stays joined to it."""
-    plain = F.translate(text, "\0", " ")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(
-        spans, start,
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(a["out"], F.substring(plain, a["at"] + 1, s["start"] - a["at"]), F.lit("\0")).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(plain, a["at"] + 1, F.length(plain))),
+def _filled(value: Column) -> Column:
+    """As many control characters as a value has characters: U+0001 for letters, U+0000 for others."""
+    return F.regexp_replace(F.regexp_replace(value, r"\p{L}", "\x01"), r"[^\x01]", "\x00")
+
+
+def masked(text: Column) -> Column:
+    """The text, code point for code point, with filled stretches where data of the four
+    kinds stand. Kinds are filled one after another, each by one cut of the text."""
+    plain = F.translate(text, "\0\1", "  ")
+    for kind in KINDS:
+        plain = _bound(plain, _masking(kind))
+    return plain
+
+
+def _masking(kind: str) -> Callable[[Column], Column]:
+    return lambda text: F.when(_HINTS[kind](text), _masked_kind(text, kind)).otherwise(text)
+
+
+def _masked_kind(text: Column, kind: str) -> Column:
+    both = F.struct(
+        F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("found"), F.split(text, PATTERNS[kind], -1).alias("gaps")
+    )
+    hide = lambda m: F.when(_HOLDS[kind](m), _filled(m)).otherwise(m)
+    return _bound(
+        both, lambda cut: F.array_join(F.zip_with(cut["gaps"], F.transform(cut["found"], hide), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     )
-    return F.when(F.size(spans) > 0, masked).otherwise(plain)
 
 
-def _forms(text: Column, spans: Column) -> Column:
-    """The distinct words outside of spans, as they are written."""
-    words = F.array_distinct(F.split(_outside(text, spans), r"[^\p{L}\x00]+"))
-    return F.filter(words, lambda w: (F.length(w) >= LETTERS) & ~F.contains(w, F.lit("\0")))
+def _forms(text: Column) -> Column:
+    """The distinct words that touch no data of the four kinds, as they are written."""
+    words = F.array_distinct(F.split(masked(text), r"[^\p{L}\x00\x01]+"))
+    return F.filter(words, lambda w: (F.length(w) >= LETTERS) & ~w.rlike(r"[\x00\x01]"))
 
 
-def _terms(text: Column, spans: Column) -> Column:
-    return F.array_distinct(F.transform(_forms(text, spans), lambda w: F.lower(w)))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(_forms(text), lambda w: F.lower(w)))
 
 
 def found(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -146,7 +189,7 @@ def found(docs: DataFrame, row: str | None = None) -> DataFrame:
 
 def term_counts(base: DataFrame) -> DataFrame:
     """Documents per term, over whole texts of all documents."""
-    return base.select(F.explode(_terms(F.col("text"), F.col("spans"))).alias("term")).groupBy("term").agg(
+    return base.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_term")
     )
 
@@ -165,7 +208,7 @@ def disclosing(base: DataFrame, support: int = SUPPORT, discloses: float = DISCL
     )
     pairs = (
         base.filter(F.size("spans") > 0).join(held, "row_id")
-        .select("entities", F.explode(_terms(F.col("text"), F.col("spans"))).alias("term"))
+        .select("entities", F.explode(_terms(F.col("text"))).alias("term"))
         .select(F.explode("entities").alias("entity"), "term")
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
     )
@@ -177,36 +220,30 @@ def disclosing(base: DataFrame, support: int = SUPPORT, discloses: float = DISCL
     )
 
 
-def _hidden(text: Column, spans: Column, forms: Column) -> Column:
-    """Spans of kind term for every whole word of the text that is one of `forms`."""
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
-    free = F.filter(
-        located(text, pattern), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    )
-    return F.transform(
-        free,
-        lambda t: F.struct(
-            t["start"].alias("start"), F.lit(len(KINDS)).alias("order"), t["end"].alias("end"),
-            F.lit("term").alias("kind"), F.lower(t["value"]).alias("value"),
-        ),
-    )
-
-
 def detected(
     docs: DataFrame, row: str | None = None, support: int = SUPPORT, discloses: float = DISCLOSES
 ) -> DataFrame:
     """One row per document: row_id, doc_id, spans with kinds email, ip, card, phone and term."""
     base = found(docs, row)
     told = materialized(disclosing(base, support, discloses).select("term").distinct())
-    hits = materialized(
-        base.select("row_id", F.explode(_forms(F.col("text"), F.col("spans"))).alias("form"))
-        .join(told, F.lower("form") == F.col("term"), "left_semi")
-        .groupBy("row_id").agg(F.collect_list("form").alias("forms"))
+    holding = materialized(
+        base.select("row_id", F.explode(_terms(F.col("text"))).alias("term")).join(told, "term", "left_semi").select("row_id").distinct()
+    )
+    # Words of the documents that hold such a term, with their places; a word that data cut is none.
+    words = base.join(holding, "row_id", "left_semi").select(
+        "row_id", F.explode(located(masked(F.col("text")), r"(?<![\p{L}\x01])\p{L}++(?!\x01)")).alias("word")
+    ).filter(F.length("word.value") >= LETTERS)
+    term = F.struct(
+        F.col("word.start").alias("start"), F.lit(len(KINDS)).alias("order"), F.col("word.end").alias("end"),
+        F.lit("term").alias("kind"), F.col("term").alias("value"),
     )
-    added = F.when(F.col("forms").isNull(), F.col("spans")).otherwise(
-        F.concat("spans", _hidden(F.col("text"), F.col("spans"), F.col("forms")))
+    hits = words.withColumn("term", F.lower("word.value")).join(told, "term", "left_semi").groupBy("row_id").agg(
+        F.collect_list(term).alias("terms")
+    )
+    added = F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", "terms"))
+    return base.select("row_id", "doc_id", "spans").join(hits, "row_id", "left").select(
+        "row_id", "doc_id", F.array_sort(added).alias("spans")
     )
-    return base.join(hits, "row_id", "left").select("row_id", "doc_id", F.array_sort(added).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -235,20 +272,36 @@ def sanitized(docs: DataFrame, support: int = SUPPORT, discloses: float = DISCLO
     copy = keyed(docs, row)
     hits = detected(copy, row, support, discloses).filter(F.size("spans") > 0)
     joined = copy.join(hits.select(F.col("row_id").alias(row), F.col("spans").alias(spans)), row, "left")
-    text = document_text()
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    made = F.aggregate(
-        F.col(spans), start,
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")
-                ).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    cleaned = F.when(F.col(spans).isNull(), F.col("text")).otherwise(made)
+    cleaned = F.when(F.col(spans).isNull(), F.col("text")).otherwise(_bound(F.col(spans), lambda found: _rewritten(document_text(), found)))
     return joined.select(*[cleaned.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
+PIECE = 4096
+
+
+def _rewritten(text: Column, spans: Column) -> Column:
+    """The text with every stretch of spans replaced; spans come sorted.
+
+    A place in a string is found by walking there, so the text is cut into pieces first
+    and every stretch between spans is put together from the pieces it lies in."""
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(cut: Column, begin: Column, end: Column) -> Column:
+        numbers = F.sequence(F.floor(begin / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int"))
+        part = lambda k: F.substring(
+            F.get(cut, k), F.greatest(begin - k * PIECE, F.lit(0)) + 1, F.least(end - k * PIECE, F.lit(PIECE)) - F.greatest(begin - k * PIECE, F.lit(0))
+        )
+        return F.when(begin < end, F.array_join(F.transform(numbers, part), "")).otherwise(F.lit(""))
+
+    def made(at: Column) -> Column:
+        known, cut = at["ends"], at["pieces"]
+        out = F.transform(
+            spans,
+            lambda s, i: F.when(
+                s["start"] >= F.get(known, i), F.concat(between(cut, F.get(known, i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            ).otherwise(F.lit("")),
+        )
+        return F.concat(F.array_join(out, ""), between(cut, F.element_at(known, -1), at["length"]))
+
+    return _bound(F.struct(ends.alias("ends"), pieces.alias("pieces"), F.length(text).alias("length")), made)

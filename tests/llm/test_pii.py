@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from ledgerloom.llm import pii
 
@@ -87,3 +88,22 @@ def test_terms_far_from_their_entity_and_without_it(documents):
         assert found[i] == ["term:0:7", f"email:{at}:{at + 16}", f"term:{last}:{last + 7}"]
     assert found[200] == ["term:5:12", "term:23:30"]
     assert all(found[i] == [""] for i in range(100, 140))
+
+
+def test_a_long_text_full_of_addresses(documents):
+    """Fifty thousand addresses in one text, some of them terms' entities, in seconds."""
+    text = " ".join(f"user{i}@host{i % 7}.example {i % 250}.0.0.{i % 200} Line{chr(97 + i % 26)}" for i in range(50_000))
+    docs = documents([(1, text), (2, text[:3000]), (3, "z" * 300_000)])
+    began = time.perf_counter()
+    found = {r["doc_id"]: r for r in pii.digests(pii.detected(docs)).collect()}
+    assert time.perf_counter() - began < 60
+    assert (found[1]["n_email"], found[1]["n_ip"]) == (50_000, 50_000) and found[3]["spans"] == ""
+    assert found[1]["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitized(docs).collect()}
+    assert clean[1] == re.sub(r"\S+@\S+", "[EMAIL]", re.sub(r"\d+\.0\.0\.\d+", "[IP]", text)) and clean[3] == "z" * 300_000
+
+
+def test_sanitized_text_of_overlapping_spans(documents):
+    text = "\0\1 me@1.2.3.4 and +1 10.1.2.33 4444 then " + "é𝒳" * 5000 + " a@b.c" + "\n" * 5000 + "end a@b.c"
+    (clean,) = pii.sanitized(documents([(1, text)])).collect()
+    assert clean["text"] == text.replace("me@1.2.3.4", "[EMAIL]").replace("+1 10.1.2.33 4444", "[PHONE]").replace("a@b.c", "[EMAIL]")
