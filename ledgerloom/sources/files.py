@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# How Spark's `binaryFile` gives files.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 FILE_COLUMNS = ("ingestion_id", "filename", "raw_artifact_path", "text", "upload_timestamp")
 
 
@@ -33,11 +35,19 @@ def stream_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataF
     """The same files as a stream; content hashes may repeat."""
     files = (
         spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-        .schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
+        .schema(FILE_SCHEMA).load(folder)
     )
     return _described(files)
 
 
+def stream_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that arrive packed, as rows of Parquet files with the columns of `FILE_SCHEMA`.
+
+    A file of its own is listed, logged, opened and committed for itself, which takes
+    longer than reading a statement; packed, statements cost what their bytes do."""
+    return _described(spark.readStream.schema(FILE_SCHEMA).parquet(folder))
+
+
 def one_per_content(texts: DataFrame) -> DataFrame:
     """Files with the same bytes are one ingestion, known by its first path.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.rebuild import ingest_texts
-from ledgerloom.sources.files import stream_texts
+from ledgerloom.sources.files import stream_packed, stream_texts
 from ledgerloom.sources.lake import Lake
 from ledgerloom.sources.layouts import LAYOUTS, Layout
 
@@ -24,13 +24,17 @@ def ingest_stream(
     glob: str = "*.txt",
     layouts: Sequence[Layout] = LAYOUTS,
     continuous_every: str | None = None,
+    packed: bool = False,
 ) -> StreamingQuery:
-    """Ingest what is there and stop, or keep looking every so often."""
+    """Ingest what is there and stop, or keep looking every so often.
+
+    With `packed`, the folder holds Parquet files with a statement per row instead."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         ingest_texts(Lake(batch.sparkSession, lake.root), batch, layouts)
 
-    writer = stream_texts(lake.spark, folder, glob).writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    files = stream_packed(lake.spark, folder) if packed else stream_texts(lake.spark, folder, glob)
+    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     if continuous_every is None:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=continuous_every).start()
