@@ -32,8 +32,8 @@ def try_parse_money(text: Column | str, currency: Column | str = "GBP") -> Colum
 
     `currency` is a code or a column of codes. A lone dash is not an amount, a CR
     mark is dropped, and digits beyond the currency's places are cut off."""
-    plain = F.regexp_replace(F.upper(_column(text)), "CR|£|,", "")
-    plain = F.regexp_replace(plain, r"^\s+|\s+$", "")
+    plain = F.regexp_replace(_column(text), "[£,]|[Cc][Rr]", "")
+    plain = F.trim(plain, F.lit(" \t\n\x0b\f\r"))
     number = F.regexp_extract(plain, AMOUNT, 0)
     return (number.try_cast("decimal(28,8)") * _scale(currency)).try_cast("long")
 

@@ -34,8 +34,8 @@ def _no_anchor(text: Column) -> Column:
 class Layout:
     """How to recognise and read one printed form.
 
-    `records` takes the text and the period (a struct of two dates) and gives an
-    array of records. `derived` says how the closing balance follows from them:
+    `records` takes the text, or what `sections` cuts it into, and the period (a struct
+    of two dates), and gives an array of records. `derived` says how the closing balance follows from them:
     the `last` or `first` printed balance, the opening balance `plus` or `minus`
     the amounts, or None where nothing is checked."""
 
@@ -54,6 +54,7 @@ class Layout:
     running: str | None = None
     adjustment: Callable[[Column], Column] = field(default=_no_anchor)
     snapshot_prefix: str = ""
+    sections: Callable[[Column], Column] | None = None
     parser_version: str = "2"
 
 
@@ -424,25 +425,31 @@ ACTIVITY_NOISE = (
 ACTIVITY_DATE = r"^\d{2}/\d{2}/\d{4}$"
 ACTIVITY_AMOUNT = r"^[-+]?£[\d,]+\.\d{2}$"
 PAGE_HEAD = r"(?m)(?:^(?!Account number:|Page \d)[^\n]*\n)?^Account number:[ \t]*[A-Z0-9]+(?:\n|\z)(?:Page \d+ of \d+(?:\n|\z))?"
-PAGE_FOOT = r"(?m)^Issued by Vanguard Asset Management[\s\S]*?(?:EC4N 8AF\.[^\n]*(?:\n|\z)|\z)"
+FOOT_WORDS = "Issued by Vanguard Asset Management"
+PAGE_FOOT = rf"(?m)^{FOOT_WORDS}[\s\S]*?(?:EC4N 8AF\.[^\n]*(?:\n|\z)|\z)"
 
 
 def _without_page_furniture(text: Column) -> Column:
-    plain = F.array_join(G.lines_of(text), "\n")
-    return F.split(F.regexp_replace(F.regexp_replace(plain, PAGE_FOOT, ""), PAGE_HEAD, ""), "\n")
+    def without_feet(plain: Column) -> Column:
+        # Most texts are one page, and a look for the words costs less than the pattern.
+        return F.when(plain.contains(FOOT_WORDS), F.regexp_replace(plain, PAGE_FOOT, "")).otherwise(plain)
+
+    return F.split(F.regexp_replace(G.let(G.plain(text), without_feet), PAGE_HEAD, ""), "\n")
 
 
 def _chunks(lines: Column, pattern: str, width: Column) -> Column:
     """Rows of `width` values each, with the words since the row before."""
 
+    value_kind = 1
+
     def chunk(ls: Column, at: Column, n: Column) -> Column:
         begin = F.when(n == 1, F.lit(0)).otherwise(F.get(at, (n - 1) * width - 1))
         end = F.get(at, n * width - 1)
         return G.let(
             F.slice(ls, begin + 1, end - begin),
             lambda rows: F.struct(
-                F.coalesce(G.joined(G.not_matching(rows, pattern)), F.lit("")).alias("words"),
-                G.matching(rows, pattern).alias("values"),
+                F.coalesce(G.joined(G.texts_of(F.filter(rows, lambda t: t["kind"] == G.OTHER))), F.lit("")).alias("words"),
+                G.texts_of(F.filter(rows, lambda t: t["kind"] == value_kind)).alias("values"),
             ),
         )
 
@@ -452,7 +459,7 @@ def _chunks(lines: Column, pattern: str, width: Column) -> Column:
         return F.transform(numbers, lambda n: chunk(ls, at, n))
 
     return G.let(
-        lines, lambda ls: G.let(G.places(ls, G.begins_with(pattern)), lambda at: rows(ls, at))
+        G.told_apart(lines, pattern), lambda ls: G.let(G.places(ls, lambda t: t["kind"] == value_kind), lambda at: rows(ls, at))
     )
 
 
@@ -464,8 +471,9 @@ def _sections(text: Column) -> Column:
     return G.blocks(_without_page_furniture(text), starts)
 
 
-def _vanguard(text: Column, period: Column) -> Column:
+def _vanguard(sections: Column, period: Column) -> Column:
     empty = F.array().cast(RECORDS)
+    date_kind, amount_kind = 1, 2
 
     def holdings(rest: Column, wrapper: Column, as_of: Column) -> Column:
         def table(lines: Column) -> Column:
@@ -494,18 +502,21 @@ def _vanguard(text: Column, period: Column) -> Column:
             def made(amounts: Column, description: Column) -> Column:
                 return G.record(
                     "transaction",
-                    [("date", F.get(block, 0)), ("description", description),
+                    [("date", F.get(block, 0)["line"]), ("description", description),
                      ("amount_minor", F.when(description.isNotNull(), try_parse_money(F.get(amounts, 0)))),
                      ("cash_balance_minor", try_parse_money(F.get(amounts, 1)))],
                     wrapper,
                 )
 
-            words = G.joined(G.not_matching(G.tail(block), ACTIVITY_AMOUNT))
-            return G.let(
-                G.matching(G.tail(block), ACTIVITY_AMOUNT), lambda a: G.let(words, lambda w: made(a, w))
-            )
+            def parted(rest: Column) -> Column:
+                words = G.joined(G.texts_of(F.filter(rest, lambda t: t["kind"] != amount_kind)))
+                amounts = G.texts_of(F.filter(rest, lambda t: t["kind"] == amount_kind))
+                return G.let(amounts, lambda a: G.let(words, lambda w: made(a, w)))
 
-        return _kept(F.transform(G.blocks(listed, G.begins_with(ACTIVITY_DATE)), activity))
+            return G.let(G.tail(block), parted)
+
+        told = G.told_apart(listed, ACTIVITY_DATE, ACTIVITY_AMOUNT)
+        return _kept(F.transform(G.blocks(told, lambda t: t["kind"] == date_kind), activity))
 
     def read(sections: Column, section: Column, n: Column) -> Column:
         # The wrapper whose holdings were printed last, also for its activity.
@@ -513,24 +524,24 @@ def _vanguard(text: Column, period: Column) -> Column:
         wrapper = G.strip(F.regexp_extract(G.last(G.matching(titles, WRAPPER)), WRAPPER, 1))
 
         def by_title(title: Column, held_in: Column) -> Column:
-            as_of = G.strip(F.regexp_extract(title, WRAPPER, 2))
+            held = G.let(
+                G.strip(F.regexp_extract(title, WRAPPER, 2)), lambda as_of: holdings(G.tail(section), held_in, as_of)
+            )
             return (
-                F.when(title.rlike(WRAPPER), holdings(G.tail(section), held_in, as_of))
+                F.when(title.rlike(WRAPPER), held)
                 .when(title.startswith("Activity from") & held_in.isNotNull(), activities(G.tail(section), held_in))
                 .otherwise(empty)
             )
 
         return G.let(wrapper, lambda w: G.let(F.get(section, 0), lambda title: by_title(title, w)))
 
-    return F.flatten(
-        G.let(_sections(text), lambda sections: F.transform(sections, lambda s, n: read(sections, s, n)))
-    )
+    return F.flatten(F.transform(sections, lambda s, n: read(sections, s, n)))
 
 
-def wrapper_totals(text: Column) -> Column:
+def wrapper_totals(sections: Column) -> Column:
     """Printed closing value per wrapper, from the summary on the first page."""
     none = F.array().cast("array<struct<wrapper:string,closing_minor:bigint>>")
-    summary = F.get(F.filter(_sections(text), lambda s: F.get(s, 0) == SUMMARY_TITLE), 0)
+    summary = F.get(F.filter(sections, lambda s: F.get(s, 0) == SUMMARY_TITLE), 0)
 
     def totals(rest: Column, columns: Column) -> Column:
         rows = G.until(G.after(rest, columns + 1), lambda line: line == "Account total")
@@ -544,7 +555,7 @@ def wrapper_totals(text: Column) -> Column:
         columns = F.size(G.until(G.tail(rest), lambda line: ~line.rlike(r"^Value on (.+)$")))
         return G.let(columns, lambda n: totals(rest, n))
 
-    return F.when(summary.isNotNull(), G.let(G.tail(summary), table)).otherwise(none)
+    return F.coalesce(G.let(summary, lambda s: F.when(s.isNotNull(), G.let(G.tail(s), table))), none)
 
 
 # --- monzo-pdf, chase, monzo-flex ------------------------------------------------
@@ -666,7 +677,7 @@ LAYOUTS: tuple[Layout, ...] = (
         "vanguard-pdf", "vanguard_txn", _has("Vanguard", "Statement", "Activity"), _vanguard,
         _period(r"(?m)^[ \t]*Activity from " + LONG_DATES + r" to " + LONG_DATES, D.DAY_FULL_MONTH_YEAR),
         identifier=lambda text: G.extract(text, r"Account number:\s*([A-Z0-9]+)"),
-        snapshot_prefix="vanguard_holding",
+        snapshot_prefix="vanguard_holding", sections=_sections,
     ),
     Layout(
         "monzo-pdf", "monzo_pdf_txn", _has("Personal Account statement", "Monzo"), _monzo_pdf,

@@ -21,18 +21,32 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with the value computed once, however often it is named.
 
     Without this, an expression named inside a lambda is computed again for every
-    element."""
-    return F.get(F.transform(F.array(value), use), 0)
+    element. It is the end step of an aggregate over nothing, which, unlike an array
+    of one, copies neither the value nor the result."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
+
+
+# What `\s` stands for.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def strip(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.trim(line, F.lit(BLANKS))
+
+
+def plain(text: Column) -> Column:
+    """The text as stripped lines, the empty ones left out."""
+    return F.regexp_replace(strip(text), r"[^\S\n]*\n\s*", "\n")
+
+
+def split_lines(text: Column) -> Column:
+    """Lines of a text that is `plain`."""
+    return let(text, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n")))
 
 
 def lines_of(text: Column) -> Column:
     """Stripped lines, the empty ones left out: two passes over the text, none per line."""
-    plain = F.regexp_replace(strip(text), r"\s*\n\s*", "\n")
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, "\n"))
+    return split_lines(plain(text))
 
 
 OTHER = 0
@@ -133,7 +147,7 @@ def joined(lines: Column) -> Column:
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """A regex group, null when the pattern is not found or the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda found: F.when(found != "", found))
 
 
 def one_of(*values: str) -> Test:

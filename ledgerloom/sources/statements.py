@@ -145,12 +145,17 @@ def _fee_total() -> Column:
 def parse_layout(documents: DataFrame, layout: Layout) -> DataFrame:
     """Bronze rows of texts that are all of one layout."""
     text = F.col("text")
-    read = documents.withColumn("_period", layout.period(text)).withColumns(
+    # Sections are a column, since both the records and the wrappers' totals come out of them.
+    cut = text if layout.sections is None else F.col("_sections")
+    read = documents.withColumn("_period", layout.period(text))
+    if layout.sections is not None:
+        read = read.withColumn("_sections", layout.sections(text))
+    read = read.withColumns(
         {
             "_identifier": layout.identifier(text),
             "_opening": layout.opening(text),
             "_closing": layout.closing(text),
-            "_records": layout.records(text, F.col("_period")),
+            "_records": layout.records(cut, F.col("_period")),
         }
     )
     wrapped = layout.source_type == "vanguard-pdf"
@@ -159,7 +164,7 @@ def parse_layout(documents: DataFrame, layout: Layout) -> DataFrame:
     read = read.withColumn("_rolls", F.col("_opening").isNotNull() & F.lit(layout.running == "liability"))
     if layout.derived is not None:
         read = read.withColumn("_derived", _derived_closing(layout))
-    totals = wrapper_totals(text) if wrapped else F.lit(None).cast("array<struct<wrapper:string,closing_minor:bigint>>")
+    totals = wrapper_totals(cut) if wrapped else F.lit(None).cast("array<struct<wrapper:string,closing_minor:bigint>>")
     rows = read.withColumn("_totals", totals).select(
         "ingestion_id", "filename", "raw_artifact_path", "upload_timestamp",
         F.col("_period.from").alias("statement_period_from"), F.col("_period.to").alias("statement_period_to"),
