@@ -260,8 +260,10 @@ def mark_cross_source(canonical: DataFrame, policy: MatchPolicy) -> DataFrame:
     """Tier 4 for one policy: `_cross` is the id of the preferred row that
     stands for this one. Only the two named sources are shuffled."""
     named = F.col("source_type").isin(policy.preferred, policy.other)
+    # Dealt by the shared keys, both windows find their rows in place: one shuffle.
     ranked = scan(
-        canonical.filter(named), [*_cross_keys(), "source_type"], ["_fingerprint", "_occurrence"], {"_k": row_number()}
+        canonical.filter(named).repartition(*_cross_keys()), [*_cross_keys(), "source_type"], ["_fingerprint", "_occurrence"],
+        {"_k": row_number()}, sized_by=canonical.filter(named),
     )
     # At most one row per side shares (key, k), so this window is never hot.
     facing = Window.partitionBy(*_cross_keys(), "_k")
@@ -354,7 +356,11 @@ def provenance(marked: DataFrame, edges: DataFrame, policies: Sequence[MatchPoli
     for i, policy in enumerate(policies):
         crossed = mark_cross_source(standing, policy)
         lost = crossed.filter(F.col("_cross").isNotNull()).select(F.col(ID).alias("_final"), "_cross")
-        rows = rows.join(lost, "_final", "left")
+        # Only survivors of the other source can be lost, and an id begins with its source.
+        may_lose = F.coalesce(F.col("_final").startswith(f"{policy.other}:"), F.lit(False))
+        rows = rows.filter(may_lose).join(lost, "_final", "left").unionByName(
+            rows.filter(~may_lose).withColumn("_cross", F.lit(None).cast("string"))
+        )
         took = (F.col(ID) == F.col("_final")) & F.col("_cross").isNotNull()
         rows = rows.withColumn(f"_took_{i}", took).withColumn("_final", F.coalesce("_cross", "_final")).drop("_cross")
         policies_of.append(F.when(F.col(f"_took_{i}"), F.lit(f"cross-source({policy.preferred}-preferred)")))

@@ -68,12 +68,17 @@ def balance_continuity(anchors: DataFrame, periods: DataFrame, tolerance: int =
     )
 
 
-def contribution_by_ingestion(sources: DataFrame, transactions: DataFrame, attribute: str = "record") -> DataFrame:
+def contribution_by_ingestion(sources: DataFrame | None, transactions: DataFrame, attribute: str = "record") -> DataFrame:
     """Net amount each file contributes to the surviving transactions.
 
     `record` credits the file whose own row survived. `survivor` credits every
-    file that reported the transaction, also where another file's row was kept."""
-    if attribute == "record":
+    file that reported the transaction, also where another file's row was kept.
+
+    A surviving row is its own source, so where transactions name their file, `record`
+    is told from them alone, and neither sources nor their join are computed."""
+    if attribute == "record" and "ingestion_id" in transactions.columns:
+        joined = transactions
+    elif attribute == "record":
         joined = sources.select("bronze_record_id", "ingestion_id").join(
             transactions.select("bronze_record_id", "amount_minor"), "bronze_record_id"
         )

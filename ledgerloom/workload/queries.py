@@ -436,7 +436,7 @@ def balance_continuity(spark, folder):
 @query
 def contribution_by_ingestion(spark, folder):
     matched = _weekly_matched(spark, folder)
-    return R.contribution_by_ingestion(matched.sources, matched.transactions)
+    return R.contribution_by_ingestion(None, matched.transactions)
 
 
 @query
@@ -447,7 +447,7 @@ def contribution_by_survivor(spark, folder):
 
 def _rollforward(spark, folder, status=None):
     matched = _weekly_matched(spark, folder)
-    contributions = R.contribution_by_ingestion(matched.sources, matched.transactions)
+    contributions = R.contribution_by_ingestion(None, matched.transactions)
     return R.silver_rollforward(_status(spark, folder) if status is None else status, contributions, signs=CARD_SIGNS)
 
 
