@@ -654,8 +654,9 @@ LAYOUTS: tuple[Layout, ...] = (
     ),
     Layout(
         "firstdirect", "firstdirect_txn",
-        lambda text: F.lower(text).contains("first direct")
-        & (text.contains("Your Transaction Details") | text.contains("Credit Card")),
+        # A text is put in lower case only where the cheaper looks pass.
+        lambda text: (text.contains("Your Transaction Details") | text.contains("Credit Card"))
+        & F.lower(text).contains("first direct"),
         _firstdirect, _month_before,
         identifier=lambda text: G.extract(text, r"\b(\d{4}\s\d{4}\s\d{4}\s\d{4})\b"),
         opening=_amount(r"Previous Balance\s*\n\s*([\d,]+\.\d{2})"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -629,10 +628,9 @@ def _by_markers(texts: DataFrame) -> DataFrame:
 @query
 def statement_detection(spark, folder):
     """All layouts over texts of all of them, and over texts that are none."""
-    parts = [T.statement_texts(spark, folder, name).select(F.lit(name).alias("printed_as"), "text") for name in BY_NAME]
+    printed = T.texts_by_layout(spark, folder, list(BY_NAME))
     pages = W.table(spark, folder, "pages").select(F.lit("page").alias("printed_as"), F.col("html").alias("text"))
-    texts = functools.reduce(DataFrame.unionByName, [*parts, pages])
-    return P.detect_layouts(texts).groupBy("printed_as", "layout", "detection").agg(F.count("*").alias("texts"))
+    return P.detect_layouts(printed.unionByName(pages)).groupBy("printed_as", "layout", "detection").agg(F.count("*").alias("texts"))
 
 
 @query

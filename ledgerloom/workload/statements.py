@@ -5,6 +5,8 @@ An account's events are cut into blocks of 500 event ids, so a text has at most
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +45,12 @@ def _lines(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def statement_texts(spark: SparkSession, folder: str, layout: str) -> DataFrame:
-    """One text per statement, printed the way `layout` prints."""
+def _row(layout: str) -> Column:
+    """An event as a row of `layout`."""
     d, size, run, out = (F.col(c) for c in ("d", "size", "run", "out"))
     desc, sign = F.col("description"), F.when(out, "-").otherwise("")
     dated = F.date_format(d, "d MMM")
-    row = {
+    return {
         "kroo": _lines(F.date_format(d, "dd MMMM yyyy"), "\n", F.when(out, "Payment to ").otherwise("From "), desc,
                        "\n£", pounds(size), "\n£", pounds(run), "\n"),
         "natwest-transactions": _lines(dated, "\n", desc, "\n", F.when(out, "-").otherwise("+"), "£", pounds(size), "\n"),
@@ -65,22 +67,13 @@ def statement_texts(spark: SparkSession, folder: str, layout: str) -> DataFrame:
         "monzo-flex": _lines(F.date_format(d, "dd/MM/yyyy"), "\n", desc, "\n", pounds(F.when(out, size).otherwise(0)), "\n",
                              pounds(F.when(out, 0).otherwise(size)), "\n", pounds(run), "\n"),
     }[layout]
-    # At most BLOCK rows per statement.
-    texts = (
-        numbered_events(spark, folder)
-        .withColumn("row", row)
-        .withColumn("holding", _lines(desc, "\n1.00\n£", pounds(size), "\n£", pounds(size), "\n"))
-        .groupBy("ingestion_id", "user_id")
-        .agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "row"))), lambda r: r["row"]), "").alias("rows"),
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "holding"))), lambda r: r["holding"]), "").alias("held"),
-            F.sum("size").alias("total"),
-            F.sum("amount_minor").alias("net"),
-        )
-    )
-    user, rows, total = F.col("user_id").cast("string"), F.col("rows"), F.col("total")
+
+
+def _whole(layout: str, rows: Column, held: Column) -> Column:
+    """A statement of `layout` around its rows."""
+    user, total = F.col("user_id").cast("string"), F.col("total")
     wrong = F.when(F.col("user_id") % 7 == 0, 1).otherwise(0)
-    text = {
+    return {
         "kroo": _lines("Kroo Current Account\nSort code: 11-22-33\nAccount number: ", user,
                        "\nTotal opening balance\n£ 10.00\nAccount transactions\n1 January 2024 to 31 January 2024\nDate\nDescription\n",
                        rows, "Closing balance\n£ ", pounds(total + wrong), "\n"),
@@ -97,7 +90,7 @@ def statement_texts(spark: SparkSession, folder: str, layout: str) -> DataFrame:
                        pounds(F.abs("net")), "\n\n", rows),
         "vanguard-pdf": _lines("Vanguard Statement\nA Person\nAccount number: VG", user,
                                "\nYour Vanguard account summary\nProduct\nValue on 31 January 2024\nISA\n£", pounds(total + wrong),
-                               "\nAccount total\n£", pounds(total), "\nYour ISA investments at 31 January 2024\nDescription\n", F.col("held"),
+                               "\nAccount total\n£", pounds(total), "\nYour ISA investments at 31 January 2024\nDescription\n", held,
                                "Activity from 1 January 2024 to 31 January 2024 for your ISA\nCash amount\n", rows),
         "monzo-pdf": _lines("Monzo Personal Account statement\n01/01/2024 - 31/01/2024\n£", pounds(total),
                             "\nPersonal Account balance\n(GBP) Balance\n", rows, "Sort code: 11-22-33\nAccount number: ", user,
@@ -108,13 +101,47 @@ def statement_texts(spark: SparkSession, folder: str, layout: str) -> DataFrame:
         "monzo-flex": _lines("Flex statement\n01/01/2024 - 31/01/2024\n£5.00\nBalance at start\n£", pounds(total),
                              "\nBalance at end\nBalance\n", rows, "This is legally prescribed\n"),
     }[layout]
+
+
+def _printed(spark: SparkSession, folder: str, layouts: Sequence[str]) -> DataFrame:
+    """All statements, with a column of text per layout: events are read, numbered and
+    gathered once for all of them."""
+    size, desc = F.col("size"), F.col("description")
+    pieces = {name: _row(name) for name in layouts}
+    if "vanguard-pdf" in layouts:
+        pieces["held"] = _lines(desc, "\n1.00\n£", pounds(size), "\n£", pounds(size), "\n")
+    # At most BLOCK rows per statement.
+    gathered = (
+        numbered_events(spark, folder)
+        .select("ingestion_id", "user_id", "size", "amount_minor", F.struct("seq", *[c.alias(n) for n, c in pieces.items()]).alias("line"))
+        .groupBy("ingestion_id", "user_id")
+        .agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sum("size").alias("total"), F.sum("amount_minor").alias("net"))
+    )
+
+    def joined(name: str) -> Column:
+        return F.array_join(F.col(f"lines.{name}"), "")
+
+    held = joined("held") if "held" in pieces else F.lit("")
+    return gathered.select("ingestion_id", *[_whole(name, joined(f"`{name}`"), held).alias(name) for name in layouts])
+
+
+def texts_by_layout(spark: SparkSession, folder: str, layouts: Sequence[str]) -> DataFrame:
+    """Statements of several layouts as (printed_as, text), stored and spread out."""
+    printed = F.array(*[F.struct(F.lit(n).alias("printed_as"), F.col(f"`{n}`").alias("text")) for n in layouts])
+    rows = _printed(spark, folder, layouts).select(F.inline(printed))
+    return materialized(rows)
+
+
+def statement_texts(spark: SparkSession, folder: str, layout: str) -> DataFrame:
+    """One text per statement, printed the way `layout` prints."""
+    texts = _printed(spark, folder, [layout])
     # Stored and spread out, as statements are: reading them is work per text,
     # which their few bytes do not show.
     return materialized(texts.select(
         "ingestion_id",
         F.concat("ingestion_id", F.lit(".txt")).alias("filename"),
         F.concat(F.lit("in/"), "ingestion_id").alias("raw_artifact_path"),
-        text.alias("text"),
+        F.col(f"`{layout}`").alias("text"),
         F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("upload_timestamp"),
     ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ingestion_id"))
 

@@ -38,3 +38,18 @@ def test_an_amount_drops_marks_in_one_pass(spark):
     found = spark.createDataFrame([(s,) for s in shown], "s string").select(try_parse_money("s").alias("m"))
     assert plan_of(found).count("regexp_replace") == 1
     assert [r.m for r in found.collect()] == [123450, 1230, -500, None, None, None, None, 100025]
+
+
+def test_statements_of_all_layouts_come_from_one_read_of_the_events(spark, monkeypatch):
+    from ledgerloom.workload import statements as T
+
+    reads = []
+    numbered = T.numbered_events
+    monkeypatch.setattr(T, "numbered_events", lambda *a: reads.append(a) or numbered(*a))
+    names = [lay.source_type for lay in L.LAYOUTS]
+    made = T.texts_by_layout(spark, "/root/testdata/sf0.001", names)
+    assert len(reads) == 1
+    for name in names:
+        alone = T.statement_texts(spark, "/root/testdata/sf0.001", name).select("text")
+        together = made.filter(F.col("printed_as") == name).select("text")
+        assert alone.exceptAll(together).isEmpty() and together.exceptAll(alone).isEmpty()
