@@ -194,8 +194,8 @@ def _natwest_transactions(text: Column, period: Column) -> Column:
 
 STATEMENT_HEADINGS = ("Date", "Description", "Paid In(£)", "Withdrawn(£)", "Balance(£)")
 STATEMENT_FOOTERS = ("Interest (variable)", "RETSTMT")
-STATEMENT_DATE = r"^\d{1,2}\s+[A-Z]{3}(\s+\d{4})?$"
-STATEMENT_NUMBER = r"^[\d,]+\.\d{2}$"
+STATEMENT_DATE = rf"\d{{1,2}}{G.BLANK}+[A-Z]{{3}}(?:{G.BLANK}+\d{{4}})?{G.END}"
+STATEMENT_NUMBER = rf"[\d,]+\.\d{{2}}{G.END}"
 BROUGHT_FORWARD = "BROUGHT FORWARD"
 
 
@@ -204,46 +204,36 @@ def _natwest_statement(text: Column, period: Column) -> Column:
     is printed once a day: each row carries the date lines just before it, and the
     rest is filled in, and amounts are taken, once the rows are out."""
 
-    date_kind, number_kind = 1, 2
+    # A tab before the break marks a date, a space marks a number.
+    lines = F.regexp_replace(G.listed(text), rf"{G.LINES}^({STATEMENT_DATE})", "$1\t")
+    told = F.regexp_replace(lines, rf"{G.LINES}^({STATEMENT_NUMBER})", "$1 ")
 
-    def row_start(lines: Column, line: Column, i: Column) -> Column:
-        after_words = (i > 0) & F.coalesce(F.get(lines, i - 1)["kind"] == G.OTHER, F.lit(False))
-        return F.when((line["kind"] == G.OTHER) & ~after_words, i + 1)
+    def made(row: Column, date: Column) -> Column:
+        words = F.regexp_replace(row, rf"{G.LINES}^[\d,].*+(?<=[ \t])\n", "")
+        named = F.regexp_replace(words, rf"\G{G.exactly(*STATEMENT_HEADINGS)}\n", "")
+        to_date = F.regexp_replace(row, rf"{G.LINES}^\d.*+(?<=\t)\n{G.REST}", "")
+        number = G.extract(to_date, rf"{G.LINES}^([\d,].*+)(?<= )\n\z", 1)
 
-    def made(named: Column, numbers: Column, date: Column) -> Column:
-        def with_words(description: Column) -> Column:
-            balance = F.when(description.isNotNull(), try_parse_money(G.last(numbers)["line"]))
-            is_footer = G.starts_with_any(*STATEMENT_FOOTERS)(F.get(named, 0))
+        def with_words(named: Column, description: Column) -> Column:
+            balance = F.when(description.isNotNull(), try_parse_money(number))
             return G.record(
-                F.when(is_footer, "footer").otherwise("transaction"),
+                F.when(G.starts_with_any(*STATEMENT_FOOTERS)(named), "footer").otherwise("transaction"),
                 [("date", date), ("description", description), ("amount_minor", F.lit(None)), ("balance_minor", balance)],
             )
 
-        return G.let(G.joined(named), with_words)
-
-    def read(lines: Column, found: Column, at: Column, n: Column) -> Column:
-        end = F.coalesce(F.get(found, n + 1), F.size(lines) + 1)
-        begin = F.when(n == 0, F.lit(1)).otherwise(F.get(found, n - 1))
-        before = F.slice(lines, begin, at - begin)
-        date = G.last(F.filter(before, lambda line: line["kind"] == date_kind))["line"]
-
-        def split(row: Column) -> Column:
-            def with_words(words: Column) -> Column:
-                heads = F.array_position(F.transform(words, lambda w: ~w.isin(*STATEMENT_HEADINGS)), True)
-                named = G.let(heads, lambda h: F.when(h > 0, G.after(words, (h - 1).cast("int"))))
-                numbers = G.until(G.after(row, F.size(words)), lambda line: line["kind"] != number_kind)
-                return G.let(named, lambda w: G.let(numbers, lambda v: made(w, v, date)))
-
-            return G.let(G.texts_of(G.until(row, lambda line: line["kind"] != G.OTHER)), with_words)
+        return G.let(named, lambda n: G.let(G.joined_text(n), lambda words: with_words(n, words)))
 
-        return G.let(F.slice(lines, at, end - at), split)
+    def read(parts: Column, part: Column, i: Column) -> Column:
+        # What comes before the first words is no row, but its date counts.
+        is_row = (i > 0) | part.rlike(r"(?d)\A.*+(?<=\S)\n")
+        dates = F.regexp_extract_all(F.get(parts, i - 1), F.lit(rf"{G.LINES}^(\d.*+)(?<=\t)\n"), F.lit(1))
+        return F.when(is_row, made(part, F.rtrim(G.last(dates), F.lit("\t"))))
 
-    def rows(lines: Column) -> Column:
-        starts = F.filter(F.transform(lines, lambda line, i: row_start(lines, line, i)), lambda i: i.isNotNull())
-        return G.let(starts, lambda found: F.transform(found, lambda at, n: read(lines, found, at, n)))
+    def rows(parts: Column) -> Column:
+        return F.filter(F.transform(parts, lambda part, i: read(parts, part, i)), lambda r: r.isNotNull())
 
-    told = G.told_apart(G.lines_of(text), STATEMENT_DATE, STATEMENT_NUMBER)
-    return _until_footer(G.let(told, rows))
+    # A row begins with the first words after a date or number.
+    return _until_footer(G.let(F.split(told, r"(?d)(?<=[ \t]\n)(?=.*+(?<=\S)\n)"), rows))
 
 
 def _until_footer(records: Column) -> Column:

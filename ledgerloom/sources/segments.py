@@ -5,6 +5,7 @@ the records have come out of it, and documents spread over all tasks."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -28,6 +29,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 # What `\s` stands for.
 BLANKS = " \t\n\x0b\f\r"
+# The same within a line. A plain list of characters is looked up in one step.
+BLANK = r"[ \t\x0B\f\r]"
 
 
 def strip(line: Column) -> Column:
@@ -36,7 +39,7 @@ def strip(line: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """The text as stripped lines, the empty ones left out."""
-    return F.regexp_replace(strip(text), r"[^\S\n]*\n\s*", "\n")
+    return F.regexp_replace(strip(text), rf"{BLANK}*\n\s*", "\n")
 
 
 def split_lines(text: Column) -> Column:
@@ -150,6 +153,59 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
     return let(F.regexp_extract(text, pattern, group), lambda found: F.when(found != "", found))
 
 
+# Records cut by patterns over a whole text, which is looked through natively, instead of
+# line by line in lambdas. Such a text is `listed`, its patterns are of whole lines, and
+# none may run over a line's end: BLANK stands for `\s` there, ANY for what a dot passes in a
+# line on its own. With LINES, a dot itself passes all of a line.
+ANY = r"[^\n\r\x85\u2028\u2029]"
+# What `$` lets pass at the end of a line on its own.
+END = r"[\x85\u2028\u2029]?$"
+LINES = "(?md)"
+REST = "(?s:.*)"
+
+
+def listed(text: Column) -> Column:
+    """The text as stripped lines, each with its break, the empty ones left out.
+
+    No line ends in a blank, so blanks before a break are free to mark lines with."""
+    return F.concat(plain(text), F.lit("\n"))
+
+
+def exactly(*values: str) -> str:
+    return "(?:" + "|".join(map(re.escape, values)) + ")"
+
+
+def beginning(*values: str) -> str:
+    return exactly(*values) + ".*"
+
+
+def holding(*values: str) -> str:
+    return ".*" + beginning(*values)
+
+
+def body_text(text: Column, start: str, stop: str, skip: str | None = None) -> Column:
+    """As `body`, of a listed text and with patterns of lines."""
+    inside = F.regexp_extract(text, rf"{LINES}^{start}\n({REST})", 1)
+    before = F.get(F.split(inside, rf"{LINES}^(?!{start}$){stop}$", 2), 0)
+    left_out = start if skip is None else f"{start}|{skip}"
+    return F.regexp_replace(before, rf"{LINES}^(?:{left_out})\n", "")
+
+
+def block_texts(text: Column, begins: str) -> Column:
+    """As `blocks`, of a listed text: texts, each from a line that begins a record up to the next."""
+    parts = F.split(text, rf"{LINES}^(?={begins})")
+    return F.filter(parts, lambda part: part.rlike(rf"{LINES}\A{begins}"))
+
+
+def first_line(block: Column) -> Column:
+    return F.substring_index(block, "\n", 1)
+
+
+def joined_text(lines: Column) -> Column:
+    """Lines of a listed text as one, null when there are none."""
+    return let(F.rtrim(F.replace(lines, F.lit("\n"), F.lit(" "))), lambda words: F.when(words != "", words))
+
+
 def one_of(*values: str) -> Test:
     return lambda line: line.isin(*values)
 
