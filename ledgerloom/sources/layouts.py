@@ -248,37 +248,45 @@ def _until_footer(records: Column) -> Column:
 
 
 def _firstdirect(text: Column, period: Column) -> Column:
-    lines = G.body(
-        G.lines_of(text),
-        start=G.contains_any("Your Transaction Details", "Transaction Date"),
-        stop=G.contains_any("Outstanding Balance", "Summary Of Interest"),
-        skip=G.one_of("Received By Us", "Transaction Date", "Details", "Amount"),
+    lines = G.body_text(
+        G.listed(text),
+        start=G.holding("Your Transaction Details", "Transaction Date"),
+        stop=G.holding("Outstanding Balance", "Summary Of Interest"),
+        skip=G.exactly("Received By Us", "Transaction Date", "Details", "Amount"),
     )
     bare, pounds = r"^[0-9,]+\.?\d*(CR)?$", r"£\s*([0-9,]+\.?\d*)\s*(CR)?"
-
-    def ends(line: Column) -> Column:
-        return line.rlike(bare) | line.rlike(pounds)
+    # Lines that hold one of the two.
+    figure_line = rf"(?:[0-9,]+\.?\d*(?:CR)?{G.END}|.*£{G.BLANK}*[0-9,].*$)"
 
     def read(block: Column) -> Column:
-        rest = G.tail(block)
-
         def made(printed: Column, description: Column) -> Column:
             is_bare = printed.rlike(bare)
             figure = F.when(is_bare, F.nullif(F.replace(printed, F.lit("CR"), F.lit("")), F.lit(""))).otherwise(
                 G.extract(printed, pounds, 1)
             )
             credit = F.when(is_bare, printed.endswith("CR")).otherwise(F.regexp_extract(printed, pounds, 2) == "CR")
-            parsed = try_parse_money(figure) * F.when(credit, 1).otherwise(-1)
-            return G.record(
-                "transaction",
-                [("date", G.extract(F.get(block, 0), r"^(\d{1,2}\s+\w{3}\s+\d{2})")), ("description", description),
-                 ("amount_minor", F.when(description.isNotNull(), parsed)), ("amount_text", figure)],
+
+            def with_figure(figure: Column) -> Column:
+                parsed = try_parse_money(figure) * F.when(credit, 1).otherwise(-1)
+                return G.record(
+                    "transaction",
+                    [("date", G.extract(block, r"^(\d{1,2}\s+\w{3}\s+\d{2})")), ("description", description),
+                     ("amount_minor", F.when(description.isNotNull(), parsed)), ("amount_text", figure)],
+                )
+
+            return G.let(figure, with_figure)
+
+        def parted(rest: Column) -> Column:
+            printed = G.extract(rest, rf"{G.LINES}^({figure_line})", 1)
+            words = G.joined_text(
+                F.regexp_replace(rest, rf"{G.LINES}^(?:{figure_line}{G.REST}|.*£.*\n)", "")
             )
+            return G.let(printed, lambda p: G.let(words, lambda w: made(p, w)))
 
-        words = G.joined(F.filter(G.until(rest, ends), lambda line: ~line.contains("£")))
-        return G.let(F.get(F.filter(rest, ends), 0), lambda p: G.let(words, lambda w: made(p, w)))
+        return G.let(F.regexp_replace(block, r"(?d)\A.*\n", ""), parted)
 
-    return _kept(F.transform(G.blocks(lines, G.begins_with(r"^\d{1,2}\s+\w{3}\s+\d{2}")), read))
+    begins = rf"\d{{1,2}}{G.BLANK}+\w{{3}}{G.BLANK}+\d{{2}}"
+    return _kept(F.transform(G.block_texts(lines, begins), read))
 
 
 def _month_before(text: Column) -> Column:

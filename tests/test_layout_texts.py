@@ -22,8 +22,8 @@ def told(df, *keys):
     return [[tuple(r.raw_data[k] for k in keys) for r in row.records] for row in df.collect()]
 
 
-# Before: 46.
-@pytest.mark.parametrize("name, most", [("natwest-statement", 20)])
+# Before: 46, 41.
+@pytest.mark.parametrize("name, most", [("natwest-statement", 20), ("firstdirect", 20)])
 def test_few_lambdas_read_a_text(spark, name, most):
     assert lambdas(records(spark, name, "x")) <= most
 
@@ -35,3 +35,8 @@ def test_statement_rows_carry_the_last_date_before_them(spark):
     assert told(found, "date", "description", "balance_minor") == [
         [("2 JAN", "Shop", "100"), ("3 JAN", "A\tb", "400"), (None, "Interest (variable)", "500")], [], []
     ]
+
+
+def test_a_card_row_ends_at_its_first_figure(spark):
+    found = records(spark, "firstdirect", "Transaction Date\n1 Feb 24 £9.00\nshop\n£x\n£ 3.00 CR\nmore\n4.00\nOutstanding Balance\n1 Feb 24\ny\n1")
+    assert told(found, "date", "description", "amount_minor") == [[("1 Feb 24", "shop", "300")]]
