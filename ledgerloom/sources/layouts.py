@@ -299,6 +299,11 @@ def _month_before(text: Column) -> Column:
 
 AMEX_ROW = r"^([A-Z][a-z]{2}\s+\d{1,2})\s+[A-Z][a-z]{2}\s+\d{1,2}\s+(.+?)\s+([\d,]+\.\d{2})$"
 AMEX_SINGLE_DATE_ROW = r"^([A-Z][a-z]{2}\s+\d{1,2})\s+(.+?)\s+([\d,]+\.\d{2})$"
+AMEX_ROW_LINE = (
+    rf"[A-Z][a-z]{{2}}{G.BLANK}+\d{{1,2}}{G.BLANK}+[A-Z][a-z]{{2}}{G.BLANK}+\d{{1,2}}"
+    rf"{G.BLANK}+{G.ANY}+?{G.BLANK}+[\d,]+\.\d{{2}}"
+)
+AMEX_PLAN_WORDS = "Plan It Instalments"
 AMEX_PLAN = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{4})\s+(.+)$"
 AMEX_PLAN_VALUES = (
     r"^([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+(\d+\s+OF\s+\d+)$"
@@ -337,20 +342,25 @@ def _amex(text: Column, period: Column) -> Column:
         return G.let(turned, lambda d: _dated(d, period))
 
     def row(line: Column, pattern: str, sign: Column) -> Column:
-        figure = G.extract(line, pattern, 3)
-        return G.record(
-            "transaction",
-            [("date", swapped(G.extract(line, pattern, 1))), ("description", G.extract(line, pattern, 2)),
-             ("amount_minor", try_parse_money(figure) * sign), ("amount_text", figure)],
-        )
+        def with_figure(figure: Column) -> Column:
+            return G.record(
+                "transaction",
+                [("date", swapped(G.extract(line, pattern, 1))), ("description", G.extract(line, pattern, 2)),
+                 ("amount_minor", try_parse_money(figure) * sign), ("amount_text", figure)],
+            )
 
-    def spending(lines: Column) -> Column:
-        def read(line: Column, i: Column) -> Column:
-            following = F.coalesce(F.get(lines, i + 1), F.lit(""))
-            credit = (following == "CR") | following.endswith(" CR")
-            return F.when(line.rlike(AMEX_ROW), row(line, AMEX_ROW, F.when(credit, 1).otherwise(-1)))
+        return G.let(G.extract(line, pattern, 3), with_figure)
+
+    def spending(page: Column) -> Column:
+        # A tab before the break marks a row that a CR line follows.
+        credited = F.regexp_replace(page, rf"{G.LINES}^({AMEX_ROW_LINE}{G.END})(?=\n(?:.* )?CR$)", "$1\t")
+        printed = F.regexp_extract_all(credited, F.lit(rf"{G.LINES}^{AMEX_ROW_LINE}{G.END[:-1]}\t?$"), F.lit(0))
+
+        def read(line: Column) -> Column:
+            sign = F.when(line.endswith("\t"), 1).otherwise(-1)
+            return G.let(F.rtrim(line, F.lit("\t")), lambda told: row(told, AMEX_ROW, sign))
 
-        return F.filter(F.transform(lines, read), lambda r: r.isNotNull())
+        return F.transform(printed, read)
 
     def section(lines: Column, title: str, total: str) -> Column:
         return G.until(G.since(lines, lambda line: line == title), lambda line: line.startswith(total))
@@ -391,8 +401,15 @@ def _amex(text: Column, period: Column) -> Column:
 
         return F.filter(F.transform(rows, read), lambda r: r.isNotNull())
 
-    pages = F.transform(F.split(text, "\f"), G.lines_of)
-    return F.flatten(F.transform(pages, lambda p: F.concat(spending(p), created(p), fees(p), plans(p))))
+    def instalments(page: Column) -> Column:
+        return G.let(G.split_lines(F.rtrim(page, F.lit("\n"))), lambda p: F.concat(created(p), fees(p), plans(p)))
+
+    def read(page: Column) -> Column:
+        # Few pages have instalments, and a look for the words costs less than their lines.
+        planned = F.when(page.contains(AMEX_PLAN_WORDS), instalments(page))
+        return F.concat(spending(page), F.coalesce(planned, F.array().cast(RECORDS)))
+
+    return F.flatten(F.transform(F.split(text, "\f"), lambda page: G.let(G.listed(page), read)))
 
 
 def _amex_figures(text: Column) -> Column:
@@ -403,8 +420,7 @@ def _amex_figures(text: Column) -> Column:
 
 
 def _instalments_due(text: Column) -> Column:
-    figures = _amex_figures(text)
-    return F.when(F.size(figures) == 5, try_parse_money(F.get(figures, 3)))
+    return G.let(_amex_figures(text), lambda f: F.when(F.size(f) == 5, try_parse_money(F.get(f, 3))))
 
 
 # --- vanguard-pdf ----------------------------------------------------------------

@@ -40,3 +40,14 @@ def test_statement_rows_carry_the_last_date_before_them(spark):
 def test_a_card_row_ends_at_its_first_figure(spark):
     found = records(spark, "firstdirect", "Transaction Date\n1 Feb 24 £9.00\nshop\n£x\n£ 3.00 CR\nmore\n4.00\nOutstanding Balance\n1 Feb 24\ny\n1")
     assert told(found, "date", "description", "amount_minor") == [[("1 Feb 24", "shop", "300")]]
+
+
+def test_pages_without_instalments_are_not_cut_into_lines(spark):
+    plan = records(spark, "amex", "x")._jdf.queryExecution().analyzed().toString()
+    assert "contains(" in plan.lower()
+
+
+def test_a_credit_is_marked_by_the_line_after_it(spark):
+    row = "Jan 3  Jan 4 shop {}\n"
+    found = records(spark, "amex", row.format("1.00") + "CR\n" + row.format("2.00") + "\n\nx CR\n" + row.format("3.00") + row.format("4.00") + "\fCR")
+    assert told(found, "date", "amount_minor") == [[("3 Jan 2024", "100"), ("3 Jan 2024", "200"), ("3 Jan 2024", "-300"), ("3 Jan 2024", "-400")]]
