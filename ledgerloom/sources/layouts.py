@@ -576,39 +576,35 @@ def wrapper_totals(sections: Column) -> Column:
 
 
 def _monzo_pdf(text: Column, period: Column) -> Column:
-    lines = G.body(
-        G.lines_of(text),
-        start=G.one_of("(GBP) Balance"),
-        stop=G.starts_with_any("Pot statement", "Monzo Bank Limited"),
-        skip=G.starts_with_any("Sort code:", "Account number:", "BIC:", "IBAN:"),
+    lines = G.body_text(
+        G.listed(text),
+        start=G.exactly("(GBP) Balance"),
+        stop=G.beginning("Pot statement", "Monzo Bank Limited"),
+        skip=G.beginning("Sort code:", "Account number:", "BIC:", "IBAN:"),
     )
-    return _numbered_rows(lines, r"^\d{2}/\d{2}/\d{4}$", r"^-?[\d,]+\.\d{2}$", 2, lambda n: (n(0), n(1)))
+    return _numbered_rows(lines, r"\d{2}/\d{2}/\d{4}", r"-?[\d,]+\.\d{2}", 2, lambda n: (n(0), n(1)))
 
 
 def _chase(text: Column, period: Column) -> Column:
-    lines = G.body(
-        G.lines_of(text),
-        start=G.one_of("Balance"),
-        stop=G.starts_with_any("Some useful information"),
-        skip=G.either(
-            G.one_of("Date", "Transaction details", "Amount", "Balance"),
-            G.starts_with_any("Account number:", "Sort code:", "Page "),
+    lines = G.body_text(
+        G.listed(text),
+        start=G.exactly("Balance"),
+        stop=G.beginning("Some useful information"),
+        skip="|".join(
+            (
+                G.exactly("Date", "Transaction details", "Amount"),
+                G.beginning("Account number:", "Sort code:", "Page "),
+            )
         ),
     )
-    return _numbered_rows(
-        lines, r"^\d{1,2}\s+[A-Za-z]{3}\s+\d{4}$", r"^[+-]?£[\d,]+\.\d{2}$", 2, lambda n: (n(0), n(1))
-    )
+    date = rf"\d{{1,2}}{G.BLANK}+[A-Za-z]{{3}}{G.BLANK}+\d{{4}}"
+    return _numbered_rows(lines, date, r"[+-]?£[\d,]+\.\d{2}", 2, lambda n: (n(0), n(1)))
 
 
 def _monzo_flex(text: Column, period: Column) -> Column:
-    lines = G.body(
-        G.lines_of(text),
-        start=G.one_of("Balance"),
-        stop=G.contains_any("legally prescribed"),
-        skip=lambda line: F.lit(False),
-    )
+    lines = G.body_text(G.listed(text), start=G.exactly("Balance"), stop=G.holding("legally prescribed"))
     return _numbered_rows(
-        lines, r"^\d{2}/\d{2}/\d{4}$", r"^-?[\d,]+\.\d{2}$", 3, lambda n: (n(1) - n(0), n(2))
+        lines, r"\d{2}/\d{2}/\d{4}", r"-?[\d,]+\.\d{2}", 3, lambda n: (n(1) - n(0), n(2))
     )
 
 
@@ -618,27 +614,23 @@ def _numbered_rows(
 ) -> Column:
     """Rows with a date line, words, and exactly `count` number lines."""
 
-    date_kind, number_kind = 1, 2
+    number_line = rf"^{number}{G.END}"
 
     def read(block: Column) -> Column:
         def made(numbers: Column, description: Column) -> Column:
             whole = description.isNotNull() & (F.size(numbers) == count)
-            amount, balance = figures(lambda i: F.when(whole, try_parse_money(F.get(numbers, i)["line"])))
+            amount, balance = figures(lambda i: F.when(whole, try_parse_money(F.get(numbers, i))))
             return G.record(
                 "transaction",
-                [("date", F.get(block, 0)["line"]), ("description", description), ("amount_minor", amount),
+                [("date", G.first_line(block)), ("description", description), ("amount_minor", amount),
                  ("balance_minor", balance)],
             )
 
-        def parted(rest: Column) -> Column:
-            words = G.joined(G.texts_of(F.filter(rest, lambda t: t["kind"] != number_kind)))
-            numbers = F.filter(rest, lambda t: t["kind"] == number_kind)
-            return G.let(numbers, lambda n: G.let(words, lambda w: made(n, w)))
-
-        return G.let(G.tail(block), parted)
+        numbers = F.regexp_extract_all(block, F.lit(f"{G.LINES}{number_line}"), F.lit(0))
+        words = G.joined_text(F.regexp_replace(block, rf"{G.LINES}\A.*\n|{number_line}\n", ""))
+        return G.let(numbers, lambda n: G.let(words, lambda w: made(n, w)))
 
-    told = G.told_apart(lines, date, number)
-    return _kept(F.transform(G.blocks(told, lambda t: t["kind"] == date_kind), read))
+    return _kept(F.transform(G.block_texts(lines, rf"{date}{G.END}"), read))
 
 
 LAYOUTS: tuple[Layout, ...] = (
